@@ -25,7 +25,7 @@ def connect(folder: str):
 
 
 def _plain(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return None
     if isinstance(value, float) or type(value).__name__.startswith("float"):
         return None if math.isnan(value) else float(value)

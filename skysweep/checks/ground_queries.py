@@ -209,13 +209,13 @@ def _(inp: Inputs):
     with_ctes(
         "hag",
         f"""select scene, pose_index, class_label, count(*) as n, count(*) filter (hag > 2) as survived,
-{r('count(*) filter (hag > 2) / cast(count(*) as double)', 6)} as rate, {r('quantile_cont(hag, 0.5)', 5)} as median_hag
+{r('count(*) filter (hag > 2) / cast(count(*) as double)', 6)} as rate, {r('quantile_cont(hag, 0.5)', 8)} as median_hag
 from hag where class_id >= 0 group by scene, pose_index, class_label""",
     ),
 )
 def _(inp: Inputs):
     stats = ground.class_survival_frame(ground.hag(inp.points_unnumbered))
-    return rounded(rounded(stats, ["rate"]), ["median_hag"], 5)
+    return rounded(rounded(stats, ["rate"]), ["median_hag"], 8)
 
 
 @query(
@@ -338,12 +338,12 @@ def _(inp: Inputs):
     "frame_bounds",
     with_ctes(
         "world",
-        f"""select scene, pose_index, {', '.join(f"{r(f'{f}({a}_world)', 4)} as {a}_{f}" for a in 'xyz' for f in ('min', 'max'))}
-from world group by rollup (scene, pose_index) having scene is not null""",
+        f"""select scene, coalesce(pose_index, -1) as pose_index, {', '.join(f"{r(f'{f}({a}_world)', 4)} as {a}_{f}" for a in 'xyz' for f in ('min', 'max'))}
+from world group by rollup (scene, world.pose_index) having scene is not null""",
     ),
 )
 def _(inp: Inputs):
-    bounds = ground.frame_bounds(inp.points_unnumbered)
+    bounds = ground.frame_bounds(inp.points_unnumbered).withColumn("pose_index", F.coalesce("pose_index", F.lit(-1)))
     return rounded(bounds, [f"{a}_{f}" for a in "xyz" for f in ("min", "max")], 4)
 
 
@@ -365,7 +365,7 @@ def _(inp: Inputs):
     "worst_frames",
     with_ctes(
         "whag",
-        f"""select class_label, scene, pose_index, n, survived, {r('survival_pct', 6)} as survival_pct, hag_min, {r('hag_median', 5)} as hag_median, cast(rank as int) as rank
+        f"""select class_label, scene, pose_index, n, survived, {r('survival_pct', 6)} as survival_pct, hag_min, {r('hag_median', 8)} as hag_median, cast(rank as int) as rank
 from (select *, row_number() over (partition by class_label order by survival_pct, scene, pose_index) as rank from (
 select class_label, scene, pose_index, count(*) as n, count(*) filter (hag > 2) as survived,
 100e0*count(*) filter (hag > 2)/count(*) as survival_pct, min(hag) as hag_min, quantile_cont(hag, 0.5) as hag_median
@@ -374,7 +374,7 @@ from whag where class_id >= 0 group by class_label, scene, pose_index) s) t wher
 )
 def _(inp: Inputs):
     worst = ground.worst_frames(ground.scene_ground_lookup(inp.points_unnumbered))
-    return rounded(rounded(worst, ["survival_pct"]), ["hag_median"], 5)
+    return rounded(rounded(worst, ["survival_pct"]), ["hag_median"], 8)
 
 
 _Q = {"05": 0.05, "10": 0.1, "25": 0.25, "50": 0.5, "75": 0.75, "90": 0.9, "95": 0.95}
@@ -384,12 +384,12 @@ _Q = {"05": 0.05, "10": 0.1, "25": 0.25, "50": 0.5, "75": 0.75, "90": 0.9, "95":
     "hag_profile",
     with_ctes(
         "whag",
-        f"""select scene, pose_index, class_label, count(*) as n, {', '.join(f"{r(f'quantile_cont(hag, {p})', 4)} as hag_p{n}" for n, p in _Q.items())},
+        f"""select scene, pose_index, class_label, count(*) as n, {', '.join(f"{r(f'quantile_cont(hag, {p})', 8)} as hag_p{n}" for n, p in _Q.items())},
 {', '.join(f"{r(f'100e0*count(*) filter (hag > {t})/count(*)', 6)} as survival_{t}m" for t in (2, 5, 10, 15, 20, 25))}
 from whag where class_id >= 0 group by scene, pose_index, class_label""",
     ),
 )
 def _(inp: Inputs):
     profile = ground.hag_profile(ground.scene_ground_lookup(inp.points_unnumbered))
-    profile = rounded(profile, [f"hag_p{n}" for n in _Q], 4)
+    profile = rounded(profile, [f"hag_p{n}" for n in _Q], 8)
     return rounded(profile, [f"survival_{t}m" for t in (2, 5, 10, 15, 20, 25)])
