@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from skysweep.checks import clean_queries, frame_queries, ground_queries  # noqa: F401
+from skysweep.checks import clean_queries, frame_queries, ground_queries, post_queries  # noqa: F401
 from skysweep.checks.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
