@@ -113,7 +113,7 @@ def _part_columns(spaces: Sequence[Space], level: int) -> dict[str, Column]:
     return {f"part_{c}": cell_of(F.col(c), s.radius / F.lit(float(SPLIT**level))) for s in spaces for c in s.columns}
 
 
-def _parts(rows: DataFrame, spaces: Sequence[Space], level: int, keys: Sequence[str]) -> DataFrame:
+def _parts(rows: DataFrame, spaces: Sequence[Space], level: int) -> DataFrame:
     """Bounding boxes of the level's parts of every cell, with the part of the level above each lies in."""
     above = {}
     if level > 1:
@@ -122,7 +122,7 @@ def _parts(rows: DataFrame, spaces: Sequence[Space], level: int, keys: Sequence[
     return parted.groupBy("node", *[f"part_{c}" for c in _coordinates(spaces)], *above).agg(*_bounds(spaces))
 
 
-def _descend(open_pairs: DataFrame, parts: DataFrame, suffix: str, spaces: Sequence[Space], level: int, drop_part: bool) -> DataFrame:
+def _descend(open_pairs: DataFrame, parts: DataFrame, suffix: str, spaces: Sequence[Space], level: int) -> DataFrame:
     """Replace the cell part on one side of every open pair by its parts one level down."""
     on = [f"node_{suffix}"]
     down = suffixed(parts, f"_{suffix}")
@@ -178,9 +178,9 @@ def rows_within(
             named = open_pairs.select(F.col("node_b").alias("node")).distinct()
             tree = cut_lineage(rows.join(named, "node", "left_semi"))
         part_names = [f"part_{c}_b" for c in xs]
-        parts = _parts(tree, spaces, level, keys)
+        parts = _parts(tree, spaces, level)
         carried = [*bare, "node_b", *(part_names if level > 1 else [])]
-        down = _descend(open_pairs.select(*carried), parts, "b", spaces, level, False)
+        down = _descend(open_pairs.select(*carried), parts, "b", spaces, level)
         source = tree.withColumns(_part_columns(spaces, level))
         source = source.select(
             F.col("node").alias("node_b"),
@@ -200,12 +200,17 @@ def near_components(df: DataFrame, keys: Sequence[str], id_column: str, spaces:
     A link cell is one node, whatever the number of its rows. Two cells are joined when one pair of their rows is linked.
     """
     rows, nodes = link_cells(df, keys, id_column, spaces)
+    return components_of_cells(rows, nodes, keys, spaces, label).drop("node")
+
+
+def components_of_cells(rows: DataFrame, nodes: DataFrame, keys: Sequence[str], spaces: Sequence[Space], label: str) -> DataFrame:
+    """The same for rows and cells that ``link_cells`` made before."""
     edges = _cell_edges(rows, nodes, keys, spaces)
     found = connected_components(nodes.select(F.col("node").alias("id")), edges).withColumnRenamed("id", "node")
     named = nodes.select("node", "first_id").join(found, "node")
     smallest = named.groupBy("component").agg(F.min("first_id").alias(label))
     labels = named.join(smallest, "component").select("node", label)
-    return rows.join(labels, "node").drop("node")
+    return rows.join(labels, "node")
 
 
 def _cell_edges(rows: DataFrame, nodes: DataFrame, keys: Sequence[str], spaces: Sequence[Space]) -> DataFrame:
@@ -240,11 +245,11 @@ def _cell_edges(rows: DataFrame, nodes: DataFrame, keys: Sequence[str], spaces:
         if tree is None:
             named = open_pairs.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct()
             tree = cut_lineage(rows.join(named, "node", "left_semi"))
-        parts = cut_lineage(_parts(tree, spaces, level, keys))
+        parts = cut_lineage(_parts(tree, spaces, level))
         part = [f"part_{c}" for c in names]
         above = [f"{p}_{s}" for p in part for s in "ab"] if level > 1 else []
-        down = _descend(open_pairs.select(*keys, "node_a", "node_b", *above), parts, "a", spaces, level, True)
-        down = _descend(down, parts, "b", spaces, level, True)
+        down = _descend(open_pairs.select(*keys, "node_a", "node_b", *above), parts, "a", spaces, level)
+        down = _descend(down, parts, "b", spaces, level)
         open_pairs = sort_out(down, tree.withColumns(_part_columns(spaces, level)), part)
         level += 1
     return reduce(DataFrame.unionByName, edges)
