@@ -11,6 +11,7 @@ from skysweep.checks.sqltext import cte, r, with_ctes
 from skysweep.functions.columns import half_turn, rnd
 from skysweep.operators import boxfit, cluster
 from skysweep.plans import detection
+from skysweep.session import cut_lineage
 
 TUNED = schema.overlay_parameters(schema.RUN_TUNED)
 # The stand-in points are thin, so detection is run with a wide radius.
@@ -19,8 +20,17 @@ GROUP = [*schema.FRAME, "class_id", "class_label"]
 XYZ = ["x", "y", "z"]
 
 
+def stored(df):
+    """The clustering operators read their input several times, as they would read a stored point table."""
+    return cut_lineage(df)
+
+
 def obstacles(inp: Inputs):
-    return inp.points.filter("class_id >= 0").select(*GROUP, "point_id", *XYZ)
+    return stored(inp.points.filter("class_id >= 0").select(*GROUP, "point_id", *XYZ))
+
+
+def all_points(inp: Inputs):
+    return stored(inp.points.select(*GROUP, "point_id", *XYZ))
 
 
 cte(
@@ -137,7 +147,7 @@ def _(inp: Inputs):
 
 @query("min_cluster_filter", with_ctes("cpoints", f"select {GKEYS}, point_id, cluster from final_points", recursive=True, extra=MERGED))
 def _(inp: Inputs):
-    return cluster.cluster_points(inp.points, schema.RUN_TUNED).select(*GROUP, "point_id", "cluster")
+    return cluster.cluster_points(obstacles(inp), schema.RUN_TUNED).select(*GROUP, "point_id", "cluster")
 
 
 _OBB_RUN = MERGED + ",\n" + obb_sql("final_points", f"{GKEYS}, cluster", PADDING)
@@ -145,7 +155,7 @@ _OBB_RUN = MERGED + ",\n" + obb_sql("final_points", f"{GKEYS}, cluster", PADDING
 
 @query("extract_boxes", with_ctes("cpoints", f"select {GKEYS}, cluster, {', '.join(BOX_VALUES)}, num_points from obb", recursive=True, extra=_OBB_RUN))
 def _(inp: Inputs):
-    return rounded(cluster.extract_boxes(inp.points, schema.RUN_TUNED), BOX_VALUES, 5)
+    return rounded(cluster.extract_boxes(obstacles(inp), schema.RUN_TUNED), BOX_VALUES, 5)
 
 
 @query(
@@ -159,7 +169,7 @@ ego_x, ego_y, ego_z, ego_yaw, {', '.join(BOX_VALUES)}, class_id as "class_ID", c
     ),
 )
 def _(inp: Inputs):
-    return rounded(cluster.gt_boxes_run(inp.points, inp.frames, schema.RUN_TUNED), BOX_VALUES, 5)
+    return rounded(cluster.gt_boxes_run(obstacles(inp), inp.frames, schema.RUN_TUNED), BOX_VALUES, 5)
 
 
 @query(
@@ -173,7 +183,7 @@ def _(inp: Inputs):
     ),
 )
 def _(inp: Inputs):
-    stats = cluster.run_statistics(cluster.gt_boxes_run(inp.points, inp.frames, schema.RUN_TUNED))
+    stats = cluster.run_statistics(cluster.gt_boxes_run(obstacles(inp), inp.frames, schema.RUN_TUNED))
     return rounded(rounded(stats, ["mean_width", "mean_length", "mean_height"], 3), ["mean_points"])
 
 
@@ -203,7 +213,7 @@ cut as (select scene, pose_index, point_id, x, y, z, class_id, class_label, case
 
 
 def _cut(inp: Inputs):
-    high = cluster.height_prefilter(inp.points, SET["min_height"], SET["min_cluster_size"])
+    high = cluster.height_prefilter(all_points(inp), SET["min_height"], SET["min_cluster_size"])
     return cluster.density_cut(high, SET["epsilon"], SET["min_samples"], SET["min_cluster_size"])
 
 
@@ -222,13 +232,13 @@ def _(inp: Inputs):
 @query("detect_frame")
 def _(inp: Inputs):
     columns = ["bbox_center_x", "bbox_center_y", "bbox_center_z", "bbox_length", "bbox_width", "bbox_height", "bbox_volume"]
-    found = detection.detect(inp.points, **WIDE)
+    found = detection.detect(all_points(inp), **WIDE)
     return rounded(found, columns, 4).select(*schema.FRAME, "cluster", "n_points", "n_fragments", *columns, "predicted_class", "gt_class", rnd("geo_confidence", 6).alias("geo_confidence"))
 
 
 @query("detect_dataset")
 def _(inp: Inputs):
-    return detection.detection_report(detection.detect(inp.points, **WIDE), inp.frames)
+    return detection.detection_report(detection.detect(all_points(inp), **WIDE), inp.frames)
 
 
 # --- boxes of whole (frame, class) groups ------------------------------------------------------------------------
@@ -289,7 +299,7 @@ feat as (select m.scene, m.pose_index, m.class_id, m.n_points, len, wid, hei, le
   m.n_points/greatest(len*wid*hei, 0.01e0) as density, z_min, z_max, z_mean, z_std, z_min as z_above_ground, hei/greatest(len, wid, 0.01e0) as vertical_ratio,
   sqrt(len*len + wid*wid) as xy_extent from minrect m join (select scene, pose_index, class_id, min(z) as z_min, max(z) as z_max, avg(z) as z_mean,
   stddev_pop(z) as z_std from cpoints group by all) z using (scene, pose_index, class_id))"""
-_F6 = ["aspect_lw", "aspect_lh", "aspect_wh", "elongation", "flatness", "z_mean", "z_std", "vertical_ratio"]
+_F6 = ["aspect_lw", "aspect_lh", "aspect_wh", "elongation", "flatness", "z_std", "vertical_ratio"]
 _CLUSTER = [*schema.FRAME, "class_id"]
 
 
@@ -303,14 +313,14 @@ def _features(inp: Inputs):
     with_ctes(
         "cpoints",
         f"""select scene, pose_index, class_id, n_points, {r('len', 4)} as bbox_length, {r('wid', 4)} as bbox_width, {r('hei', 4)} as bbox_height, {r('vol', 1)} as bbox_volume,
-{', '.join(f'{r(f, 5)} as {f}' for f in _F6)}, {r('density', 9)} as density, z_min, z_max, z_above_ground, {r('xy_extent', 4)} as xy_extent from feat""",
+{', '.join(f'{r(f, 5)} as {f}' for f in _F6)}, {r("density", 9)} as density, {r("z_mean", 8)} as z_mean, z_min, z_max, z_above_ground, {r('xy_extent', 4)} as xy_extent from feat""",
         extra=FEATURES,
     ),
 )
 def _(inp: Inputs):
     features = rounded(_features(inp), ["bbox_length", "bbox_width", "bbox_height", "xy_extent"], 4)
     features = rounded(rounded(features, ["bbox_volume"], 1), ["density"], 9)
-    return rounded(features, _F6, 5).drop(*[f"bbox_center_{a}" for a in XYZ], "bbox_yaw")
+    return rounded(rounded(features, _F6, 5), ["z_mean"], 8).drop(*[f"bbox_center_{a}" for a in XYZ], "bbox_yaw")
 
 
 @query(

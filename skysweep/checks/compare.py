@@ -76,18 +76,19 @@ def main(folder: str, keys: list[str]) -> int:
             mine = QUERIES[key](spark, folder).toPandas()
         except Exception as error:  # report and go on with the other queries
             failures += 1
-            print(f"FAIL {key}: {str(error)[:600]}")
+            print(f"FAIL {key}: {str(error)[:600]}", flush=True)
             continue
         took = time.time() - started
+        print(f"     {key} ran {took:.1f}s", flush=True)
         if key not in SQL:
-            print(f"rows {key}: {len(mine)} rows {took:.1f}s")
+            print(f"rows {key}: {len(mine)} rows {took:.1f}s", flush=True)
             continue
         started = time.time()
         try:
             other = con.execute(SQL[key]).fetchdf()
         except Exception as error:
             failures += 1
-            print(f"FAIL {key}: sql {str(error)[:600]}")
+            print(f"FAIL {key}: sql {str(error)[:600]}", flush=True)
             continue
         sql_took = time.time() - started
         problem = difference(mine, other)

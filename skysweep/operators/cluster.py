@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skysweep.functions.columns import label_of, pick_by_class
 from skysweep.operators.boxfit import obb_yaw_pca
-from skysweep.operators.near import Space, components_of_cells, link_cells, near_components, rows_within
+from skysweep.operators.near import Space, cell_bounds, components_of_cells, link_cells, near_components, rows_within
 from skysweep.schema import FRAME, POSE, overlay_parameters
 from skysweep.session import cut_lineage
 
@@ -49,18 +49,17 @@ def dbscan(points: DataFrame, keys: Sequence[str], eps: Column, min_samples: Col
     """
     space = Space(XYZ, eps)
     rows, nodes = link_cells(points.select(*keys, "point_id", *XYZ), keys, "point_id", [space])
-    rows = cut_lineage(rows.join(nodes.select("node", F.col("n").alias("cell_points")), "node"))
-    dense = F.col("cell_points") >= min_samples
+    rows = cut_lineage(rows)
+    dense = F.col("cell_rows") >= min_samples
     thin = rows.filter(~dense)
     pairs, counted = rows_within(thin, rows, nodes, keys, "point_id", [], space, whole_cells=True)
     identity = [*keys, "point_id"]
     neighbours = pairs.groupBy(*keys, "point_id_a").agg(F.count(F.lit(1)).alias("n")).unionByName(counted)
     neighbours = neighbours.groupBy(*keys, F.col("point_id_a").alias("point_id")).agg(F.sum("n").alias("neighbours"))
     thin_core = neighbours.filter(F.col("neighbours") >= min_samples).select(*identity)
-    bare = [*identity, *XYZ]
-    core = rows.filter(dense).select(*bare).unionByName(thin.join(thin_core, identity, "left_semi").select(*bare))
-    core_rows, core_nodes = link_cells(core, keys, "point_id", [space])
-    core_rows = cut_lineage(core_rows)
+    # Core points stay in the link cells they already have.
+    core_rows = cut_lineage(rows.filter(dense).unionByName(thin.join(thin_core, identity, "left_semi").select(*rows.columns)))
+    core_nodes = core_rows.groupBy(*keys, "node").agg(*cell_bounds("point_id", [space]))
     clustered = components_of_cells(core_rows, core_nodes, keys, [space], "cluster")
     if not borders:
         found = clustered.select(*identity, "cluster")

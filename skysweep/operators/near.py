@@ -70,6 +70,11 @@ def _coordinates(spaces: Sequence[Space]) -> list[str]:
     return [c for space in spaces for c in space.columns]
 
 
+def cell_bounds(id_column: str, spaces: Sequence[Space]) -> list[Column]:
+    """Aggregates that describe a cell: its smallest id, row count and bounding box."""
+    return [F.min(id_column).alias("first_id"), *_bounds(spaces)]
+
+
 def _bounds(spaces: Sequence[Space]) -> list[Column]:
     return [
         F.count(F.lit(1)).alias("n"),
@@ -88,12 +93,13 @@ def _side(space: Space) -> Column:
 
 
 def link_cells(df: DataFrame, keys: Sequence[str], id_column: str, spaces: Sequence[Space]) -> tuple[DataFrame, DataFrame]:
-    """Rows with the number of their link cell (``node``), and the table of cells."""
+    """Rows with the number of their link cell (``node``) and its size (``cell_rows``), and the table of cells."""
     cell = {f"cell_{c}": cell_of(F.col(c), _side(s)) for s in spaces for c in s.columns}
     placed = df.withColumns(cell)
-    nodes = placed.groupBy(*keys, *cell).agg(F.min(id_column).alias("first_id"), *_bounds(spaces))
+    nodes = placed.groupBy(*keys, *cell).agg(*cell_bounds(id_column, spaces))
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
-    rows = placed.join(nodes.select(*keys, *cell, "node"), [*keys, *cell]).drop(*cell)
+    found = nodes.select(*keys, *cell, "node", F.col("n").alias("cell_rows"))
+    rows = placed.join(found, [*keys, *cell]).drop(*cell)
     return rows, nodes
 
 
@@ -200,7 +206,7 @@ def near_components(df: DataFrame, keys: Sequence[str], id_column: str, spaces:
     A link cell is one node, whatever the number of its rows. Two cells are joined when one pair of their rows is linked.
     """
     rows, nodes = link_cells(df, keys, id_column, spaces)
-    return components_of_cells(rows, nodes, keys, spaces, label).drop("node")
+    return components_of_cells(rows, nodes, keys, spaces, label).drop("node", "cell_rows")
 
 
 def components_of_cells(rows: DataFrame, nodes: DataFrame, keys: Sequence[str], spaces: Sequence[Space], label: str) -> DataFrame:
