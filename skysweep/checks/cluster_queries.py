@@ -259,8 +259,8 @@ rects as (select p.scene, p.pose_index, p.class_id, t, max(x*cos(t) + y*sin(t))
 best as (select * from rects qualify row_number() over (partition by scene, pose_index, class_id order by (u1-u0)*(v1-v0), t) = 1),
 minrect as (select scene, pose_index, class_id, n_points, {cx} as bbox_center_x, {cy} as bbox_center_y, {cz} as bbox_center_z,
   {l} as bbox_length, {w} as bbox_width, {h} as bbox_height, greatest(u1-u0, v1-v0) as len, least(u1-u0, v1-v0) as wid, h as hei from best where n_points >= 4)""".format(
-    cx=r("(u0+u1)/2*cos(t) - (v0+v1)/2*sin(t)", 4),
-    cy=r("(u0+u1)/2*sin(t) + (v0+v1)/2*cos(t)", 4),
+    cx=r("(u0+u1)/2*cos(t) - (v0+v1)/2*sin(t)", 5),
+    cy=r("(u0+u1)/2*sin(t) + (v0+v1)/2*cos(t)", 5),
     cz=r("cz", 5),
     l=r("greatest(u1-u0, v1-v0)", 4),
     w=r("least(u1-u0, v1-v0)", 4),
@@ -278,8 +278,8 @@ minrect as (select scene, pose_index, class_id, n_points, {cx} as bbox_center_x,
 )
 def _(inp: Inputs):
     boxes = boxfit.obb_min_area(obstacles(inp), [*schema.FRAME, "class_id"])
-    boxes = rounded(boxes, ["bbox_center_x", "bbox_center_y", "bbox_length", "bbox_width", "bbox_height"], 4)
-    return rounded(boxes, ["bbox_center_z"], 5).drop("bbox_yaw", "bbox_volume")
+    boxes = rounded(boxes, ["bbox_length", "bbox_width", "bbox_height"], 4)
+    return rounded(boxes, [f"bbox_center_{a}" for a in XYZ], 5).drop("bbox_yaw", "bbox_volume")
 
 
 @query("obb_pca3d")
@@ -391,7 +391,8 @@ def _(inp: Inputs):
 @query("detect_cables")
 def _(inp: Inputs):
     columns = ["bbox_center_x", "bbox_center_y", "bbox_center_z", "bbox_length", "bbox_width", "bbox_height"]
-    cables = boxfit.detect_cables(_cut(inp), schema.FRAME, 2.0, 60.0)
+    members, features = boxfit.measured_clusters(_cut(inp), schema.FRAME)
+    cables = boxfit.detect_cables(members, features, schema.FRAME, 2.0, 60.0)
     return rounded(cables, columns, 4).select(*schema.FRAME, "cluster", "n_points", "n_fragments", *columns, "predicted_class", "geo_confidence")
 
 

@@ -61,8 +61,8 @@ def label_of(class_id: str = "class_id", other: str = BACKGROUND) -> Column:
 
 
 def draw(key: Column, seed: int = 0) -> Column:
-    """Repeatable whole-number draw in [0, 2^31) from a whole-number key."""
-    return ((key.cast("long") + F.lit(seed)) * 1103515245 + 12345) % 2147483648
+    """Repeatable whole-number draw in [0, 2^31) from a whole-number key; the key is reduced first, so it may be large."""
+    return ((key.cast("long") + F.lit(seed)) % 2147483648 * 1103515245 + 12345) % 2147483648
 
 
 def uniform(key: Column, seed: int = 0) -> Column:

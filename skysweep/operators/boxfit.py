@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from skysweep.functions.columns import rnd, wrap_angle
 from skysweep.operators.near import Space, near_components
 from skysweep.schema import BACKGROUND_ID, CLASS_NAMES
+from skysweep.session import cut_lineage
 
 # Covariances are rounded here so that a cluster without a direction has none in any order of summation.
 COV_DIGITS = 9
@@ -351,20 +352,26 @@ def merge_fragments(fragments: DataFrame, keys: Sequence[str], id_column: str, m
     return fragments.join(found, [*keys, id_column])
 
 
-def detect_cables(clustered: DataFrame, keys: Sequence[str], min_elongation: float = 8.0, merge_distance: float = 10.0) -> DataFrame:
-    """Cables: elongated clusters of 20 or more points, near and collinear ones refitted as one box."""
-    keys = list(keys)
+def measured_clusters(clustered: DataFrame, keys: Sequence[str], min_points: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Points of the clusters large enough to judge, and the features of those clusters; both are stored."""
     by_cluster = [*keys, "cluster"]
     members = clustered.filter(F.col("cluster") != -1)
-    sizes = members.groupBy(*by_cluster).agg(F.count(F.lit(1)).alias("n")).filter("n >= 20").select(*by_cluster)
-    members = members.join(sizes, by_cluster, "left_semi")
-    features = cluster_features(members, obb_min_area(members, by_cluster), by_cluster)
+    sizes = members.groupBy(*by_cluster).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_points)
+    members = cut_lineage(members.join(sizes.select(*by_cluster), by_cluster, "left_semi"))
+    return members, cut_lineage(cluster_features(members, obb_min_area(members, by_cluster), by_cluster))
+
+
+def detect_cables(members: DataFrame, features: DataFrame, keys: Sequence[str], min_elongation: float = 8.0, merge_distance: float = 10.0) -> DataFrame:
+    """Cables: elongated clusters, near and collinear ones refitted as one box."""
+    keys = list(keys)
+    by_cluster = [*keys, "cluster"]
     elongated = features.filter(F.col("elongation") >= F.lit(float(min_elongation)))
     directions = principal_direction(members, by_cluster).drop("n_points")
-    grouped = merge_fragments(elongated.join(directions, by_cluster), keys, "cluster", merge_distance)
+    directed = cut_lineage(elongated.join(directions, by_cluster))
+    grouped = cut_lineage(merge_fragments(directed, keys, "cluster", merge_distance).select(*by_cluster, "fragment_group"))
     counts = grouped.groupBy(*keys, "fragment_group").agg(F.count(F.lit(1)).alias("n_fragments"))
-    joined = members.join(grouped.select(*by_cluster, "fragment_group"), by_cluster)
-    whole = joined.drop("cluster").withColumnRenamed("fragment_group", "cluster")
+    whole = members.join(grouped, by_cluster).drop("cluster").withColumnRenamed("fragment_group", "cluster")
+    whole = cut_lineage(whole)
     refit = cluster_features(whole, obb_min_area(whole, by_cluster), by_cluster)
     return (
         refit.join(counts.withColumnRenamed("fragment_group", "cluster"), by_cluster)
@@ -377,12 +384,9 @@ def detect_objects(clustered: DataFrame, keys: Sequence[str], min_elongation: fl
     """Object-like clusters with class by geometry; cables are replaced by merged cables."""
     keys = list(keys)
     by_cluster = [*keys, "cluster"]
-    members = clustered.filter(F.col("cluster") != -1)
-    sizes = members.groupBy(*by_cluster).agg(F.count(F.lit(1)).alias("n")).filter("n >= 20").select(*by_cluster)
-    members = members.join(sizes, by_cluster, "left_semi")
-    features = cluster_features(members, obb_min_area(members, by_cluster), by_cluster)
+    members, features = measured_clusters(clustered, keys)
     likely = object_like(features).filter("is_object").drop("reason", "is_object")
     classed = geo_classify(likely).join(dominant_class(members, by_cluster), by_cluster)
     others = classed.filter(F.col("predicted_class") != "Cable")
-    cables = detect_cables(clustered, keys, min_elongation, merge_distance)
+    cables = detect_cables(members, features, keys, min_elongation, merge_distance)
     return others.unionByName(cables, allowMissingColumns=True)
