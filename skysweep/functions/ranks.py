@@ -58,20 +58,20 @@ def wide_percentiles(
         F.min("value").alias("__min"),
         F.max("value").alias("__max"),
     )
+    # Where the slack is less than a few rows the whole group is the bracket.
+    thin = F.col("__total") < 4 * accuracy
+
+    def edge(p: float, end: str) -> Column:
+        if not 0 < p < 1:
+            return F.col(end)
+        return F.when(thin, F.col(end)).otherwise(F.element_at("__q", probes.index(round(p, 12)) + 1))
+
     wanted = [
         F.struct(
             F.lit(float(p)).alias("p"),
             (F.lit(float(p)) * (F.col("__total") - 1)).alias("rank"),
-            (
-                F.col("__min")
-                if p - slack <= 0
-                else F.element_at("__q", probes.index(round(p - slack, 12)) + 1)
-            ).alias("low"),
-            (
-                F.col("__max")
-                if p + slack >= 1
-                else F.element_at("__q", probes.index(round(p + slack, 12)) + 1)
-            ).alias("high"),
+            edge(p - slack, "__min").alias("low"),
+            edge(p + slack, "__max").alias("high"),
         )
         for p in probabilities
     ]
