@@ -101,10 +101,12 @@ def greedy_suppression(
             centre = F.col(f"bbox_center_{a}")
             probes = probes.withColumn(f"__c{a}", F.explode(cells_between(centre - reach, centre + reach, side)))
         met = suffixed(probes, "_b", cell).join(suffixed(best, "_a", cell), cell)
-        ahead = met.filter(better("_a", "_b"))
         past_best = F.col("__rank_a") > best_per_cell
+        # The marker row waits as well: as it suppresses nobody in this round, it must not be kept in it.
+        marker = past_best & (F.col(f"{unique}_a") == F.col(f"{unique}_b"))
+        ahead = met.filter(better("_a", "_b") | marker)
         blocked = ahead.filter(past_best | (overlap > F.lit(threshold))).select(
-            F.col(unique).alias("loser") if unique in keys else F.col(f"{unique}_b").alias("loser"),
+            F.col(f"{unique}_b").alias("loser"),
             F.when(~past_best, F.col(f"{unique}_a")).alias("winner"),
         )
         pairs = cut_lineage(blocked.distinct())

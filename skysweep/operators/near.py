@@ -212,10 +212,11 @@ def near_components(df: DataFrame, keys: Sequence[str], id_column: str, spaces:
 def components_of_cells(rows: DataFrame, nodes: DataFrame, keys: Sequence[str], spaces: Sequence[Space], label: str) -> DataFrame:
     """The same for rows and cells that ``link_cells`` made before."""
     edges = _cell_edges(rows, nodes, keys, spaces)
-    found = connected_components(nodes.select(F.col("node").alias("id")), edges).withColumnRenamed("id", "node")
+    found = connected_components(nodes.select(F.col("node").alias("id")), edges)
+    found = found.select(F.col("id").alias("node"), F.col("component").alias("__root"))
     named = nodes.select("node", "first_id").join(found, "node")
-    smallest = named.groupBy("component").agg(F.min("first_id").alias(label))
-    labels = named.join(smallest, "component").select("node", label)
+    smallest = named.groupBy("__root").agg(F.min("first_id").alias(label))
+    labels = named.join(smallest, "__root").select("node", label)
     return rows.join(labels, "node")
 
 
