@@ -313,14 +313,16 @@ def _features(inp: Inputs):
     with_ctes(
         "cpoints",
         f"""select scene, pose_index, class_id, n_points, {r('len', 4)} as bbox_length, {r('wid', 4)} as bbox_width, {r('hei', 4)} as bbox_height, {r('vol', 1)} as bbox_volume,
-{', '.join(f'{r(f, 5)} as {f}' for f in _F6)}, {r("density", 9)} as density, {r("z_mean", 8)} as z_mean, z_min, z_max, z_above_ground, {r('xy_extent', 4)} as xy_extent from feat""",
+{', '.join(f'{r(f, 5)} as {f}' for f in _F6)}, {r("density", 9)} as density, {r("z_mean + 1e-9", 6)} as z_mean, z_min, z_max, z_above_ground, {r('xy_extent', 4)} as xy_extent from feat""",
         extra=FEATURES,
     ),
 )
 def _(inp: Inputs):
     features = rounded(_features(inp), ["bbox_length", "bbox_width", "bbox_height", "xy_extent"], 4)
     features = rounded(rounded(features, ["bbox_volume"], 1), ["density"], 9)
-    return rounded(rounded(features, _F6, 5), ["z_mean"], 8).drop(*[f"bbox_center_{a}" for a in XYZ], "bbox_yaw")
+    # Means of four-decimal heights can end in an exact half step; the tiny shift rounds it the same way everywhere.
+    features = features.withColumn("z_mean", rnd(F.col("z_mean") + F.lit(1e-9), 6))
+    return rounded(features, _F6, 5).drop(*[f"bbox_center_{a}" for a in XYZ], "bbox_yaw")
 
 
 @query(

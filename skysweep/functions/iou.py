@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = {"x": "bbox_width", "y": "bbox_length", "z": "bbox_height"}
@@ -43,14 +43,22 @@ def iou_major(a: str = "_a", b: str = "_b") -> Column:
     return F.when(union > 0, F.try_divide(shared, union)).otherwise(0.0)
 
 
-def iou_cylinder(a: str = "_a", b: str = "_b") -> Column:
-    """Overlap of upright cylinders around the boxes: circle lens times shared height."""
-    r1 = F.greatest(F.col(f"bbox_width{a}"), F.col(f"bbox_length{a}")) / 2
-    r2 = F.greatest(F.col(f"bbox_width{b}"), F.col(f"bbox_length{b}")) / 2
-    d = F.sqrt(
-        F.pow(F.col(f"bbox_center_x{a}") - F.col(f"bbox_center_x{b}"), 2)
-        + F.pow(F.col(f"bbox_center_y{a}") - F.col(f"bbox_center_y{b}"), 2)
-    )
+def add_iou_cylinder(pairs: DataFrame, a: str = "_a", b: str = "_b") -> DataFrame:
+    """Add ``iou`` of upright cylinders around the boxes: circle lens times shared height.
+
+    Radii, distance and lens are columns of their own, so that each is evaluated once per pair.
+    """
+    dx, dy = (F.col(f"bbox_center_{c}{a}") - F.col(f"bbox_center_{c}{b}") for c in "xy")
+    low, high = ([F.col(f"bbox_center_z{s}") + side * F.col(f"bbox_height{s}") / 2 for s in (a, b)] for side in (-1, 1))
+    sized = pairs.withColumns(
+        {
+            "r1": F.greatest(f"bbox_width{a}", f"bbox_length{a}") / 2,
+            "r2": F.greatest(f"bbox_width{b}", f"bbox_length{b}") / 2,
+            "d": F.sqrt(dx * dx + dy * dy),
+            "dz": _span(low[0], high[0], low[1], high[1]),
+        }
+    ).filter("dz > 0")
+    r1, r2, d = F.col("r1"), F.col("r2"), F.col("d")
 
     def sector(near: Column, far: Column) -> Column:
         cosine = (d * d + near * near - far * far) / (2 * d * near)
@@ -63,8 +71,9 @@ def iou_cylinder(a: str = "_a", b: str = "_b") -> Column:
         .when(d <= F.abs(r1 - r2), F.pi() * smaller * smaller)
         .otherwise(sector(r1, r2) + sector(r2, r1) - 0.5 * F.sqrt(kite))
     )
-    z1, z2 = F.col(f"bbox_center_z{a}"), F.col(f"bbox_center_z{b}")
-    h1, h2 = F.col(f"bbox_height{a}"), F.col(f"bbox_height{b}")
-    shared = area * _span(z1 - h1 / 2, z1 + h1 / 2, z2 - h2 / 2, z2 + h2 / 2)
-    union = F.pi() * r1 * r1 * h1 + F.pi() * r2 * r2 * h2 - shared
-    return F.when(union > 0, F.try_divide(shared, union)).otherwise(0.0)
+    shared = sized.withColumn("shared", area * F.col("dz"))
+    union = F.pi() * (r1 * r1 * F.col(f"bbox_height{a}") + r2 * r2 * F.col(f"bbox_height{b}")) - F.col("shared")
+    measured = shared.withColumn("union", union)
+    return measured.withColumn("iou", F.when(F.col("union") > 0, F.try_divide(F.col("shared"), F.col("union"))).otherwise(0.0)).drop(
+        "r1", "r2", "d", "dz", "shared", "union"
+    )

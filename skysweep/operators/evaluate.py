@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skysweep.functions.iou import extents, iou_aabb, iou_cylinder, iou_major
+from skysweep.functions.iou import add_iou_cylinder, extents, iou_aabb, iou_major
 from skysweep.functions.ranks import pivot_percentiles, wide_percentiles
 from skysweep.operators import boxfit, cluster
 from skysweep.operators.graph import connected_components
@@ -19,7 +19,7 @@ from skysweep.schema import CLASS_NAMES, FRAME
 from skysweep.session import cut_lineage
 
 SHAPE = [f"bbox_center_{a}" for a in "xyz"] + ["bbox_width", "bbox_length", "bbox_height"]
-MEASURES = {"aabb": iou_aabb, "major": iou_major, "cylinder": iou_cylinder}
+MEASURES = {"aabb": iou_aabb, "major": iou_major}
 
 
 def _half(measure: str) -> tuple[Column, Column]:
@@ -36,7 +36,8 @@ def iou_pairs(left: DataFrame, right: DataFrame, measure: str = "aabb", keys: Se
     half = _half(measure)
     columns = [*keys, "box_id", *SHAPE]
     pairs = overlapping_pairs(left.select(*columns), right.select(*columns), keys, half, half)
-    return pairs.withColumn("iou", MEASURES[measure]()).filter("iou > 0").select(*keys, "box_id_a", "box_id_b", "iou")
+    measured = add_iou_cylinder(pairs) if measure == "cylinder" else pairs.withColumn("iou", MEASURES[measure]())
+    return measured.filter("iou > 0").select(*keys, "box_id_a", "box_id_b", "iou")
 
 
 # --- one-to-one assignment ---------------------------------------------------------------------------------------
