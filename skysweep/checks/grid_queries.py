@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from skysweep.checks.registry import Inputs, query
 from skysweep.checks.sqltext import cte, r, with_ctes
 from skysweep.functions.columns import rnd
 from skysweep.operators import augment, bev, frames, voxels
+from skysweep.streaming.voxel_stream import latest_voxels, start_voxel_stream
 
 SIZE = 4.0
 cte(
@@ -95,21 +97,15 @@ def _(inp: Inputs):
 
 @query("voxel_stream", with_ctes("vworld", "select scene, vx, vy, vz, count(*) as hit_count, round(min(z_world), 4) + cast(0 as double) as z_min, round(max(z_world), 4) + cast(0 as double) as z_max, count(*) filter (class_id < 0) as votes_bg from vworld group by scene, vx, vy, vz"))
 def _(inp: Inputs):
-    from skysweep.session import cut_lineage
-    from skysweep.streaming.voxel_stream import start_voxel_stream
-
     folder = inp.spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and not inp.spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    work = tempfile.mkdtemp(prefix="voxel-stream-") if folder is None else f"{folder}/voxel-stream-{id(inp)}"
+    work = tempfile.mkdtemp(prefix="voxel-stream-") if folder is None else f"{folder}/voxel-stream-{uuid.uuid4().hex}"
     points = inp.points_unnumbered
     points.write.mode("overwrite").parquet(f"{work}/points")
     stream = inp.spark.readStream.schema(points.schema).parquet(f"{work}/points")
-    name = f"voxel_stream_{id(inp)}"
-    running = start_voxel_stream(stream, name, f"{work}/state", SIZE)
-    running.awaitTermination()
-    table = cut_lineage(inp.spark.table(name))
-    inp.spark.catalog.dropTempView(name)
+    start_voxel_stream(stream, f"{work}/voxels", f"{work}/state", SIZE).awaitTermination()
+    table = latest_voxels(inp.spark.read.parquet(f"{work}/voxels"))
     return rounded(table, ["z_min", "z_max"], 4).select(*voxels.VOXEL, "hit_count", "z_min", "z_max", "votes_bg")
 
 

@@ -72,7 +72,3 @@ def uniform(key: Column, seed: int = 0) -> Column:
 def frame_number() -> Column:
     """Whole-number key of a frame, for per-frame draws."""
     return F.regexp_extract("scene", "([0-9]+)$", 1).cast("long") * 1000003 + F.col("pose_index")
-
-
-def file_name_of_frame(pose_index: Column) -> Column:
-    return F.format_string("frame_%03d", pose_index.cast("int"))

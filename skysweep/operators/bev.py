@@ -36,8 +36,9 @@ def pillar_cap(points: DataFrame, g: dict = BEV) -> DataFrame:
     chosen = W.partitionBy(*FRAME).orderBy(draw(flat), flat)
     kept = pillars.withColumn("__rank", F.row_number().over(chosen)).filter(F.col("__rank") <= g["max_pillars"]).drop("__rank")
     first = W.partitionBy(*PILLAR).orderBy("point_id")
-    slotted = indexed.withColumn("slot", F.row_number().over(first) - 1).filter(F.col("slot") < g["max_points"])
-    return slotted.join(kept, PILLAR)
+    # The plain rank filter lets Spark drop the surplus of a pillar before the shuffle.
+    slotted = indexed.withColumn("__rn", F.row_number().over(first)).filter(F.col("__rn") <= g["max_points"])
+    return slotted.withColumn("slot", F.col("__rn") - 1).drop("__rn").join(kept, PILLAR)
 
 
 def pillar_features(points: DataFrame, g: dict = BEV) -> DataFrame:

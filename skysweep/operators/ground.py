@@ -309,11 +309,6 @@ def _world_tile(axis: str, tile_size: float) -> Column:
     return F.least(F.greatest(cell, F.lit(0)), F.col(f"n{axis}") - 1)
 
 
-def model_frames(frames: DataFrame, max_frames: int = 20) -> DataFrame:
-    """The first frames of every scene, on which its ground model rests."""
-    return frames.filter(F.col("pose_index") < max_frames).select(*FRAME)
-
-
 def scene_ground_model(points: DataFrame, tile_size: float = 10.0, max_frames: int = 20) -> DataFrame:
     """Lowest z per world tile; an empty tile takes the median of the filled tiles around it.
 

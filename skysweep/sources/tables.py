@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skysweep.schema import BOXES_SCHEMA, FRAME, RETURNS_SCHEMA, SUBMISSION_COLUMNS
 
@@ -130,7 +129,3 @@ def skip_existing_scenes(scenes: DataFrame, finished: DataFrame, force: bool = F
     if force:
         return scenes
     return scenes.join(finished.select("scene").distinct(), "scene", "left_anti")
-
-
-def empty_like(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)

@@ -98,8 +98,9 @@ def test_stream_matches_batch(spark, points, tmp_path):
     points.repartition(4).write.parquet(str(tmp_path / "points"))
     source = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "points"))
     batch = voxels.voxel_accumulate(points, 4.0)
-    voxel_stream.start_voxel_stream(source, "voxels_now", str(tmp_path / "state"), 4.0).awaitTermination()
-    streamed = spark.table("voxels_now").select(*voxels.VOXEL, "hit_count", "votes_0", "votes_bg")
+    voxel_stream.start_voxel_stream(source, str(tmp_path / "voxels"), str(tmp_path / "state"), 4.0).awaitTermination()
+    latest = voxel_stream.latest_voxels(spark.read.parquet(str(tmp_path / "voxels")))
+    streamed = latest.select(*voxels.VOXEL, "hit_count", "votes_0", "votes_bg")
     assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0 and streamed.count() == batch.count()
     voxel_stream.start_voxel_parts(source, str(tmp_path / "parts"), str(tmp_path / "state2"), 4.0).awaitTermination()
     exact = voxel_stream.voxels_from_parts(spark.read.parquet(str(tmp_path / "parts")))
