@@ -116,10 +116,12 @@ def _(inp: Inputs):
 
 @query(
     "cluster_centroids",
-    with_ctes("cpoints", f"select {GKEYS}, cluster, {', '.join(f'{r(f'avg({a})', 6)} as {a}' for a in XYZ)}, count(*) as n from labelled where cluster >= 0 group by {GKEYS}, cluster", recursive=True, extra=DBSCAN),
+    with_ctes("cpoints", f"select {GKEYS}, cluster, {', '.join(f'{r(f'avg({a}) + 1e-9', 6)} as {a}' for a in XYZ)}, count(*) as n from labelled where cluster >= 0 group by {GKEYS}, cluster", recursive=True, extra=DBSCAN),
 )
 def _(inp: Inputs):
-    return rounded(cluster.cluster_centroids(cluster.class_dbscan(obstacles(inp), TUNED), GROUP), XYZ)
+    centroids = cluster.cluster_centroids(cluster.class_dbscan(obstacles(inp), TUNED), GROUP)
+    # The tiny shift keeps exact half steps from rounding either way.
+    return centroids.withColumns({a: rnd(F.col(a) + F.lit(1e-9), 6) for a in XYZ})
 
 
 @query("merge_clusters", with_ctes("cpoints", f"select {GKEYS}, point_id, cluster from mpoints", recursive=True, extra=MERGED))

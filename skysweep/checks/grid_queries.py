@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from skysweep import schema
@@ -97,10 +94,7 @@ def _(inp: Inputs):
 
 @query("voxel_stream", with_ctes("vworld", "select scene, vx, vy, vz, count(*) as hit_count, round(min(z_world), 4) + cast(0 as double) as z_min, round(max(z_world), 4) + cast(0 as double) as z_max, count(*) filter (class_id < 0) as votes_bg from vworld group by scene, vx, vy, vz"))
 def _(inp: Inputs):
-    folder = inp.spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not inp.spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    work = tempfile.mkdtemp(prefix="voxel-stream-") if folder is None else f"{folder}/voxel-stream-{uuid.uuid4().hex}"
+    work = inp.work_folder
     points = inp.points_unnumbered
     points.write.mode("overwrite").parquet(f"{work}/points")
     stream = inp.spark.readStream.schema(points.schema).parquet(f"{work}/points")

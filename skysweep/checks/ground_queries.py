@@ -10,6 +10,7 @@ from skysweep.checks.sqltext import cte, r, with_ctes
 from skysweep.functions.columns import rnd
 from skysweep.operators import frames, ground
 from skysweep.plans import survival
+from skysweep.sources import tables
 
 cte(
     "tiled",
@@ -393,3 +394,36 @@ def _(inp: Inputs):
     profile = ground.hag_profile(ground.scene_ground_lookup(inp.points_unnumbered))
     profile = rounded(profile, [f"hag_p{n}" for n in _Q], 8)
     return rounded(profile, [f"survival_{t}m" for t in (2, 5, 10, 15, 20, 25)])
+
+
+# --- sinks: written and read back --------------------------------------------------------------------------------
+
+
+@query("write_points", with_ctes("points", "select scene, pose_index, point_id, x, y, z, class_id from points"))
+def _(inp: Inputs):
+    tables.write_points(inp.points, f"{inp.work_folder}/points")
+    stored = inp.spark.read.parquet(f"{inp.work_folder}/points")
+    return stored.select(*schema.FRAME, "point_id", "x", "y", "z", "class_id")
+
+
+@query(
+    "write_manifest",
+    with_ctes("cleaned", "select scene, pose_index, num_points_original, num_points_cleaned, cleaned_path from cleaned"),
+)
+def _(inp: Inputs):
+    manifest = ground.clean_manifest(ground.hag(inp.points_unnumbered))
+    tables.write_manifest(manifest, f"{inp.work_folder}/manifest")
+    stored = inp.spark.read.schema(manifest.schema).option("header", True).csv(f"{inp.work_folder}/manifest")
+    return stored.select(*schema.FRAME, "num_points_original", "num_points_cleaned", "cleaned_path")
+
+
+@query(
+    "write_run_summary",
+    with_ctes("hag", "select scene, count(*) as original, count(*) filter (hag > 2) as kept from hag group by scene"),
+)
+def _(inp: Inputs):
+    heights = ground.hag(inp.points_unnumbered)
+    metrics = ground.survival_metrics(ground.survival_counts(heights))
+    tables.write_run_summary(metrics, ground.run_totals(heights), f"{inp.work_folder}/run")
+    stored = inp.spark.read.schema("scene string, original long, kept long").json(f"{inp.work_folder}/run/summary")
+    return stored.filter("scene is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -20,6 +22,16 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    @cached_property
+    def work_folder(self) -> str:
+        """A new folder for queries that write, next to the checkpoints of the session."""
+        shared = self.spark.conf.get("spark.checkpoint.dir", None)
+        if shared is not None:
+            return f"{shared}/work-{uuid.uuid4().hex}"
+        if not self.spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        return tempfile.mkdtemp(prefix="skysweep-work-")
+
     @cached_property
     def returns(self) -> DataFrame:
         return driver_tables.returns(self.spark, self.folder)
