@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skysweep.llm.exact_dedup import exact_duplicates
+from skysweep.llm.metric_search import top_products
 from skysweep.llm.mixing import mix_sources
 from skysweep.llm.near_dedup import near_duplicates
+from skysweep.llm.piece_dropout import encode_documents
 from skysweep.llm.sharding import assign_shards
+from skysweep.llm.token_counts import token_counts
+from skysweep.llm.url_filter import judge_urls, label_outcomes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +29,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file, the same on every worker; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -34,11 +45,78 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+@query(
+    "op4_mtree_search",
+    """
+    with v as (
+        select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+        where vec_id is not null and embedding is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (
+        select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+        from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+    select query_id, cast(rank as int) as rank, vec_id, score
+    from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 20
+    """,
+)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return top_products(table(spark, folder, "embeddings"))
+
+
 @query("op5_sharding")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return assign_shards(table(spark, folder, "documents"))
 
 
+@query("op6_piece_dropout")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_documents(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query(
+    "op8_url_reputation",
+    """
+    with rules(verdict, host, path, rule) as (values ('allow', 'com', '/', 'com/'), ('block', 'example.com', '/en/', 'example.com/en/'),
+        ('allow', 'www.example.com', '/en/', 'www.example.com/en/'), ('block', 'net', '/es/', 'net/es/'), ('block', 'net', '/fr/', 'net/fr/')),
+    p as (
+        select page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path,
+            translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host
+        from pages),
+    l as (select doc_id as page_id, max(case when toxic = 1 or quality = 0 then 1 else 0 end) as bad from labels where doc_id is not null group by doc_id),
+    n as (
+        select p.host, array_to_string(list_slice(string_split(p.host, '.'), -2, -1), '.') as domain,
+            list_last(string_split(p.host, '.')) as suffix, count(l.bad) as seen, coalesce(sum(l.bad), 0) as bad
+        from p left join l using (page_id) group by p.host),
+    s1 as (select suffix, sum(seen) as seen, sum(bad) as bad, (select (sum(bad) + 1.0) / (sum(seen) + 2.0) from n) as m from n group by suffix),
+    r1 as (select coalesce(least(greatest(sum(seen * power(bad / seen - m, 2) - m * (1 - m)) filter (seen > 0)
+        / nullif(sum(m * (1 - m) * (seen - 1)) filter (seen > 0), 0), 0.001), 0.9), 0.001) as rho from s1),
+    t1 as (select suffix, (bad + (1 / rho - 1) * m) / (seen + 1 / rho - 1) as mean from s1, r1),
+    s2 as (select suffix, domain, sum(seen) as seen, sum(bad) as bad, any_value(t1.mean) as m from n join t1 using (suffix) group by suffix, domain),
+    r2 as (select coalesce(least(greatest(sum(seen * power(bad / seen - m, 2) - m * (1 - m)) filter (seen > 0)
+        / nullif(sum(m * (1 - m) * (seen - 1)) filter (seen > 0), 0), 0.001), 0.9), 0.001) as rho from s2),
+    t2 as (select suffix, domain, (bad + (1 / rho - 1) * m) / (seen + 1 / rho - 1) as mean from s2, r2),
+    s3 as (select n.host, n.seen, n.bad, t2.mean as m from n join t2 using (suffix, domain)),
+    r3 as (select coalesce(least(greatest(sum(seen * power(bad / seen - m, 2) - m * (1 - m)) filter (seen > 0)
+        / nullif(sum(m * (1 - m) * (seen - 1)) filter (seen > 0), 0), 0.001), 0.9), 0.001) as rho from s3),
+    t3 as (select host, (bad + (1 / rho - 1) * m) / (seen + 1 / rho - 1) as mean, seen + 1 / rho - 1 as weight from s3, r3),
+    fit as (
+        select p.page_id, p.host, p.path, max_by(rules.rule, length(rules.rule)) as rule, max_by(rules.verdict, length(rules.rule)) as verdict
+        from p left join rules on (p.host = rules.host or suffix(p.host, '.' || rules.host)) and starts_with(p.path, rules.path)
+        group by p.page_id, p.host, p.path)
+    select page_id, host, path, rule,
+        coalesce(verdict, case when mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.5 then 'block' else 'allow' end) as verdict
+    from fit join t3 using (host)
+    """,
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages"), label_outcomes(table(spark, folder, "labels")))
+
+
 @query("op9_source_mix")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"))
