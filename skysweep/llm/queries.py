@@ -11,8 +11,10 @@ from skysweep.llm.metric_search import top_products
 from skysweep.llm.mixing import mix_sources
 from skysweep.llm.near_dedup import near_duplicates
 from skysweep.llm.piece_dropout import encode_documents
+from skysweep.llm.private_data import find_private_data
 from skysweep.llm.sharding import assign_shards
 from skysweep.llm.token_counts import token_counts
+from skysweep.llm.toxicity import score_toxicity
 from skysweep.llm.url_filter import judge_urls, label_outcomes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +42,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op2_private_data")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return find_private_data(table(spark, folder, "documents"))
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
