@@ -29,7 +29,7 @@ FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 #: Terms of the lexicon, the fewest toxic texts that use one, and its least deviation from chance in standard errors.
 TERMS, SUPPORT, DEVIATIONS = 512, 8, 6.0
 BEGINNINGS = (4, 5, 6)
-TREES, DEPTH, RATE = 20, 4, 0.3
+TREES, DEPTH, RATE, LEAF_ROWS = 20, 4, 0.3, 15
 WINDOW, NEAR = 50, 5
 #: Tokens whose properties a task remembers.
 REMEMBERED = 1 << 18
@@ -214,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: st
     lexicon = learn_lexicon(grown)
     featured = stored(with_features(labelled, ["toxic", "fold"], "text", lexicon, "dense"))
     ready = featured.select(F.col("toxic").cast("double").alias("label"), "fold", array_to_vector("dense").alias("features"))
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=7).fit(ready.filter(F.col("fold") != CALIBRATION))
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, minInstancesPerNode=LEAF_ROWS, seed=7).fit(ready.filter(F.col("fold") != CALIBRATION))
     held = stored(trees.transform(ready.filter(F.col("fold") == CALIBRATION)).select("label", vector_to_array("probability")[1].alias("margin")))
     calibration = None
     if held.select("label").distinct().count() == 2:
