@@ -58,7 +58,7 @@ def filter_by_row(docs: DataFrame, kept: Callable[[DataFrame, str], DataFrame])
     ``kept`` gets a stored copy of ``docs`` with a row number and that column's name, and returns the rows to keep under
     that name, each once for every time it is to appear. Repeated rows and ids are told apart by the row number.
     """
-    (row,) = fresh(docs, "row")
+    (row,) = fresh(docs, "kept_row")
     copy = stored(with_row(docs, row))
     chosen = kept(copy, row).select(row)
     return copy.join(chosen, row).select(*[copy[c] for c in docs.columns])
