@@ -104,18 +104,20 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         select p.host, array_to_string(list_slice(string_split(p.host, '.'), -2, -1), '.') as domain,
             list_last(string_split(p.host, '.')) as suffix, count(l.bad) as seen, coalesce(sum(l.bad), 0) as bad
         from p left join l using (page_id) group by p.host),
-    s1 as (select suffix, sum(seen) as seen, sum(bad) as bad, (select (sum(bad) + 1.0) / (sum(seen) + 2.0) from n) as m from n group by suffix),
-    r1 as (select coalesce(least(greatest(sum(seen * power(bad / seen - m, 2) - m * (1 - m)) filter (seen > 0)
-        / nullif(sum(m * (1 - m) * (seen - 1)) filter (seen > 0), 0), 0.001), 0.9), 0.001) as rho from s1),
-    t1 as (select suffix, (bad + (1 / rho - 1) * m) / (seen + 1 / rho - 1) as mean from s1, r1),
-    s2 as (select suffix, domain, sum(seen) as seen, sum(bad) as bad, any_value(t1.mean) as m from n join t1 using (suffix) group by suffix, domain),
-    r2 as (select coalesce(least(greatest(sum(seen * power(bad / seen - m, 2) - m * (1 - m)) filter (seen > 0)
-        / nullif(sum(m * (1 - m) * (seen - 1)) filter (seen > 0), 0), 0.001), 0.9), 0.001) as rho from s2),
-    t2 as (select suffix, domain, (bad + (1 / rho - 1) * m) / (seen + 1 / rho - 1) as mean from s2, r2),
-    s3 as (select n.host, n.seen, n.bad, t2.mean as m from n join t2 using (suffix, domain)),
-    r3 as (select coalesce(least(greatest(sum(seen * power(bad / seen - m, 2) - m * (1 - m)) filter (seen > 0)
-        / nullif(sum(m * (1 - m) * (seen - 1)) filter (seen > 0), 0), 0.001), 0.9), 0.001) as rho from s3),
-    t3 as (select host, (bad + (1 / rho - 1) * m) / (seen + 1 / rho - 1) as mean, seen + 1 / rho - 1 as weight from s3, r3),
+    s1 as (select suffix, sum(seen) as seen, sum(bad) as bad, ((select sum(bad) from n) - sum(bad) + 1.0) / ((select sum(seen) from n) - sum(seen) + 2.0) as m
+        from n group by suffix),
+    r1 as (select 1 / coalesce(least(greatest(sum(seen * power(bad / seen - m, 2) - m * (1 - m)) filter (seen > 0)
+        / nullif(sum(m * (1 - m) * (seen - 1)) filter (seen > 0), 0), 0.001), 0.5), 0.001) - 1 as s from s1),
+    s2 as (select suffix, domain, sum(n.seen) as seen, sum(n.bad) as bad, any_value(s1.bad) as b, any_value(s1.seen) as c, any_value(s1.m) as p
+        from n join s1 using (suffix) group by suffix, domain),
+    t2 as (select suffix, domain, seen, bad, (b - bad + r1.s * p) / (c - seen + r1.s) as m from s2, r1),
+    r2 as (select 1 / coalesce(least(greatest(sum(seen * power(bad / seen - m, 2) - m * (1 - m)) filter (seen > 0)
+        / nullif(sum(m * (1 - m) * (seen - 1)) filter (seen > 0), 0), 0.001), 0.5), 0.001) - 1 as s from t2),
+    s3 as (select n.host, n.seen, n.bad, (t2.bad - n.bad + r2.s * t2.m) / (t2.seen - n.seen + r2.s) as m
+        from n join t2 using (suffix, domain), r2),
+    r3 as (select 1 / coalesce(least(greatest(sum(seen * power(bad / seen - m, 2) - m * (1 - m)) filter (seen > 0)
+        / nullif(sum(m * (1 - m) * (seen - 1)) filter (seen > 0), 0), 0.001), 0.5), 0.001) - 1 as s from s3),
+    t3 as (select host, (bad + r3.s * m) / (seen + r3.s) as mean, seen + r3.s as weight from s3, r3),
     fit as (
         select p.page_id, p.host, p.path, max_by(rules.rule, length(rules.rule)) as rule, max_by(rules.verdict, length(rules.rule)) as verdict
         from p left join rules on (p.host = rules.host or suffix(p.host, '.' || rules.host)) and starts_with(p.path, rules.path)

@@ -21,8 +21,8 @@ LONG_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "gov.uk", "org.u
 #: Share of bad pages above which a host is blocked, and the standard deviations by which the bound lies below the mean.
 BAD_SHARE = 0.5
 DEVIATIONS = 1.645
-#: Limits of the correlation inside a group, so that a prior weighs between 1/9 and 999 pages.
-LEAST_RHO, MOST_RHO = 0.001, 0.9
+#: Limits of the correlation inside a group, so that a prior weighs between 1 and 999 pages.
+LEAST_RHO, MOST_RHO = 0.001, 0.5
 LEVELS = ("suffix", "domain", "host")
 
 
@@ -61,35 +61,36 @@ def suffix_of(domain: Column) -> Column:
 def host_reputation(hosts: DataFrame) -> DataFrame:
     """``host`` and ``low``, the lower posterior bound of its share of bad pages.
 
-    ``hosts`` has one row per host with ``seen`` labelled pages, ``bad`` of them bad. At every level the correlation rho is
-    the one whose expected spread around the parents' means, sum m (1 - m) (1 + (n - 1) rho), equals the spread found.
+    ``hosts`` has one row per host with ``seen`` labelled pages, ``bad`` of them bad. The prior mean m of a node comes from the
+    other pages of its parent, shrunk in the same way, so no page counts twice. At every level the correlation rho is the one
+    whose expected spread around these means, sum m (1 - m) (1 + (n - 1) rho), equals the spread found.
     """
     domain = domain_of(F.col("host"))
     nodes = hosts.select("host", domain.alias("domain"), suffix_of(domain).alias("suffix"), "seen", "bad")
-    means = nodes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("seen"), F.lit(0)) + 2.0)).alias("mean"))
-    parent_mean: float | None = means.first()["mean"]
+    total = nodes.agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     above: DataFrame | None = None
     for depth, level in enumerate(LEVELS):
         names = list(LEVELS[: depth + 1])
         counts = nodes.groupBy(*names).agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
         if above is None:
-            counts = counts.withColumn("m", F.lit(parent_mean))
+            mean = (F.lit(total["bad"]) - F.col("bad") + 1.0) / (F.lit(total["seen"]) - F.col("seen") + 2.0)
         else:
-            counts = counts.join(above.select(*names[:-1], F.col("mean").alias("m")), names[:-1])
+            others = (F.col("all_bad") - F.col("bad") + F.col("strength") * F.col("above")) / (F.col("all_seen") - F.col("seen") + F.col("strength"))
+            counts, mean = counts.join(above, names[:-1]), others
         # Stored, as the estimate below and the next level both read it.
-        counts = stored(counts)
+        counts = stored(counts.select(*names, "seen", "bad", mean.alias("m")))
         chance = F.col("m") * (1 - F.col("m"))
-        seen = F.col("seen") > 0
-        spread = F.when(seen, F.col("seen") * F.pow(F.col("bad") / F.col("seen") - F.col("m"), F.lit(2.0)) - chance)
-        room = F.when(seen, chance * (F.col("seen") - 1))
+        spread = F.when(F.col("seen") > 0, F.col("seen") * F.pow(F.col("bad") / F.col("seen") - F.col("m"), F.lit(2.0)) - chance)
+        room = F.when(F.col("seen") > 0, chance * (F.col("seen") - 1))
         found, scale = counts.agg(F.sum(spread), F.sum(room)).first()
         rho = min(max(found / scale, LEAST_RHO), MOST_RHO) if scale else LEAST_RHO
         strength = F.lit(1.0 / rho - 1.0)
-        above = counts.withColumn("mean", (F.col("bad") + strength * F.col("m")) / (F.col("seen") + strength)).withColumn(
-            "weight", F.col("seen") + strength
+        above = counts.select(
+            *names, F.col("seen").alias("all_seen"), F.col("bad").alias("all_bad"), F.col("m").alias("above"), strength.alias("strength")
         )
-    deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
-    return above.select("host", (F.col("mean") - F.lit(DEVIATIONS) * deviation).alias("low"))
+    weight = F.col("seen") + strength
+    mean = (F.col("bad") + strength * F.col("m")) / weight
+    return counts.select("host", (mean - F.lit(DEVIATIONS) * F.sqrt(mean * (1 - mean) / (weight + 1))).alias("low"))
 
 
 def judge_urls(
