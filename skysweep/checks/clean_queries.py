@@ -231,9 +231,9 @@ def _(inp: Inputs):
     return clean.box_outliers(inp.boxes)
 
 
-@query("empty_frames", with_ctes("frames boxes", "select scene, pose_index from frames except select scene, pose_index from boxes where class_id >= 2"))
+@query("empty_frames", with_ctes("frames boxes", "select scene, pose_index from frames except select scene, pose_index from boxes"))
 def _(inp: Inputs):
-    return clean.empty_frames(inp.frames, inp.boxes.filter("class_id >= 2"))
+    return clean.empty_frames(inp.frames, inp.boxes)
 
 
 @query(

@@ -178,15 +178,17 @@ def _(inp: Inputs):
     "gt_boxes_run_stats",
     with_ctes(
         "cpoints",
-        f"""select class_label, count(*) as n_boxes, {', '.join(f"{r(f'avg(bbox_{d})', 3)} as mean_{d}" for d in ('width', 'length', 'height'))},
-{r('avg(num_points)', 6)} as mean_points from obb group by class_label""",
+        f"""select class_label, count(*) as n_boxes, {', '.join(f"{r(f'avg(bbox_{d})', 3)} as mean_{d}, {r(f'quantile_cont(bbox_{d}, 0.5)', 3)} as median_{d}, {r(f'max(bbox_{d})', 3)} as max_{d}" for d in ('width', 'length', 'height'))},
+{r('avg(num_points)', 6)} as mean_points, {r('count(*)/count(distinct (scene, pose_index))', 6)} as mean_per_frame,
+(select max(n) from (select count(*) as n from obb i where i.class_label = o.class_label group by scene, pose_index) f) as max_per_frame from obb o group by class_label""",
         recursive=True,
         extra=_OBB_RUN,
     ),
 )
 def _(inp: Inputs):
     stats = cluster.run_statistics(cluster.gt_boxes_run(obstacles(inp), inp.frames, schema.RUN_TUNED))
-    return rounded(rounded(stats, ["mean_width", "mean_length", "mean_height"], 3), ["mean_points"])
+    sides = [f"{s}_{d}" for s in ("mean", "median", "max") for d in ("width", "length", "height")]
+    return rounded(rounded(stats, sides, 3), ["mean_points", "mean_per_frame"])
 
 
 cte(

@@ -9,8 +9,8 @@ from skysweep.checks import cluster_queries
 from skysweep.checks.cluster_queries import FEATURES
 from skysweep.checks.ground_queries import rounded
 from skysweep.checks.registry import Inputs, query
-from skysweep.checks.sqltext import r, with_ctes
-from skysweep.functions.columns import draw
+from skysweep.checks.sqltext import r, uniform_sql, with_ctes
+from skysweep.functions.columns import uniform
 from skysweep.operators import boxfit, evaluate
 from skysweep.session import cut_lineage
 
@@ -78,8 +78,8 @@ def _(inp: Inputs):
     points = cluster_queries.all_points(inp)
     truth = boxfit.obb_yaw_pca(points.filter("class_id >= 0"), cluster_queries.GROUP)
     truth = cut_lineage(truth.withColumn("box_id", F.monotonically_increasing_id()))
-    swept = evaluate.param_sweep(points, truth, [10, 20], [5, 10], [10.0, 14.0], threshold=0.05)
-    return rounded(swept, ["precision", "recall", "f1"])
+    swept = evaluate.param_sweep(points, truth, [20, 30, 50, 75, 100], [5, 10, 15, 20], [8.0, 10.0, 12.0, 14.0])
+    return rounded(swept, ["precision", "recall", "f1", "mean_iou", "f1_antenna", "f1_cable", "f1_pole", "f1_turbine"])
 
 
 @query(
@@ -87,7 +87,7 @@ def _(inp: Inputs):
     with_ctes(
         "cpoints",
         f"""select class_label, count(*) as n, {r('avg(n_points)', 6)} as mean_points, min(n_points) as min_points, max(n_points) as max_points, {r('avg(hei)', 4)} as mean_height,
-{r('avg(elongation)', 4)} as mean_elongation, {r('quantile_cont(n_points, 0.5)', 6)} as median_points, {r('quantile_cont(elongation, 0.25)', 4)} as elongation_q1,
+{r('avg(elongation)', 4)} as mean_elongation, {r('min(elongation)', 4)} as min_elongation, {r('max(elongation)', 4)} as max_elongation, {r('quantile_cont(n_points, 0.5)', 6)} as median_points, {r('quantile_cont(elongation, 0.25)', 4)} as elongation_q1,
 {r('quantile_cont(elongation, 0.5)', 4)} as elongation_median, {r('quantile_cont(elongation, 0.75)', 4)} as elongation_q3
 from (select case class_id when 0 then 'Antenna' when 1 then 'Cable' when 2 then 'Electric Pole' else 'Wind Turbine' end as class_label, n_points, hei, elongation from feat
 union all select 'all', n_points, hei, elongation from feat) f group by class_label""",
@@ -98,7 +98,7 @@ def _(inp: Inputs):
     points = cluster_queries.obstacles(inp)
     features = cut_lineage(boxfit.cluster_features(points, boxfit.obb_min_area(points, cluster_queries.GROUP), cluster_queries.GROUP))
     profile = rounded(evaluate.cluster_profile(features), ["mean_points", "median_points"])
-    return rounded(profile, ["mean_height", "mean_elongation", "elongation_q1", "elongation_median", "elongation_q3"], 4)
+    return rounded(profile, ["mean_height", "mean_elongation", "min_elongation", "max_elongation", "elongation_q1", "elongation_median", "elongation_q3"], 4)
 
 
 def ap_sql(detections: str, truth: str, extra: str = "") -> str:
@@ -134,7 +134,7 @@ def _(inp: Inputs):
 
 
 # Thinned predictions stand in for the detections made at a lower input density.
-_THIN = """thin as (select b.*, density from boxes b, (values (1e0), (0.75e0), (0.5e0), (0.25e0)) d(density) where ((box_id*1103515245 + 12345) % 2147483648)/2147483648e0 < density),
+_THIN = f"""thin as (select b.*, density from boxes b, (values (1e0), (0.75e0), (0.5e0), (0.25e0)) d(density) where {uniform_sql('density', 'box_id')} < density),
 thin_gt as (select g.*, density from gt g, (values (1e0), (0.75e0), (0.5e0), (0.25e0)) d(density))"""
 
 
@@ -147,7 +147,7 @@ thin_gt as (select g.*, density from gt g, (values (1e0), (0.75e0), (0.5e0), (0.
     ),
 )
 def _(inp: Inputs):
-    share = draw(F.col("box_id")) / F.lit(2147483648.0)
+    share = uniform("density", "box_id")
     levels = F.filter(F.array(*[F.lit(v) for v in (1.0, 0.75, 0.5, 0.25)]), lambda v: share < v)
     thinned = inp.boxes.withColumn("density", F.explode(levels))
     return rounded(evaluate.density_robustness(thinned, inp.ground_truth), ["ap", "drop"])

@@ -18,15 +18,47 @@ BOX_COLUMNS = [
 ]
 
 
+def _round_trip(inp: Inputs, df, name: str, file_format: str = "csv") -> str:
+    """Write a table for a reader to read."""
+    path = f"{inp.work_folder}/{name}"
+    df.write.option("header", True).format(file_format).save(path)
+    return path
+
+
+def _wide(df):
+    """Small whole numbers as DuckDB has them."""
+    return df.withColumns({c: F.col(c).cast("int") for c in ("reflectivity", "r", "g", "b")})
+
+
 @query("scan_returns", with_ctes("returns", "select * from returns"))
 def _(inp: Inputs):
-    measured = [n for n in schema.RETURNS_SCHEMA.names]
-    return tables.require_columns(inp.returns, measured)
+    return _wide(tables.scan_returns(inp.spark, _round_trip(inp, inp.returns, "returns", "parquet")))
+
+
+@query("scan_returns_csv", with_ctes("returns", "select * from returns"))
+def _(inp: Inputs):
+    # In another order and with a column too many: columns are found by name.
+    shuffled = inp.returns.select(F.lit(1).alias("extra"), *reversed(inp.returns.columns))
+    return _wide(tables.scan_returns(inp.spark, _round_trip(inp, shuffled, "returns"), "csv"))
+
+
+_SCANNED = """select scene, pose_index, 'f' as frame_file, ego_x, ego_y, ego_z, ego_yaw, bbox_center_x, bbox_center_y, bbox_center_z, bbox_width, bbox_length,
+bbox_height, bbox_yaw, class_id as "class_ID", class_label, num_points from boxes"""
+
+
+def _box_file(inp: Inputs) -> str:
+    named = inp.boxes.withColumn("frame_file", F.lit("f")).withColumnRenamed("class_id", "class_ID")
+    return _round_trip(inp, named.select(*schema.BOXES_SCHEMA.names), "boxes")
+
+
+@query("scan_boxes", with_ctes("boxes", _SCANNED))
+def _(inp: Inputs):
+    return tables.scan_boxes(inp.spark, _box_file(inp))
 
 
-@query("scan_boxes", with_ctes("boxes", "select * from boxes where scene = 'scene_3' and pose_index = 7"))
+@query("scan_boxes_frame", with_ctes("boxes", f"{_SCANNED} where scene = 'scene_3' and pose_index = 7"))
 def _(inp: Inputs):
-    return tables.filter_boxes(inp.boxes, "scene_3", 7)
+    return tables.scan_boxes(inp.spark, _box_file(inp), "scene_3", 7)
 
 
 @query(
@@ -56,7 +88,10 @@ bbox_height, bbox_yaw, class_id as "class_ID", class_label from boxes""",
     ),
 )
 def _(inp: Inputs):
-    return tables.submission(inp.boxes)
+    path = f"{inp.work_folder}/submission"
+    tables.write_submission(inp.boxes, path)
+    kinds = tables.submission(inp.boxes).schema
+    return inp.spark.read.schema(kinds).option("header", True).option("enforceSchema", False).csv(path)
 
 
 MANIFEST = """manifest as (select scene, pose_index, ego_x, ego_y, ego_z, ego_yaw, count(*) as num_points_raw,

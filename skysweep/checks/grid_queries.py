@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from skysweep import schema
 from skysweep.checks.ground_queries import rounded
 from skysweep.checks.registry import Inputs, query
-from skysweep.checks.sqltext import cte, r, with_ctes
+from skysweep.checks.sqltext import cte, draw_sql, r, uniform_sql, with_ctes
 from skysweep.functions.columns import rnd
 from skysweep.operators import augment, bev, frames, voxels
-from skysweep.streaming.voxel_stream import latest_voxels, start_voxel_stream
+from skysweep.streaming.voxel_stream import start_voxel_parts, voxels_from_parts
 
-SIZE = 4.0
+SIZE = 0.5
 cte(
     "vworld",
     ["world"],
-    """select *, cast(floor(x_world/4e0) as int) as vx, cast(floor(y_world/4e0) as int) as vy, cast(floor(z_world/4e0) as int) as vz,
+    """select *, cast(floor(x_world/0.5e0) as int) as vx, cast(floor(y_world/0.5e0) as int) as vy, cast(floor(z_world/0.5e0) as int) as vz,
   atan2(z, sqrt(x*x + y*y) + 1e-8) as elevation from world""",
 )
 cte(
@@ -46,7 +46,7 @@ def _(inp: Inputs):
     "voxel_table",
     with_ctes(
         "vsums",
-        f"""select scene, vx, vy, vz, (vx + 0.5e0)*4 as world_x, (vy + 0.5e0)*4 as world_y, (vz + 0.5e0)*4 as world_z, hit_count, frame_count,
+        f"""select scene, vx, vy, vz, (vx + 0.5e0)*0.5e0 as world_x, (vy + 0.5e0)*0.5e0 as world_y, (vz + 0.5e0)*0.5e0 as world_z, hit_count, frame_count,
 {r('frame_count/100e0', 6)} as observation_ratio, {r('ref_sum/hit_count', 6)} as ref_mean,
 {r('sqrt(greatest(ref_sumsq/hit_count - (ref_sum/hit_count)*(ref_sum/hit_count), 0))', 4)} as ref_std, {r('z_min', 4)} as z_min, {r('z_max', 4)} as z_max,
 {r('z_max - z_min', 4)} as z_range, {r('z_sum/hit_count', 6)} as z_mean,
@@ -78,29 +78,37 @@ def _(inp: Inputs):
     return rounded(voxels.voxel_labels(_sums(inp)), _FRACS)
 
 
+_EXPORT = f"""select scene, vx, vy, vz, (vx + 0.5e0)*0.5e0 as x, (vy + 0.5e0)*0.5e0 as y, (vz + 0.5e0)*0.5e0 as z,
+case {_VLABEL} when 0 then 'Antenna' when 1 then 'Cable' when 2 then 'Electric Pole' when 3 then 'Wind Turbine' else 'Background' end as label from vsums"""
+
+
+def _labelled(inp: Inputs):
+    sums = _sums(inp)
+    labels = voxels.voxel_labels(sums).select(*voxels.VOXEL, "class_id", "is_obstacle")
+    return voxels.voxel_table(sums, SIZE).join(labels, voxels.VOXEL)
+
+
+@query("scene_export_points", with_ctes("vsums", _EXPORT))
+def _(inp: Inputs):
+    return voxels.scene_export_points(_labelled(inp))
+
+
 @query(
-    "scene_export_points",
-    with_ctes(
-        "vsums",
-        f"""select scene, vx, vy, vz, (vx + 0.5e0)*4 as x, (vy + 0.5e0)*4 as y, (vz + 0.5e0)*4 as z, cast({_VLABEL} as varchar) as label from vsums
-where {_VLABEL} >= 0 order by (((vx + 100000)::bigint*1000003 + (vy + 100000)::bigint*1009 + vz + 1000) % 2147483648 * 1103515245 + 12345) % 2147483648, scene, vx, vy, vz limit 2000""",
-    ),
+    "scene_export_sample",
+    with_ctes("vsums", f"{_EXPORT} where votes_0 + votes_1 + votes_2 + votes_3 > 0 order by {draw_sql('export', 'scene', 'vx', 'vy', 'vz')}, scene, vx, vy, vz limit 2000"),
 )
 def _(inp: Inputs):
-    sums = _sums(inp)
-    labelled = voxels.voxel_table(sums, SIZE).join(voxels.voxel_labels(sums).select(*voxels.VOXEL, "class_id"), voxels.VOXEL)
-    return voxels.scene_export_points(labelled, obstacles_only=True, max_points=2000)
+    return voxels.scene_export_points(_labelled(inp), obstacles_only=True, max_points=2000)
 
 
-@query("voxel_stream", with_ctes("vworld", "select scene, vx, vy, vz, count(*) as hit_count, round(min(z_world), 4) + cast(0 as double) as z_min, round(max(z_world), 4) + cast(0 as double) as z_max, count(*) filter (class_id < 0) as votes_bg from vworld group by scene, vx, vy, vz"))
+@query("voxel_stream", with_ctes("vsums", f"select * replace ({', '.join(f'{r(c, 4)} as {c}' for c in SUMS)}) from vsums"))
 def _(inp: Inputs):
     work = inp.work_folder
     points = inp.points_unnumbered
     points.write.mode("overwrite").parquet(f"{work}/points")
-    stream = inp.spark.readStream.schema(points.schema).parquet(f"{work}/points")
-    start_voxel_stream(stream, f"{work}/voxels", f"{work}/state", SIZE).awaitTermination()
-    table = latest_voxels(inp.spark.read.parquet(f"{work}/voxels"))
-    return rounded(table, ["z_min", "z_max"], 4).select(*voxels.VOXEL, "hit_count", "z_min", "z_max", "votes_bg")
+    stream = inp.spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 2).parquet(f"{work}/points")
+    start_voxel_parts(stream, f"{work}/parts", f"{work}/state", SIZE).awaitTermination()
+    return rounded(voxels_from_parts(inp.spark.read.parquet(f"{work}/parts").drop("batch")), SUMS, 4)
 
 
 # --- pillars and targets -----------------------------------------------------------------------------------------
@@ -124,7 +132,7 @@ def _(inp: Inputs):
     return bev.pillar_occupancy(inp.points_unnumbered)
 
 
-# Wide cells and small limits, so that both limits bind on the thin stand-in data.
+# The limits of the grid do not bind on the thin stand-in data; wide cells and small limits do.
 COARSE = schema.BEV | {"pillar": 8.0, "grid_x": 42, "grid_y": 56, "max_points": 2, "max_pillars": 150}
 cte(
     "coarse",
@@ -132,31 +140,49 @@ cte(
     """select *, cast(floor((x + 20)/8e0) as int) as gx, cast(floor((y + 224)/8e0) as int) as gy from points
   where x >= -20 and x < 312.8e0 and y >= -224 and y < 224 and z >= -100 and z < 120""",
 )
-cte(
-    "capped",
-    ["coarse"],
-    f"""select c.* exclude (slot), cast(slot as int) as slot, p.n as pillar_points from (select *, row_number() over (partition by {_PKEY} order by point_id) - 1 as slot from coarse) c
-join (select {_PKEY}, count(*) as n from coarse group by {_PKEY} qualify row_number() over (partition by scene, pose_index
-  order by ((gx*56 + gy)::bigint * 1103515245 + 12345) % 2147483648, gx*56 + gy) <= 150) p using ({_PKEY}) where slot < 2""",
-)
+for _name, _source, _grid in (("pil_capped", "pil", schema.BEV), ("capped", "coarse", COARSE)):
+    _flat = f"gx*{_grid['grid_y']} + gy"
+    cte(
+        _name,
+        [_source],
+        f"""select c.* exclude (slot), cast(slot as int) as slot, p.n as pillar_points from (select *, row_number() over (partition by {_PKEY} order by point_id) - 1 as slot from {_source}) c
+join (select {_PKEY}, count(*) as n from {_source} group by {_PKEY} qualify row_number() over (partition by scene, pose_index
+  order by {draw_sql('pillar', _flat)}, {_flat}) <= {_grid['max_pillars']}) p using ({_PKEY}) where slot < {_grid['max_points']}""",
+    )
+
+
+def _features_sql(source: str, grid: dict) -> str:
+    side = f"{grid['pillar']}e0"
+    return with_ctes(
+        source,
+        f"""select {_PKEY}, point_id, slot, x, y, z, {r('reflectivity/255e0', 6)} as r, {', '.join(f"{r(f'{a} - avg({a}) over w', 5)} as {a}_c" for a in 'xyz')},
+{r(f'x - (-20 + (gx + 0.5e0)*{side})', 5)} as x_p, {r(f'y - (-224 + (gy + 0.5e0)*{side})', 5)} as y_p from {source} window w as (partition by {_PKEY})""",
+    )
+
+
+def _features(inp: Inputs, grid: dict):
+    features = rounded(bev.pillar_features(inp.points, grid), ["r"])
+    return rounded(features, ["x_c", "y_c", "z_c", "x_p", "y_p"], 5)
+
+
+@query("pillar_cap", with_ctes("pil_capped", f"select {_PKEY}, point_id, slot, pillar_points from pil_capped"))
+def _(inp: Inputs):
+    return bev.pillar_cap(inp.points).select(*bev.PILLAR, "point_id", "slot", "pillar_points")
 
 
-@query("pillar_cap", with_ctes("capped", f"select {_PKEY}, point_id, slot, pillar_points from capped"))
+@query("pillar_cap_small", with_ctes("capped", f"select {_PKEY}, point_id, slot, pillar_points from capped"))
 def _(inp: Inputs):
     return bev.pillar_cap(inp.points, COARSE).select(*bev.PILLAR, "point_id", "slot", "pillar_points")
 
 
-@query(
-    "pillar_features",
-    with_ctes(
-        "capped",
-        f"""select {_PKEY}, point_id, slot, x, y, z, {r('reflectivity/255e0', 6)} as r, {', '.join(f"{r(f'{a} - avg({a}) over w', 5)} as {a}_c" for a in 'xyz')},
-{r('x - (-20 + (gx + 0.5e0)*8)', 5)} as x_p, {r('y - (-224 + (gy + 0.5e0)*8)', 5)} as y_p from capped window w as (partition by {_PKEY})""",
-    ),
-)
+@query("pillar_features", _features_sql("pil_capped", schema.BEV))
 def _(inp: Inputs):
-    features = rounded(bev.pillar_features(inp.points, COARSE), ["r"])
-    return rounded(features, ["x_c", "y_c", "z_c", "x_p", "y_p"], 5)
+    return _features(inp, schema.BEV)
+
+
+@query("pillar_features_small", _features_sql("capped", COARSE))
+def _(inp: Inputs):
+    return _features(inp, COARSE)
 
 
 _RADIUS = """least((bl + bw + sqrt((bl+bw)*(bl+bw) - 4*bw*bl*(1 - 0.7e0)/(1 + 0.7e0)))/2, (2*(bl+bw) + sqrt(4*(bl+bw)*(bl+bw) - 16*(1 - 0.7e0)*bw*bl))/2,
@@ -241,16 +267,31 @@ def _(inp: Inputs):
 
 LIMITED = schema.BEV | {"max_detections": 3}
 _D = [f"bbox_center_{a}" for a in "xyz"] + ["bbox_width", "bbox_length", "bbox_height", "bbox_yaw"]
-DECODED = """decoded as (select p.scene, p.pose_index, p.class_id, p.hx, p.hy, p.heat as confidence, (p.hx + offset_x)*1.6e0 - 20 as bbox_center_x, (p.hy + offset_y)*1.6e0 - 224 as bbox_center_y,
+
+
+def _decoded(most: int) -> str:
+    return f"""decoded as (select p.scene, p.pose_index, p.class_id, p.hx, p.hy, p.heat as confidence, (p.hx + offset_x)*1.6e0 - 20 as bbox_center_x, (p.hy + offset_y)*1.6e0 - 224 as bbox_center_y,
   z as bbox_center_z, least(exp(log_width), 500) as bbox_width, least(exp(log_length), 500) as bbox_length, least(exp(log_height), 500) as bbox_height, atan2(sin_yaw, cos_yaw) as bbox_yaw
-  from (select * from peaks where heat > 0.3 qualify row_number() over (partition by scene, pose_index order by heat desc, class_id, hy, hx) <= 3) p
+  from (select * from peaks where heat > 0.3 qualify row_number() over (partition by scene, pose_index order by heat desc, class_id, hy, hx) <= {most}) p
   join targets t using (scene, pose_index, hx, hy))"""
 
 
-@query("decode_boxes", with_ctes("peaks targets", f"select scene, pose_index, class_id, hx, hy, confidence, {', '.join(f'{r(c, 4)} as {c}' for c in _D)} from decoded", extra=DECODED))
+def _decode_sql(most: int) -> str:
+    return with_ctes("peaks targets", f"select scene, pose_index, class_id, hx, hy, confidence, {', '.join(f'{r(c, 4)} as {c}' for c in _D)} from decoded", extra=_decoded(most))
+
+
+def _decode(inp: Inputs, grid: dict):
+    return bev.decode_boxes(_score(inp), bev.box_targets(inp.boxes).select(*schema.FRAME, "hx", "hy", *_T), grid)
+
+
+@query("decode_boxes", _decode_sql(schema.BEV["max_detections"]))
+def _(inp: Inputs):
+    return rounded(_decode(inp, schema.BEV), _D, 4)
+
+
+@query("decode_boxes_small", _decode_sql(3))
 def _(inp: Inputs):
-    decoded = bev.decode_boxes(_score(inp), bev.box_targets(inp.boxes).select(*schema.FRAME, "hx", "hy", *_T), LIMITED)
-    return rounded(decoded, _D, 4)
+    return rounded(_decode(inp, LIMITED), _D, 4)
 
 
 @query(
@@ -260,29 +301,22 @@ def _(inp: Inputs):
         f"""select d.scene, d.pose_index, {', '.join(f'b.{c}' for c in schema.POSE)}, {', '.join(f'{r(f"d.{c}", 4)} as {c}' for c in _D)}, d.class_id as "class_ID",
 case d.class_id when 0 then 'Antenna' when 1 then 'Cable' when 2 then 'Electric Pole' else 'Wind Turbine' end as class_label, d.confidence
 from decoded d join (select distinct scene, pose_index, {', '.join(schema.POSE)} from boxes) b using (scene, pose_index)""",
-        extra=DECODED,
+        extra=_decoded(schema.BEV["max_detections"]),
     ),
 )
 def _(inp: Inputs):
-    decoded = bev.decode_boxes(_score(inp), bev.box_targets(inp.boxes).select(*schema.FRAME, "hx", "hy", *_T), LIMITED)
     poses = inp.boxes.select(*schema.FRAME, *schema.POSE).distinct()
-    return rounded(bev.predictions_table(decoded, poses), _D, 4)
+    return rounded(bev.predictions_table(_decode(inp, schema.BEV), poses), _D, 4)
 
 
 # --- augmentation and sampling -----------------------------------------------------------------------------------
 
-_KEY = "(cast(split_part(scene, '_', 2) as bigint)*1000003 + pose_index)"
-
-
-def _u(seed: int, key: str = _KEY) -> str:
-    return f"((({key} + {seed}) % 2147483648 * 1103515245 + 12345) % 2147483648)/2147483648e0"
-
-
+_FRAME = ("scene", "pose_index")
 cte(
     "draws",
     ["frames"],
-    f"""select scene, pose_index, {_u(0)} < 0.5 as flip, {_u(1)}*360 - 180 as angle_deg, 0.95e0 + {_u(2)}*(1.05e0 - 0.95e0) as scale,
-  ([1e0, 0.75e0, 0.5e0, 0.25e0])[cast(floor({_u(3)}*4) as int) + 1] as keep_ratio from frames""",
+    f"""select scene, pose_index, {uniform_sql('flip0', *_FRAME)} < 0.5 as flip, {uniform_sql('angle0', *_FRAME)}*360 - 180 as angle_deg,
+  0.95e0 + {uniform_sql('scale0', *_FRAME)}*(1.05e0 - 0.95e0) as scale, ([1e0, 1e0, 1e0, 0.75e0, 0.5e0, 0.25e0])[cast(floor({uniform_sql('ratio0', *_FRAME)}*6) as int) + 1] as keep_ratio from frames""",
 )
 _P = "scene, pose_index, point_id"
 
@@ -308,18 +342,18 @@ def _(inp: Inputs):
     return rounded(scaled, ["x", "y", "z"], 5).select(*schema.FRAME, "point_id", "x", "y", "z")
 
 
-def _noise(i: int) -> str:
-    key = f"({_KEY}*1000 + point_id)"
-    first, second = _u(101 * i, key), _u(101 * i + 17, f"({key}*31 + 7)")
+def _noise(axis: str) -> str:
+    first, second = (uniform_sql(f"noise{part}{axis}0", *_FRAME, "point_id") for part in (1, 2))
     return f"least(greatest(sqrt(-2*ln(greatest({first}, 1e-12)))*cos(2*pi()*{second})*0.01e0, -0.05e0), 0.05e0)"
 
 
-@query("aug_jitter", with_ctes("points", f"select {_P}, {', '.join(f'{r(f"{a} + {_noise(i)}", 6)} as {a}' for i, a in enumerate('xyz'))} from points"))
+@query("aug_jitter", with_ctes("points", f"select {_P}, {', '.join(f'{r(f"{a} + {_noise(a)}", 6)} as {a}' for a in 'xyz')} from points"))
 def _(inp: Inputs):
     return rounded(augment.aug_jitter(inp.points), ["x", "y", "z"]).select(*schema.FRAME, "point_id", "x", "y", "z")
 
 
-_RANKED = "ranked as (select scene, pose_index, point_id, x, y, z, count(*) over (partition by scene, pose_index) as n, row_number() over (partition by scene, pose_index order by (point_id*1103515245 + 12345) % 2147483648, point_id) as rk from points)"
+_BY_DRAW = f"row_number() over (partition by scene, pose_index order by {draw_sql('keep0', *_FRAME, 'point_id')}, point_id)"
+_RANKED = f"ranked as (select scene, pose_index, point_id, x, y, z, count(*) over (partition by scene, pose_index) as n, {_BY_DRAW} as rk from points)"
 
 
 @query(
@@ -340,12 +374,41 @@ def _(inp: Inputs):
     return augment.cap_points(inp.points, 200).select(*schema.FRAME, "point_id", "x", "y", "z")
 
 
-@query("augment_dataset")
+_TURNED = """turned as (select t.* exclude (y), x*cos(radians(angle_deg)) - fy*sin(radians(angle_deg)) as tx, x*sin(radians(angle_deg)) + fy*cos(radians(angle_deg)) as ty
+  from (select p.*, d.* exclude (scene, pose_index), case when flip then -y else y end as fy from points p join draws d using (scene, pose_index) where scene not in ('scene_9', 'scene_10')) t),
+thinned as (select * from (select *, count(*) over (partition by scene, pose_index) as n, {} as rk from turned) t where rk <= greatest(cast(trunc(n*keep_ratio) as bigint), 1))""".format(_BY_DRAW)
+
+
+@query(
+    "augment_dataset",
+    with_ctes(
+        "points draws",
+        f"""select {_P}, {', '.join(f"{r(f'{e}*scale + {_noise(a)}', 5)} as {a}" for a, e in (('x', 'tx'), ('y', 'ty'), ('z', 'z')))}, class_id from thinned
+union all select {_P}, {', '.join(f"{r(a, 5)} as {a}" for a in 'xyz')}, class_id from points where scene in ('scene_9', 'scene_10')""",
+        extra=_TURNED,
+    ),
+)
 def _(inp: Inputs):
     done = augment.augment_points(inp.points, inp.frames)
     return rounded(done, ["x", "y", "z"], 5).select(*schema.FRAME, "point_id", "x", "y", "z", "class_id")
 
 
-@query("augment_boxes")
+_B = ["bbox_center_x", "bbox_center_y", "bbox_center_z", "bbox_width", "bbox_length", "bbox_height", "bbox_yaw"]
+_BOX_MOVED = {
+    "bbox_center_x": "(bbox_center_x*cos(radians(angle_deg)) - sgn*bbox_center_y*sin(radians(angle_deg)))*scale",
+    "bbox_center_y": "(bbox_center_x*sin(radians(angle_deg)) + sgn*bbox_center_y*cos(radians(angle_deg)))*scale",
+    "bbox_yaw": "bbox_yaw*sgn + radians(angle_deg)",
+} | {c: f"{c}*scale" for c in ("bbox_center_z", "bbox_width", "bbox_length", "bbox_height")}
+
+
+@query(
+    "augment_boxes",
+    with_ctes(
+        "boxes draws",
+        f"""select b.* replace ({', '.join(f"{r(_BOX_MOVED[c], 5)} as {c}" for c in _B)}) from boxes b
+join (select *, case when flip then -1 else 1 end as sgn from draws) d using (scene, pose_index) where scene not in ('scene_9', 'scene_10')
+union all select * replace ({', '.join(f"{r(c, 5)} as {c}" for c in _B)}) from boxes where scene in ('scene_9', 'scene_10')""",
+    ),
+)
 def _(inp: Inputs):
-    return augment.augment_boxes(inp.boxes, frames.frame_index(inp.returns_unnumbered))
+    return rounded(augment.augment_boxes(inp.boxes, inp.frames), _B, 5)

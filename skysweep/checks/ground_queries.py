@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skysweep import schema
-from skysweep.checks.registry import Inputs, query
+from skysweep.checks.registry import SQL, Inputs, query
 from skysweep.checks.sqltext import cte, r, with_ctes
 from skysweep.functions.columns import rnd
 from skysweep.operators import frames, ground
 from skysweep.plans import survival
+from skysweep.session import cut_lineage
 from skysweep.sources import tables
 
 cte(
@@ -189,7 +190,7 @@ scene = (select min(scene) from frames) order by pose_index limit 5) group by sc
     ),
 )
 def _(inp: Inputs):
-    return rounded(ground.ground_qa(ground.hag(inp.points_unnumbered), inp.frames), ["removed_pct"])
+    return rounded(ground.ground_qa(inp.points_unnumbered, inp.frames), ["removed_pct"])
 
 
 @query(
@@ -250,7 +251,7 @@ cte(
     ["world"],
     """select scene, x0, y0, cast(ceil((x1 - x0) / 10) as int) as nx, cast(ceil((y1 - y0) / 10) as int) as ny from (
   select scene, min(x_world) - 10 as x0, max(x_world) + 10 as x1, min(y_world) - 10 as y0, max(y_world) + 10 as y1
-  from world where pose_index < 20 group by scene) b""",
+  from world group by scene) b""",
 )
 _WT = """least(greatest(cast(floor((x_world - x0) / 10) as int), 0), nx - 1) as tile_x,
   least(greatest(cast(floor((y_world - y0) / 10) as int), 0), ny - 1) as tile_y"""
@@ -258,7 +259,7 @@ cte(
     "seen",
     ["bounds"],
     f"""select scene, tile_x, tile_y, min(z_world) as z from (select scene, z_world, {_WT}
-  from world join bounds using (scene) where pose_index < 20) w group by scene, tile_x, tile_y""",
+  from world join bounds using (scene)) w group by scene, tile_x, tile_y""",
 )
 cte(
     "model",
@@ -268,7 +269,7 @@ from (select scene, nx, ny, tx.v as tile_x, ty.v as tile_y from bounds, lateral
 cross join (values (-1), (0), (1)) a(i) cross join (values (-1), (0), (1)) b(j)
 left join seen s on s.scene = g.scene and s.tile_x = g.tile_x and s.tile_y = g.tile_y
 left join seen n on n.scene = g.scene and n.tile_x = least(greatest(g.tile_x + i, 0), nx - 1) and n.tile_y = least(greatest(g.tile_y + j, 0), ny - 1)
-group by g.scene, g.tile_x, g.tile_y""",
+group by g.scene, g.tile_x, g.tile_y having count(s.z) + count(n.z) > 0""",
 )
 cte(
     "whag",
@@ -399,31 +400,55 @@ def _(inp: Inputs):
 # --- sinks: written and read back --------------------------------------------------------------------------------
 
 
-@query("write_points", with_ctes("points", "select scene, pose_index, point_id, x, y, z, class_id from points"))
+@query("write_points", with_ctes("points", "select * from points"))
 def _(inp: Inputs):
     tables.write_points(inp.points, f"{inp.work_folder}/points")
-    stored = inp.spark.read.parquet(f"{inp.work_folder}/points")
-    return stored.select(*schema.FRAME, "point_id", "x", "y", "z", "class_id")
+    return inp.spark.read.parquet(f"{inp.work_folder}/points").select(*inp.points.columns)
 
 
-@query(
-    "write_manifest",
-    with_ctes("cleaned", "select scene, pose_index, num_points_original, num_points_cleaned, cleaned_path from cleaned"),
-)
+def read_csv(inp: Inputs, like, path: str):
+    """The CSV at ``path`` with the columns and types of ``like``; fails if they are others."""
+    return inp.spark.read.schema(like.schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
+@query("write_manifest", with_ctes("cleaned", "select * from cleaned"))
 def _(inp: Inputs):
-    manifest = ground.clean_manifest(ground.hag(inp.points_unnumbered))
+    manifest = rounded(ground.clean_manifest(ground.hag(inp.points_unnumbered)), ["points_removed_pct"])
     tables.write_manifest(manifest, f"{inp.work_folder}/manifest")
-    stored = inp.spark.read.schema(manifest.schema).option("header", True).csv(f"{inp.work_folder}/manifest")
-    return stored.select(*schema.FRAME, "num_points_original", "num_points_cleaned", "cleaned_path")
+    return read_csv(inp, manifest, f"{inp.work_folder}/manifest")
+
+
+def _run_summary(inp: Inputs):
+    """Metrics of a run and the folder they were written to."""
+    metrics = cut_lineage(rounded(survival.survival_report(inp.returns_unnumbered), PCT))
+    totals = rounded(ground.run_totals(ground.hag(inp.points_unnumbered)), ["removed_pct"])
+    tables.write_run_summary(metrics, totals, f"{inp.work_folder}/run")
+    return metrics, f"{inp.work_folder}/run"
 
 
 @query(
     "write_run_summary",
-    with_ctes("hag", "select scene, count(*) as original, count(*) filter (hag > 2) as kept from hag group by scene"),
+    with_ctes(
+        "hag",
+        f"""select scene, count(*) as original, count(*) filter (hag > 2) as kept,
+{r('100e0*(1 - count(*) filter (hag > 2)/count(*))', 6)} as removed_pct from hag group by rollup (scene)""",
+    ),
 )
 def _(inp: Inputs):
-    heights = ground.hag(inp.points_unnumbered)
-    metrics = ground.survival_metrics(ground.survival_counts(heights))
-    tables.write_run_summary(metrics, ground.run_totals(heights), f"{inp.work_folder}/run")
-    stored = inp.spark.read.schema("scene string, original long, kept long").json(f"{inp.work_folder}/run/summary")
-    return stored.filter("scene is not null")
+    kinds = "scene string, original long, kept long, removed_pct double"
+    return inp.spark.read.schema(kinds).json(f"{_run_summary(inp)[1]}/summary")
+
+
+@query("write_all_metrics", SQL["survival_metrics"])
+def _(inp: Inputs):
+    metrics, path = _run_summary(inp)
+    return read_csv(inp, metrics, f"{path}/all_metrics")
+
+
+@query("write_scene_metrics", SQL["survival_metrics"])
+def _(inp: Inputs):
+    metrics, path = _run_summary(inp)
+    # One folder per scene; inside, the scene stands as ``scene_name``.
+    inner = metrics.drop("scene").withColumn("scene_name", F.lit(""))
+    stored = inp.spark.read.schema(inner.schema).option("header", True).csv(f"{path}/scene_metrics/*")
+    return stored.withColumnRenamed("scene_name", "scene").select(*metrics.columns)

@@ -87,7 +87,8 @@ def _(inp: Inputs):
 
 MERGE_SQL = """linked as (select a.box_id as src, b.box_id as dst from boxes a join boxes b on a.scene = b.scene and a.pose_index = b.pose_index
   and a.class_label = b.class_label and power(a.bbox_center_x - b.bbox_center_x, 2) + power(a.bbox_center_y - b.bbox_center_y, 2)
-  + power(a.bbox_center_z - b.bbox_center_z, 2) < 100),
+  + power(a.bbox_center_z - b.bbox_center_z, 2)
+  < power(case a.class_label when 'Antenna' then 30e0 when 'Cable' then 0.5e0 when 'Electric Pole' then 15e0 when 'Wind Turbine' then 50e0 else 10e0 end, 2)),
 reached as (select box_id as src, box_id as dst from boxes union select reached.src, linked.dst from reached join linked on linked.src = reached.dst),
 grouped as (select src as box_id, min(dst) as merged_id from reached group by src),
 merged as (select g.merged_id as box_id, arg_min(scene, b.box_id) as scene, arg_min(pose_index, b.box_id) as pose_index, arg_min(ego_x, b.box_id) as ego_x,

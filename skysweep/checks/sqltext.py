@@ -32,6 +32,15 @@ def r(expr: str, digits: int) -> str:
     return f"(round({expr}, {digits}) + cast(0 as double))"
 
 
+def draw_sql(purpose: str, *keys: str) -> str:
+    """The same draw as ``functions.columns.draw``."""
+    return f"(cast(concat('0x', substr(md5(concat_ws('|', '{purpose}', {', '.join(keys)})), 1, 8)) as bigint) // 2)"
+
+
+def uniform_sql(purpose: str, *keys: str) -> str:
+    return f"({draw_sql(purpose, *keys)}/2147483648e0)"
+
+
 MARK = "case l_linenumber when 1 then {} when 2 then {} when 3 then {} when 4 then {} else 128 end"
 cte(
     "returns",

@@ -60,15 +60,14 @@ def label_of(class_id: str = "class_id", other: str = BACKGROUND) -> Column:
     return column.otherwise(other)
 
 
-def draw(key: Column, seed: int = 0) -> Column:
-    """Repeatable whole-number draw in [0, 2^31) from a whole-number key; the key is reduced first, so it may be large."""
-    return ((key.cast("long") + F.lit(seed)) % 2147483648 * 1103515245 + 12345) % 2147483648
+def draw(purpose: str, *keys: Column | str) -> Column:
+    """Repeatable whole-number draw in [0, 2^31) for a purpose and the values of the keys.
 
+    It is the head of a digest of both, so draws for other purposes or keys are unrelated, and any key will do.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(purpose), *keys))
+    return F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / 2)
 
-def uniform(key: Column, seed: int = 0) -> Column:
-    return draw(key, seed) / F.lit(2147483648.0)
 
-
-def frame_number() -> Column:
-    """Whole-number key of a frame, for per-frame draws."""
-    return F.regexp_extract("scene", "([0-9]+)$", 1).cast("long") * 1000003 + F.col("pose_index")
+def uniform(purpose: str, *keys: Column | str) -> Column:
+    return draw(purpose, *keys) / F.lit(2147483648.0)

@@ -1,6 +1,6 @@
 """Repeatable augmentation and density sampling.
 
-Every random choice is whole-number arithmetic on a row or frame key, so a run can be repeated and checked.
+Every random choice is a digest of its purpose and a row or frame key, so a run can be repeated and checked.
 """
 
 from __future__ import annotations
@@ -10,27 +10,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skysweep.functions.columns import clip, draw, frame_number, uniform
+from skysweep.functions.columns import clip, draw, uniform
 from skysweep.functions.ranks import rank_in_group
 from skysweep.operators.frames import split_by_scene
 from skysweep.schema import FRAME
 
 # Default strength of the augmentation.
 AUGMENT = {"flip_prob": 0.5, "max_rotation_deg": 180.0, "scale_low": 0.95, "scale_high": 1.05, "jitter_sigma": 0.01}
-DROPOUT_RATIOS = (1.0, 0.75, 0.50, 0.25)
+DENSITIES = (1.0, 0.75, 0.50, 0.25)
+# The share of points a training frame keeps, each as likely.
+DROPOUT_RATIOS = (1.0, 1.0, 1.0, 0.75, 0.50, 0.25)
 
 
 def frame_draws(frames: DataFrame, seed: int = 0, a: dict = AUGMENT) -> DataFrame:
     """Flip, angle, scale and keep ratio of every frame."""
-    key = frame_number()
+    own = lambda what: uniform(f"{what}{seed}", *FRAME)
     span = F.lit(2 * a["max_rotation_deg"])
     ratios = F.array(*[F.lit(r) for r in DROPOUT_RATIOS])
-    choice = F.floor(uniform(key, seed + 3) * len(DROPOUT_RATIOS)).cast("int")
+    choice = F.floor(own("ratio") * len(DROPOUT_RATIOS)).cast("int")
     return frames.select(
         *FRAME,
-        (uniform(key, seed) < F.lit(a["flip_prob"])).alias("flip"),
-        (uniform(key, seed + 1) * span - F.lit(a["max_rotation_deg"])).alias("angle_deg"),
-        (F.lit(a["scale_low"]) + uniform(key, seed + 2) * F.lit(a["scale_high"] - a["scale_low"])).alias("scale"),
+        (own("flip") < F.lit(a["flip_prob"])).alias("flip"),
+        (own("angle") * span - F.lit(a["max_rotation_deg"])).alias("angle_deg"),
+        (F.lit(a["scale_low"]) + own("scale") * F.lit(a["scale_high"] - a["scale_low"])).alias("scale"),
         F.element_at(ratios, choice + 1).alias("keep_ratio"),
     )
 
@@ -39,53 +41,54 @@ def _columns(df: DataFrame) -> tuple[str, str, str]:
     return ("x", "y", "z") if "x" in df.columns else ("bbox_center_x", "bbox_center_y", "bbox_center_z")
 
 
+def _moved(df: DataFrame, steps: Sequence[str]) -> dict[str, Column]:
+    """Columns after the given steps, for rows that carry the draws of their frame."""
+    x, y, z = _columns(df)
+    now = {c: F.col(c) for c in (x, y, z, "bbox_width", "bbox_length", "bbox_height", "bbox_yaw") if c in df.columns}
+    if "flip" in steps:
+        sign = F.when(F.col("flip"), -1.0).otherwise(1.0)
+        now |= {c: now[c] * sign for c in (y, "bbox_yaw") if c in now}
+    if "rotate" in steps:
+        angle = F.radians("angle_deg")
+        now |= {x: now[x] * F.cos(angle) - now[y] * F.sin(angle), y: now[x] * F.sin(angle) + now[y] * F.cos(angle)}
+        now |= {"bbox_yaw": now["bbox_yaw"] + angle} if "bbox_yaw" in now else {}
+    if "scale" in steps:
+        now |= {c: now[c] * F.col("scale") for c in now if c != "bbox_yaw"}
+    return now
+
+
+def _augmented(df: DataFrame, draws: DataFrame, steps: Sequence[str]) -> DataFrame:
+    return df.join(draws, FRAME).withColumns(_moved(df, steps)).select(*df.columns)
+
+
 def aug_flip(df: DataFrame, draws: DataFrame) -> DataFrame:
     """Mirror y of the points or boxes of flipped frames; the yaw of a box turns its sign."""
-    _, y, _ = _columns(df)
-    sign = F.when(F.col("flip"), -1.0).otherwise(1.0)
-    changed = {y: F.col(y) * sign}
-    if "bbox_yaw" in df.columns:
-        changed["bbox_yaw"] = F.col("bbox_yaw") * sign
-    return df.join(draws.select(*FRAME, "flip"), FRAME).withColumns(changed).drop("flip")
+    return _augmented(df, draws, ["flip"])
 
 
 def aug_rotate(df: DataFrame, draws: DataFrame) -> DataFrame:
-    x, y, _ = _columns(df)
-    angle = F.radians("angle_deg")
-    changed = {
-        x: F.col(x) * F.cos(angle) - F.col(y) * F.sin(angle),
-        y: F.col(x) * F.sin(angle) + F.col(y) * F.cos(angle),
-    }
-    if "bbox_yaw" in df.columns:
-        changed["bbox_yaw"] = F.col("bbox_yaw") + angle
-    return df.join(draws.select(*FRAME, "angle_deg"), FRAME).withColumns(changed).drop("angle_deg")
+    return _augmented(df, draws, ["rotate"])
 
 
 def aug_scale(df: DataFrame, draws: DataFrame) -> DataFrame:
-    sized = [*_columns(df), *[c for c in ("bbox_width", "bbox_length", "bbox_height") if c in df.columns]]
-    scaled = {c: F.col(c) * F.col("scale") for c in sized}
-    return df.join(draws.select(*FRAME, "scale"), FRAME).withColumns(scaled).drop("scale")
+    return _augmented(df, draws, ["scale"])
 
 
-def _normal(key: Column, seed: int) -> Column:
-    """Standard normal draw from two uniform ones."""
-    first = F.greatest(uniform(key, seed), F.lit(1e-12))
-    return F.sqrt(-2 * F.log(first)) * F.cos(2 * F.pi() * uniform(key * 31 + 7, seed + 17))
+def _noise(axis: str, sigma: float, seed: int) -> Column:
+    """Normal draw from two uniform ones, cut at five deviations."""
+    first, second = (uniform(f"noise{part}{axis}{seed}", *FRAME, "point_id") for part in (1, 2))
+    normal = F.sqrt(-2 * F.log(F.greatest(first, F.lit(1e-12)))) * F.cos(2 * F.pi() * second)
+    return clip(normal * F.lit(sigma), -5 * sigma, 5 * sigma)
 
 
 def aug_jitter(points: DataFrame, sigma: float = AUGMENT["jitter_sigma"], seed: int = 0) -> DataFrame:
     """Normal noise per coordinate, cut at five deviations; points only."""
-    key = frame_number() * 1000 + F.col("point_id")
-    noise = {
-        c: F.col(c) + clip(_normal(key, seed + 101 * i) * F.lit(sigma), -5 * sigma, 5 * sigma)
-        for i, c in enumerate(("x", "y", "z"))
-    }
-    return points.withColumns(noise)
+    return points.withColumns({c: F.col(c) + _noise(c, sigma, seed) for c in ("x", "y", "z")})
 
 
 def _keep_lowest(points: DataFrame, seed: int, keep: Column) -> DataFrame:
     """Rows whose pseudo-random rank in their frame is at most ``keep``; the rank never sorts a whole frame in one task."""
-    ordered = points.withColumn("__draw", draw(F.col("point_id"), seed))
+    ordered = points.withColumn("__draw", draw(f"keep{seed}", *FRAME, "point_id"))
     ranked = rank_in_group(ordered, FRAME, F.col("__draw"), 1 << 22, ["__draw", "point_id"], "__rank")
     return ranked.filter(F.col("__rank") <= keep).drop("__draw", "__rank")
 
@@ -98,10 +101,10 @@ def density_sample(points: DataFrame, ratio: Column | float, seed: int = 0) -> D
     return _keep_lowest(points.join(sizes, FRAME), seed, keep).drop("__n")
 
 
-def density_levels(points: DataFrame, ratios: Sequence[float] = DROPOUT_RATIOS, seed: int = 0) -> DataFrame:
+def density_levels(points: DataFrame, ratios: Sequence[float] = DENSITIES, seed: int = 0) -> DataFrame:
     """Points kept per frame at every density level, from one ranking."""
     sizes = points.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("__n"))
-    ordered = points.select(*FRAME, "point_id", draw(F.col("point_id"), seed).alias("__draw")).join(sizes, FRAME)
+    ordered = points.select(*FRAME, "point_id", draw(f"keep{seed}", *FRAME, "point_id").alias("__draw")).join(sizes, FRAME)
     ranked = rank_in_group(ordered, FRAME, F.col("__draw"), 1 << 22, ["__draw", "point_id"], "__rank")
     levels = [
         F.when(F.col("__rank") <= F.greatest((F.col("__n") * F.lit(r)).cast("long"), F.lit(1)), F.lit(float(r))) for r in ratios
@@ -115,17 +118,21 @@ def cap_points(points: DataFrame, most: int, seed: int = 0) -> DataFrame:
     return _keep_lowest(points, seed, F.lit(most))
 
 
+STEPS = ("flip", "rotate", "scale")
+
+
 def augment_points(points: DataFrame, frames: DataFrame, seed: int = 0) -> DataFrame:
-    """Flip, turn, scale, jitter and thin the points of the training scenes; validation scenes stay untouched."""
-    draws = frame_draws(frames, seed)
-    train = aug_scale(aug_rotate(aug_flip(split_by_scene(points, "train"), draws), draws), draws)
-    jittered = aug_jitter(train, seed=seed).join(draws.select(*FRAME, "keep_ratio"), FRAME)
-    thinned = density_sample(jittered, F.col("keep_ratio"), seed).drop("keep_ratio")
+    """Flip, turn, scale, jitter and thin the points of the training scenes; validation scenes stay untouched.
+
+    One join with the draws and one ranking per frame.
+    """
+    train = split_by_scene(points, "train").join(frame_draws(frames, seed), FRAME)
+    moved = train.withColumns(_moved(points, STEPS)).select(*points.columns, "keep_ratio")
+    thinned = density_sample(aug_jitter(moved, seed=seed), F.col("keep_ratio"), seed)
     return thinned.select(*points.columns).unionByName(split_by_scene(points, "val"))
 
 
 def augment_boxes(boxes: DataFrame, frames: DataFrame, seed: int = 0) -> DataFrame:
     """The same flip, turn and scale for the boxes."""
-    draws = frame_draws(frames, seed)
-    train = aug_scale(aug_rotate(aug_flip(split_by_scene(boxes, "train"), draws), draws), draws)
-    return train.select(*boxes.columns).unionByName(split_by_scene(boxes, "val"))
+    train = _augmented(split_by_scene(boxes, "train"), frame_draws(frames, seed), STEPS)
+    return train.unionByName(split_by_scene(boxes, "val"))

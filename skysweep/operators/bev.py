@@ -33,7 +33,7 @@ def pillar_cap(points: DataFrame, g: dict = BEV) -> DataFrame:
     indexed = pillar_index(points, g)
     pillars = indexed.groupBy(*PILLAR).agg(F.count(F.lit(1)).alias("pillar_points"))
     flat = F.col("gx") * g["grid_y"] + F.col("gy")
-    chosen = W.partitionBy(*FRAME).orderBy(draw(flat), flat)
+    chosen = W.partitionBy(*FRAME).orderBy(draw("pillar", flat), flat)
     kept = pillars.withColumn("__rank", F.row_number().over(chosen)).filter(F.col("__rank") <= g["max_pillars"]).drop("__rank")
     first = W.partitionBy(*PILLAR).orderBy("point_id")
     # The plain rank filter lets Spark drop the surplus of a pillar before the shuffle.

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysweep.functions.columns import label_of, pick_by_class
+from skysweep.functions.ranks import pivot_percentiles, wide_percentiles
 from skysweep.operators.boxfit import obb_yaw_pca
 from skysweep.operators.near import Space, cell_bounds, components_of_cells, link_cells, near_components, rows_within
 from skysweep.schema import FRAME, POSE, overlay_parameters
@@ -119,17 +120,24 @@ def min_cluster_filter(clustered: DataFrame, keys: Sequence[str], smallest: Colu
     return members.join(big.select(*keys, "cluster"), [*keys, "cluster"], "left_semi")
 
 
-def cluster_points(points: DataFrame, user: dict[str, Any] | None = None) -> DataFrame:
-    """Obstacle points with their final cluster: sample, cluster, merge, give back, drop small clusters."""
+def cluster_points(points: DataFrame, user: dict[str, Any] | None = None, thin_large: bool = False) -> DataFrame:
+    """Obstacle points with their final cluster: cluster, merge, drop small clusters.
+
+    All points are clustered. With ``thin_large`` groups above ``max_points_for_dbscan`` are voxel-sampled first and their
+    points given back by nearest centroid, which is coarser.
+    """
     params = overlay_parameters(user)
     bare = points.filter("class_id >= 0").select(*CLASS_KEYS, "point_id", *XYZ)
-    small, large = split_large(bare, CLASS_KEYS, params["max_points_for_dbscan"])
-    sampled = small.withColumn("sampled", F.lit(False)).unionByName(
-        voxel_downsample(large, CLASS_KEYS, params["voxel_size"]).withColumn("sampled", F.lit(True))
-    )
-    merged = cut_lineage(merge_clusters(class_dbscan(sampled, params), params))
-    given_back = reassign_points(large, merged.filter("sampled"), params)
-    labelled = merged.filter("not sampled").drop("sampled").unionByName(given_back)
+    if thin_large:
+        small, large = split_large(bare, CLASS_KEYS, params["max_points_for_dbscan"])
+        sampled = small.withColumn("sampled", F.lit(False)).unionByName(
+            voxel_downsample(large, CLASS_KEYS, params["voxel_size"]).withColumn("sampled", F.lit(True))
+        )
+        merged = cut_lineage(merge_clusters(class_dbscan(sampled, params), params))
+        given_back = reassign_points(large, merged.filter("sampled"), params)
+        labelled = merged.filter("not sampled").drop("sampled").unionByName(given_back)
+    else:
+        labelled = cut_lineage(merge_clusters(class_dbscan(cut_lineage(bare), params), params))
     return min_cluster_filter(labelled, CLASS_KEYS, pick_by_class(params["min_cluster_points"]))
 
 
@@ -160,12 +168,20 @@ def gt_boxes_run(points: DataFrame, frames: DataFrame, user: dict[str, Any] | No
 
 
 def run_statistics(boxes: DataFrame) -> DataFrame:
-    """Boxes, mean size and mean points per class of a run."""
-    return boxes.groupBy("class_label").agg(
+    """Per class of a run: boxes, mean, median and largest sides, points, and boxes per frame that has any."""
+    sides = ("width", "length", "height")
+    named = boxes.select("class_label", *FRAME, "num_points", *[F.col(f"bbox_{d}").alias(d) for d in sides])
+    means = named.groupBy("class_label").agg(
         F.count(F.lit(1)).alias("n_boxes"),
-        *[F.avg(f"bbox_{d}").alias(f"mean_{d}") for d in ("width", "length", "height")],
+        *[f(d).alias(f"{name}_{d}") for d in sides for name, f in (("mean", F.avg), ("max", F.max))],
         F.avg("num_points").alias("mean_points"),
     )
+    medians = pivot_percentiles(
+        wide_percentiles(named, ["class_label"], sides, [0.5]), ["class_label"], {(d, 0.5): f"median_{d}" for d in sides}
+    )
+    per_frame = named.groupBy("class_label", *FRAME).agg(F.count(F.lit(1)).alias("n"))
+    objects = per_frame.groupBy("class_label").agg(F.avg("n").alias("mean_per_frame"), F.max("n").alias("max_per_frame"))
+    return means.join(medians, "class_label").join(objects, "class_label")
 
 
 def height_prefilter(points: DataFrame, min_height: float = 0.5, min_cluster_size: int = 30) -> DataFrame:

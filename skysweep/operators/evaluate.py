@@ -31,13 +31,18 @@ def _half(measure: str) -> tuple[Column, Column]:
     return size["x"] / 2, size["y"] / 2
 
 
-def iou_pairs(left: DataFrame, right: DataFrame, measure: str = "aabb", keys: Sequence[str] = FRAME) -> DataFrame:
-    """All overlapping pairs of two box tables within a frame: box_id_a, box_id_b, keys and iou above 0."""
-    half = _half(measure)
+def iou_pairs(left: DataFrame, right: DataFrame, measure: str = "aabb", keys: Sequence[str] = FRAME, least: float = 0.0) -> DataFrame:
+    """Overlapping pairs of two box tables within a frame with iou above 0 and at least ``least``.
+
+    Result: box_id_a, box_id_b, keys and iou. The iou of two boxes is at most that of their sides along one axis, so centres
+    lie apart by at most (1 - least) / (1 + least) of the half sides; the search uses footprints shrunk by that.
+    """
+    shrink = (1 - least) / (1 + least) * (1 + 1e-9) if measure != "cylinder" else 1.0
+    half = tuple(h * F.lit(shrink) for h in _half(measure))
     columns = [*keys, "box_id", *SHAPE]
     pairs = overlapping_pairs(left.select(*columns), right.select(*columns), keys, half, half)
     measured = add_iou_cylinder(pairs) if measure == "cylinder" else pairs.withColumn("iou", MEASURES[measure]())
-    return measured.filter("iou > 0").select(*keys, "box_id_a", "box_id_b", "iou")
+    return measured.filter((F.col("iou") > 0) & (F.col("iou") >= F.lit(float(least)))).select(*keys, "box_id_a", "box_id_b", "iou")
 
 
 # --- one-to-one assignment ---------------------------------------------------------------------------------------
@@ -141,27 +146,32 @@ def pr_metrics(
     return whole.unionByName(scores(matched, ["class_label"]))
 
 
-def cluster_eval(detections: DataFrame, truth: DataFrame, threshold: float = 0.3, by: str = "gt_class") -> DataFrame:
-    """Scores over every frame with the mean of the frames' mean iou and the numbers of clusters and objects."""
-    frames = match_boxes(detections, truth, threshold).withColumn("class_label", F.lit("all"))
+def cluster_eval(detections: DataFrame, truth: DataFrame, threshold: float = 0.3, by: str = "gt_class", extra: Sequence[str] = ()) -> DataFrame:
+    """Scores over every frame with the mean of the frames' mean iou and the numbers of clusters and objects.
+
+    One row per class and one for all (``all``), for every value of the ``extra`` keys.
+    """
+    keys = [*FRAME, *extra]
+    frames = match_boxes(detections, truth, threshold, keys).withColumn("class_label", F.lit("all"))
     named = detections.drop("class_label").withColumnRenamed(by, "class_label")
     known = F.col("class_label").isin(CLASS_NAMES)
-    classes = match_boxes(named.filter(known), truth.filter(known), threshold, [*FRAME, "class_label"])
-    columns = [*FRAME, "class_label", "tp", "fp", "fn", "mean_iou"]
+    classes = match_boxes(named.filter(known), truth.filter(known), threshold, [*keys, "class_label"])
+    columns = [*keys, "class_label", "tp", "fp", "fn", "mean_iou"]
     both = cut_lineage(frames.select(*columns).unionByName(classes.select(*columns)))
-    means = both.groupBy("class_label").agg(
+    group = [*extra, "class_label"]
+    means = both.groupBy(*group).agg(
         F.coalesce(F.avg(F.when(F.col("mean_iou") > 0, F.col("mean_iou"))), F.lit(0.0)).alias("mean_iou"),
         F.sum(F.col("tp") + F.col("fp")).alias("clusters"),
         F.sum(F.col("tp") + F.col("fn")).alias("objects"),
     )
-    return scores(both, ["class_label"]).join(means, "class_label")
+    return scores(both, group).join(means, group)
 
 
-def param_sweep(points: DataFrame, truth: DataFrame, min_cluster_sizes: Sequence[int], min_samples: Sequence[int], epsilons: Sequence[float], top: int = 10, threshold: float = 0.3) -> DataFrame:
-    """Overall scores of the clustering for every parameter combination, best F1 first.
+def param_sweep(points: DataFrame, truth: DataFrame, min_cluster_sizes: Sequence[int], min_samples: Sequence[int], epsilons: Sequence[float], threshold: float = 0.3) -> DataFrame:
+    """Scores of the clustering for every parameter combination, best F1 first.
 
     Combinations are a key of the rows, so one clustering run serves all of them; the smallest cluster size only
-    filters its clusters.
+    filters its clusters. ``points`` carry their class, by which a cluster counts as one of the class most of its points have.
     """
     grid = [F.struct(F.lit(i).alias("param_id"), F.lit(float(e)).alias("epsilon"), F.lit(int(m)).alias("min_samples"))
             for i, (e, m) in enumerate((e, m) for e in epsilons for m in min_samples)]
@@ -170,7 +180,7 @@ def param_sweep(points: DataFrame, truth: DataFrame, min_cluster_sizes: Sequence
     radius = F.greatest(F.col("epsilon"), F.lit(1e-6))
     cored = cluster.dbscan(cut_lineage(multiplied), keys, radius, F.col("min_samples"), borders=False)
     members = cut_lineage(cored.filter(F.col("cluster") >= 0))
-    boxes = boxfit.obb_yaw_pca(members, [*keys, "cluster"])
+    boxes = boxfit.obb_yaw_pca(members, [*keys, "cluster"]).join(boxfit.dominant_class(members, [*keys, "cluster"]), [*keys, "cluster"])
     sized = boxes.withColumn("min_cluster_size", F.explode(F.array(*[F.lit(int(s)) for s in min_cluster_sizes])))
     sized = cut_lineage(sized.filter(F.col("num_points") >= F.col("min_cluster_size")).withColumn("box_id", F.monotonically_increasing_id()))
     settings = ["param_id", "min_cluster_size"]
@@ -180,14 +190,17 @@ def param_sweep(points: DataFrame, truth: DataFrame, min_cluster_sizes: Sequence
     reference = truth.withColumn("g", F.explode(named)).select(*truth.columns, "g.*")
     # Box ids must stay unique over the copies of the reference boxes.
     reference = cut_lineage(reference.withColumn("box_id", F.monotonically_increasing_id()))
-    scored = scores(match_boxes(sized, reference, threshold, [*FRAME, *settings]), settings)
-    clusters = sized.groupBy(*settings).agg(F.count(F.lit(1)).alias("n_clusters"))
-    values = F.array(*grid)
-    joined = scored.join(clusters, settings, "left").fillna(0, ["n_clusters"])
-    joined = joined.withColumn("g", F.element_at(values, F.col("param_id") + 1))
-    return joined.select(
-        "min_cluster_size", "g.min_samples", "g.epsilon", "precision", "recall", "f1", "n_clusters"
-    ).orderBy(F.desc("f1"), "min_cluster_size", "min_samples", "epsilon").limit(top)
+    graded = cluster_eval(sized, reference, threshold, extra=settings)
+    of = lambda label, column, name: F.coalesce(F.max(F.when(F.col("class_label") == label, F.col(column))), F.lit(0)).alias(name)
+    wide = graded.groupBy(*settings).agg(
+        *[of("all", c, c) for c in ("precision", "recall", "f1", "mean_iou")],
+        of("all", "clusters", "n_clusters"),
+        *[of(c, "f1", f"f1_{c.lower().split()[-1]}") for c in CLASS_NAMES],
+    )
+    joined = wide.withColumn("g", F.element_at(F.array(*grid), F.col("param_id") + 1))
+    return joined.select("min_cluster_size", "g.min_samples", "g.epsilon", *[c for c in wide.columns if c not in settings]).orderBy(
+        F.desc("f1"), "min_cluster_size", "min_samples", "epsilon"
+    )
 
 
 def cluster_profile(features: DataFrame) -> DataFrame:
@@ -200,6 +213,8 @@ def cluster_profile(features: DataFrame) -> DataFrame:
         F.max("n_points").alias("max_points"),
         F.avg("bbox_height").alias("mean_height"),
         F.avg("elongation").alias("mean_elongation"),
+        F.min("elongation").alias("min_elongation"),
+        F.max("elongation").alias("max_elongation"),
     )
     stats = wide_percentiles(both, ["class_label"], ["n_points", "elongation"], [0.25, 0.5, 0.75])
     names = {("n_points", 0.5): "median_points", ("elongation", 0.25): "elongation_q1", ("elongation", 0.5): "elongation_median", ("elongation", 0.75): "elongation_q3"}
@@ -212,7 +227,7 @@ def cluster_profile(features: DataFrame) -> DataFrame:
 def true_positives(detections: DataFrame, truth: DataFrame, threshold: float = 0.5, extra: Sequence[str] = ()) -> DataFrame:
     """Detections that are the most confident one on their best reference box of the same frame and class."""
     keys = [*FRAME, "class_label", *extra]
-    pairs = iou_pairs(detections, truth, "aabb", keys).filter(F.col("iou") >= F.lit(threshold))
+    pairs = iou_pairs(detections, truth, "aabb", keys, least=threshold)
     best = pairs.groupBy(*extra, "box_id_a").agg(F.max_by(F.struct("box_id_b", "iou"), F.struct("iou", -F.col("box_id_b"))).alias("b"))
     scored = best.select(*extra, F.col("box_id_a").alias("box_id"), "b.box_id_b", "b.iou").join(
         detections.select(*extra, "box_id", "confidence"), [*extra, "box_id"]

@@ -94,12 +94,16 @@ def norm_reflectivity() -> Column:
 
 
 def frame_manifest(returns: DataFrame, folder: str = "processed") -> DataFrame:
-    """One row per frame that keeps a valid beam: counts, share of valid beams and file name."""
-    valid = F.count_if(F.col("distance_cm") > 0)
+    """One row per frame that keeps a valid beam: counts, share of valid beams and file name.
+
+    Counted per pose in one aggregation; the frames are numbered on its result, those without a valid beam included.
+    """
+    counts = returns.dropna(subset=POSE).groupBy("scene", *POSE).agg(
+        F.count(F.lit(1)).alias("num_points_raw"), F.count_if(F.col("distance_cm") > 0).alias("num_points_valid")
+    )
+    number = F.row_number().over(W.partitionBy("scene").orderBy(*POSE)) - 1
     return (
-        frame_points(returns, frame_index(returns))
-        .groupBy(*FRAME, *POSE)
-        .agg(F.count(F.lit(1)).alias("num_points_raw"), valid.alias("num_points_valid"))
+        counts.select("scene", number.alias("pose_index"), *POSE, "num_points_raw", "num_points_valid")
         .filter("num_points_valid > 0")
         .withColumn("num_invalid_dropped", F.col("num_points_raw") - F.col("num_points_valid"))
         .withColumn("valid_pct", 100.0 * F.col("num_points_valid") / F.col("num_points_raw"))

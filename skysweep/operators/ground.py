@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skysweep.functions.columns import label_of
 from skysweep.operators.frames import first_n_frames, local_to_world
 from skysweep.schema import CLASS_NAMES, FRAME, MIN_SURVIVAL, POSE
+from skysweep.session import cut_lineage
 
 TILE = ["tile_x", "tile_y"]
 
@@ -206,9 +207,12 @@ def threshold_highest_ok(metrics: DataFrame, min_survival: dict[str, float] = MI
 
 
 def ground_qa(
-    points_hag: DataFrame, frames: DataFrame, threshold: float = 2.0, n: int = 5, minima: dict[str, float] = MIN_SURVIVAL
+    points: DataFrame, frames: DataFrame, threshold: float = 2.0, n: int = 5, minima: dict[str, float] = MIN_SURVIVAL
 ) -> DataFrame:
-    """Checks on the first ``n`` frames of the first scene: reduction, smallest kept height, survival per class."""
+    """Checks on the first ``n`` frames of the first scene: reduction, smallest kept height, survival per class.
+
+    Ground is estimated for these frames only.
+    """
     first_scene = frames.agg(F.min("scene").alias("scene"))
     listed = first_n_frames(frames.join(first_scene, "scene", "left_semi"), n).select(*FRAME)
     kept = F.col("hag") > F.lit(float(threshold))
@@ -223,7 +227,7 @@ def ground_qa(
         is_class = F.col("class_label") == label
         share = F.try_divide(F.count_if(is_class & kept), F.count_if(is_class))
         columns.append(F.coalesce(share >= F.lit(minima.get(label, 0.0)), F.lit(True)).alias(f"{_prefix(label)}_ok"))
-    return points_hag.join(listed, FRAME, "left_semi").groupBy(*FRAME).agg(*columns)
+    return hag(points.join(listed, FRAME, "left_semi")).groupBy(*FRAME).agg(*columns)
 
 
 def kept_by_threshold(points_hag: DataFrame, thresholds: Sequence[float] = (2, 5, 10, 15, 20, 25)) -> DataFrame:
@@ -309,44 +313,47 @@ def _world_tile(axis: str, tile_size: float) -> Column:
     return F.least(F.greatest(cell, F.lit(0)), F.col(f"n{axis}") - 1)
 
 
-def scene_ground_model(points: DataFrame, tile_size: float = 10.0, max_frames: int = 20) -> DataFrame:
-    """Lowest z per world tile; an empty tile takes the median of the filled tiles around it.
+def _world(points: DataFrame, frames: int | None) -> DataFrame:
+    return local_to_world(points if frames is None else points.filter(F.col("pose_index") < frames))
 
-    Result: scene, tile_x, tile_y, ground_z (NULL where the whole neighbourhood is empty), filled.
-    """
-    world = local_to_world(points.filter(F.col("pose_index") < max_frames))
-    bounds = _world_bounds(world, tile_size)
+
+def _scene_model(points: DataFrame, tile_size: float, max_frames: int | None) -> tuple[DataFrame, DataFrame]:
+    """Model and bounds of every scene; the bounds are stored, as every later step reads them."""
+    world = _world(points, max_frames)
+    bounds = cut_lineage(_world_bounds(world, tile_size))
     seen = (
         world.join(bounds, "scene")
-        .groupBy("scene", _world_tile("x", tile_size).alias("tile_x"), _world_tile("y", tile_size).alias("tile_y"))
+        .groupBy("scene", "nx", "ny", _world_tile("x", tile_size).alias("tile_x"), _world_tile("y", tile_size).alias("tile_y"))
         .agg(F.min("z_world").alias("z"))
     )
-    grid = bounds.select(
-        "scene", "nx", "ny", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("tile_x")
-    ).select("scene", "tile_x", "nx", "ny", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("tile_y"))
-    # Edge tiles repeat outwards, so a clamped neighbour counts once per offset that reaches it.
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    empty = grid.join(seen, ["scene", *TILE], "left_anti")
-    around = empty.withColumn("s", F.explode(steps)).select(
-        "scene",
-        *TILE,
-        F.least(F.greatest(F.col("tile_x") + F.col("s.i"), F.lit(0)), F.col("nx") - 1).alias("near_x"),
-        F.least(F.greatest(F.col("tile_y") + F.col("s.j"), F.lit(0)), F.col("ny") - 1).alias("near_y"),
-    )
-    near = seen.withColumnsRenamed({"tile_x": "near_x", "tile_y": "near_y"})
-    filled = (
-        around.join(near, ["scene", "near_x", "near_y"], "left")
-        .groupBy("scene", *TILE)
-        .agg(F.percentile("z", 0.5).alias("ground_z"))
-    )
-    return seen.select("scene", *TILE, F.col("z").alias("ground_z"), F.lit(False).alias("filled")).unionByName(
-        filled.withColumn("filled", F.lit(True))
+    # Every seen tile offers its height to the tiles around it.
+    offers = seen.withColumn("s", F.explode(steps)).select(
+        "scene", "nx", "ny", (F.col("tile_x") + F.col("s.i")).alias("tile_x"), (F.col("tile_y") + F.col("s.j")).alias("tile_y"), "s.i", "s.j", "z"
     )
 
+    def times(axis: str, step: str) -> Column:
+        """Edge tiles repeat outwards, so a clamped neighbour counts once per offset that reaches it."""
+        at_edge = (F.col(f"tile_{axis}") == 0).cast("int") + (F.col(f"tile_{axis}") == F.col(f"n{axis}") - 1).cast("int")
+        return 1 + F.when(F.col(step) == 0, at_edge).otherwise(0)
+
+    inside = offers.filter("tile_x between 0 and nx - 1 and tile_y between 0 and ny - 1")
+    own = F.max(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("z")))
+    around = F.percentile("z", 0.5, times("x", "i") * times("y", "j"))
+    model = inside.groupBy("scene", *TILE).agg(own.alias("own"), around.alias("around"))
+    return model.select("scene", *TILE, F.coalesce("own", "around").alias("ground_z"), F.col("own").isNull().alias("filled")), bounds
 
-def ground_lookup(rows: DataFrame, model_points: DataFrame, model: DataFrame, tile_size: float = 10.0, max_frames: int = 20) -> DataFrame:
-    """Add ``ground_z`` at (x_world, y_world); positions outside the grid take its edge tile."""
-    bounds = _world_bounds(local_to_world(model_points.filter(F.col("pose_index") < max_frames)), tile_size)
+
+def scene_ground_model(points: DataFrame, tile_size: float = 10.0, max_frames: int | None = None) -> DataFrame:
+    """Lowest z per world tile; an empty tile next to a filled one takes the median of the filled tiles around it.
+
+    Result: scene, tile_x, tile_y, ground_z, filled. Tiles without a filled neighbour have no height and no row, so the
+    model grows with the tiles that are seen. ``max_frames`` restricts it to the first frames of a scene, if wanted.
+    """
+    return _scene_model(points, tile_size, max_frames)[0]
+
+
+def _looked_up(rows: DataFrame, model: DataFrame, bounds: DataFrame, tile_size: float) -> DataFrame:
     located = rows.join(bounds, "scene").withColumns(
         {"tile_x": _world_tile("x", tile_size), "tile_y": _world_tile("y", tile_size)}
     )
@@ -355,10 +362,14 @@ def ground_lookup(rows: DataFrame, model_points: DataFrame, model: DataFrame, ti
     )
 
 
-def scene_ground_lookup(points: DataFrame, tile_size: float = 10.0, max_frames: int = 20) -> DataFrame:
+def ground_lookup(rows: DataFrame, points: DataFrame, tile_size: float = 10.0, max_frames: int | None = None) -> DataFrame:
+    """Add ``ground_z`` of the model of ``points`` at (x_world, y_world); positions outside the grid take its edge tile."""
+    return _looked_up(rows, *_scene_model(points, tile_size, max_frames), tile_size)
+
+
+def scene_ground_lookup(points: DataFrame, tile_size: float = 10.0, max_frames: int | None = None) -> DataFrame:
     """World-frame height above the scene ground for every point."""
-    model = scene_ground_model(points, tile_size, max_frames)
-    found = ground_lookup(local_to_world(points), points, model, tile_size, max_frames)
+    found = ground_lookup(local_to_world(points), points, tile_size, max_frames)
     return found.withColumn("hag", F.round(F.col("z_world") - F.col("ground_z"), 6) + F.lit(0.0))
 
 
@@ -378,11 +389,10 @@ def ground_coverage(points_world_hag: DataFrame) -> DataFrame:
     )
 
 
-def ground_at_ego(frames: DataFrame, points: DataFrame, tile_size: float = 10.0, max_frames: int = 20) -> DataFrame:
+def ground_at_ego(frames: DataFrame, points: DataFrame, tile_size: float = 10.0, max_frames: int | None = None) -> DataFrame:
     """Ground height under the sensor of every frame."""
-    model = scene_ground_model(points, tile_size, max_frames)
     at_ego = frames.withColumns({"x_world": F.col("ego_x") / 100, "y_world": F.col("ego_y") / 100})
-    return ground_lookup(at_ego, points, model, tile_size, max_frames).select(*FRAME, "x_world", "y_world", "ground_z")
+    return ground_lookup(at_ego, points, tile_size, max_frames).select(*FRAME, "x_world", "y_world", "ground_z")
 
 
 def ego_ranges(frames: DataFrame) -> DataFrame:

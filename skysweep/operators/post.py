@@ -11,10 +11,9 @@ from skysweep.functions.iou import iou_aabb
 from skysweep.functions.ranks import wide_percentiles
 from skysweep.operators.graph import greedy_suppression
 from skysweep.operators.near import Space, near_components
-from skysweep.schema import CLASS_NAMES, DIM_LIMITS, FRAME, POST_LIMITS
+from skysweep.schema import CLASS_NAMES, DIM_LIMITS, FRAME, MERGE_DISTANCE_OTHER, MERGE_DISTANCES, POST_LIMITS
 
 GROUP = [*FRAME, "class_label"]
-DEFAULT_MERGE_DISTANCE = 10.0
 
 
 def conf_filter(boxes: DataFrame, limits: dict = POST_LIMITS) -> DataFrame:
@@ -56,13 +55,13 @@ def class_confidence(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("class_label").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"))
 
 
-def merge_boxes(boxes: DataFrame, distances: dict[str, float] | None = None) -> DataFrame:
+def merge_boxes(boxes: DataFrame, distances: dict[str, float] = MERGE_DISTANCES, other: float = MERGE_DISTANCE_OTHER) -> DataFrame:
     """Merge boxes of a frame and class that are linked by centre distance, directly or through others.
 
     Centre = mean, sides = largest, yaw of the most confident member, confidence = largest, other columns of the first
-    member by box_id. Without confidences the yaw is that of the first member.
+    member by box_id. Without confidences the yaw is that of the first member. Labels without a distance use ``other``.
     """
-    radius = pick_by_class(distances or {}, DEFAULT_MERGE_DISTANCE) if distances else F.lit(DEFAULT_MERGE_DISTANCE)
+    radius = pick_by_class(distances, other) if distances else F.lit(other)
     centre = ("bbox_center_x", "bbox_center_y", "bbox_center_z")
     labelled = near_components(boxes, GROUP, "box_id", [Space(centre, radius, strict=True)], "merged_id")
     aggregates = [F.avg(c).alias(c) for c in centre]

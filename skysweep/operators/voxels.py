@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skysweep.functions.columns import draw
+from skysweep.functions.columns import draw, label_of
 from skysweep.operators.frames import elevation_angle, local_to_world
 from skysweep.schema import CLASS_NAMES
 
@@ -97,12 +97,15 @@ def voxel_labels(sums: DataFrame) -> DataFrame:
 
 
 def scene_export_points(voxels: DataFrame, obstacles_only: bool = False, max_points: int | None = None) -> DataFrame:
-    """Voxel centres with a label, at most ``max_points`` of them in repeatable pseudo-random order."""
-    label = F.coalesce(*[F.col(c).cast("string") for c in ("label", "class_label", "class_id") if c in voxels.columns])
-    rows = voxels.filter("class_id >= 0") if obstacles_only else voxels
+    """Voxel centres with a class name, at most ``max_points`` of them by a repeatable draw.
+
+    Obstacles are told by ``is_obstacle`` or, without that column, by the class.
+    """
+    names = [F.col(c) for c in ("label", "class_label") if c in voxels.columns]
+    label = F.coalesce(*names, *([label_of()] if "class_id" in voxels.columns else []))
+    chosen = "is_obstacle" if "is_obstacle" in voxels.columns else "class_id >= 0"
+    rows = voxels.filter(chosen) if obstacles_only else voxels
     rows = rows.select(*VOXEL, F.col("world_x").alias("x"), F.col("world_y").alias("y"), F.col("world_z").alias("z"), label.alias("label"))
     if max_points is None:
         return rows
-    vx, vy, vz = (F.col(v).cast("long") for v in VOXEL[1:])
-    key = (vx + 100000) * 1000003 + (vy + 100000) * 1009 + vz + 1000
-    return rows.orderBy(draw(key), *VOXEL).limit(max_points)
+    return rows.orderBy(draw("export", *VOXEL), *VOXEL).limit(max_points)

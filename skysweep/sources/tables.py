@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from skysweep.schema import BOXES_SCHEMA, FRAME, RETURNS_SCHEMA, SUBMISSION_COLUMNS
+from skysweep.operators.frames import frame_index
+from skysweep.schema import BOXES_SCHEMA, FRAME, POSE, RETURNS_SCHEMA, SUBMISSION_COLUMNS
+from skysweep.session import cut_lineage
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -18,19 +21,40 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def scan_returns(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    """Read raw returns; the scene is taken from the file name where the data do not carry it."""
-    if file_format == "parquet":
-        raw = spark.read.parquet(path)
-    else:
-        raw = spark.read.schema(RETURNS_SCHEMA).option("header", True).format(file_format).load(path)
-    measured = [name for name in RETURNS_SCHEMA.names if name not in ("scene", "point_id")]
-    require_columns(raw, measured)
-    if "scene" not in raw.columns or file_format != "parquet":
-        stem = F.regexp_extract("_metadata.file_path", r"(scene_[^/.]+)", 1)
-        named = F.coalesce(F.col("scene"), stem) if "scene" in raw.columns else stem
-        raw = raw.withColumn("scene", named)
+    """Read raw returns; the scene is taken from the file name where the data do not carry it.
+
+    Columns are chosen by name in every format; a missing one is an error.
+    """
+    reader = spark.read.format(file_format)
+    raw = (reader.option("header", True) if file_format == "csv" else reader).load(path)
+    require_columns(raw, [name for name in RETURNS_SCHEMA.names if name not in ("scene", "point_id")])
+    stem = F.nullif(F.regexp_extract("_metadata.file_path", r"(scene_[^/.]+)", 1), F.lit(""))
+    raw = raw.withColumn("scene", F.coalesce(F.col("scene"), stem) if "scene" in raw.columns else stem)
     kept = [name for name in RETURNS_SCHEMA.names if name in raw.columns]
-    return raw.select(*[F.col(name).cast(RETURNS_SCHEMA[name].dataType) for name in kept])
+    return raw.select(*[F.col(name).cast(RETURNS_SCHEMA[name].dataType).alias(name) for name in kept])
+
+
+def scan_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Read prediction files of the thirteen-column layout, whose frames are keyed by pose.
+
+    The scene comes from the file name, frames are numbered by ascending pose, boxes in file order. Files without a
+    ``confidence`` column give every box 1.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    require_columns(raw, SUBMISSION_COLUMNS)
+    kinds = {**{f.name: f.dataType for f in BOXES_SCHEMA}, "confidence": DoubleType()}
+    columns = [*SUBMISSION_COLUMNS, *(["confidence"] if "confidence" in raw.columns else [])]
+    # Numbered once, so that every later step sees the same ids.
+    boxes = cut_lineage(
+        raw.select(
+            F.monotonically_increasing_id().alias("box_id"),
+            F.regexp_extract("_metadata.file_path", r"([^/]+)\.csv", 1).alias("scene"),
+            *[F.col(c).cast(kinds[c]).alias(c) for c in columns],
+        )
+    )
+    boxes = boxes if "confidence" in columns else boxes.withColumn("confidence", F.lit(1.0))
+    frames = frame_index(boxes).select("scene", *POSE, "pose_index")
+    return boxes.join(frames, ["scene", *POSE]).withColumnRenamed("class_ID", "class_id")
 
 
 def scan_boxes(

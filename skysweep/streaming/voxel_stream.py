@@ -9,28 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 from skysweep.operators.voxels import VOXEL, merged_sums, running_sums, voxel_cells
 
 
-def voxel_stream(points: DataFrame, size: float = 0.5) -> DataFrame:
-    """Running voxel statistics of a stream of points; the frame count is a bounded sketch."""
-    frames = F.approx_count_distinct("pose_index").alias("frame_count")
-    return voxel_cells(points, size).groupBy(*VOXEL).agg(frames, *running_sums())
-
-
-def start_voxel_stream(points: DataFrame, path: str, checkpoint: str, size: float = 0.5) -> StreamingQuery:
-    """Run over everything that is available now; every batch writes the whole voxel table as a new version."""
-
-    def store(table: DataFrame, batch_id: int) -> None:
-        table.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    writer = voxel_stream(points, size).writeStream.outputMode("complete").foreachBatch(store)
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest_voxels(versions: DataFrame) -> DataFrame:
-    """The newest version among those that ``start_voxel_stream`` wrote; older ones are pruned from the scan."""
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == newest).drop("version")
-
-
 def start_voxel_parts(points: DataFrame, path: str, checkpoint: str, size: float = 0.5) -> StreamingQuery:
     """Append partial sums per (voxel, frame) batch by batch; ``voxels_from_parts`` counts frames exactly.
 

@@ -92,7 +92,7 @@ def test_dbscan_matches_brute_force_with_crowded_cells(spark, monkeypatch):
 def test_merge_is_transitive_and_strict(spark):
     rows = [(1, 0.0, 0.9, 0.5), (2, 8.0, 0.7, 0.1), (3, 16.0, 0.8, 0.2), (4, 26.0, 0.3, 0.3)]
     boxes = spark.createDataFrame(
-        [(i, "scene_1", 0, "Cable", x, 0.0, 0.0, 1.0 + i, 1.0, 1.0, yaw, conf) for i, x, conf, yaw in rows],
+        [(i, "scene_1", 0, "Unknown", x, 0.0, 0.0, 1.0 + i, 1.0, 1.0, yaw, conf) for i, x, conf, yaw in rows],
         "box_id long, scene string, pose_index int, class_label string, bbox_center_x double, bbox_center_y double, "
         "bbox_center_z double, bbox_width double, bbox_length double, bbox_height double, bbox_yaw double, confidence double",
     )
@@ -164,6 +164,10 @@ def test_large_groups_are_sampled_and_given_back(spark):
     xyz = np.round(np.vstack([rng.normal((0, 0, 0), 0.4, (120, 3)), rng.normal((20, 0, 0), 0.4, (120, 3))]), 4)
     points = points_frame(spark, xyz).withColumns({"class_id": F.lit(0), "class_label": F.lit("Antenna")})
     user = {"max_points_for_dbscan": 50, "voxel_size": 0.2, "dbscan": {"Antenna": {"eps": 3.0, "min_samples": 5}}}
+    for thin in (True, False):
+        sizes = cluster.cluster_points(points, user, thin_large=thin).groupBy("cluster").count().toPandas()
+        assert sizes["count"].tolist() == [120, 120]
+    # By default every point of a large group is clustered, so its boxes do not depend on the limit.
     boxes = cluster.extract_boxes(points, user).toPandas().sort_values("bbox_center_x")
     assert boxes["num_points"].tolist() == [120, 120]
     assert boxes["bbox_center_x"].round().tolist() == [0.0, 20.0]
