@@ -24,9 +24,9 @@ SCALE = 64
 #: Most pivots (their vectors go to every task) and vectors per pivot that are aimed at.
 PIVOTS = 256
 PER_PIVOT = 2048
-#: Vectors of a block and of a page that are aimed at, and queries that search a block together.
+#: Vectors of a block and of a page that are aimed at (small pages open fewer vectors but cost a call each), and queries that search a block together.
 BLOCK = 4096
-PAGE = 48
+PAGE = 256
 TOGETHER = 512
 #: Largest product sum that doubles hold exactly; larger ones are computed with Python's whole numbers.
 _EXACT = 2**53
