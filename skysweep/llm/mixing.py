@@ -21,7 +21,7 @@ SEED = 9_173
 #: Words that the dynamic programme fits; the rest of a budget is spread over all lengths before.
 FITTED_WORDS = 20_000
 #: Rows of equal length that are ranked together; larger groups are cut by hash range.
-RANKED_ROWS = 4096
+RANKED_ROWS = 512
 
 
 def word_counts(docs: DataFrame, carry: Sequence[str], text: str) -> DataFrame:
