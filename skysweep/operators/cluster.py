@@ -189,8 +189,9 @@ def height_prefilter(points: DataFrame, min_height: float = 0.5, min_cluster_siz
 
     Frames with fewer points than the smallest cluster, before or after, are left out.
     """
-    base = points.groupBy(*FRAME).agg(F.percentile("z", 0.05).alias("__z"), F.count(F.lit(1)).alias("__n"))
-    high = points.join(base.filter(F.col("__n") >= min_cluster_size), FRAME)
+    sizes = points.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_cluster_size)
+    low = pivot_percentiles(wide_percentiles(points.select(*FRAME, "z"), FRAME, ["z"], [0.05]), FRAME, {("z", 0.05): "__z"})
+    high = points.join(sizes, FRAME).join(low, FRAME)
     high = high.filter(F.col("z") - F.col("__z") > F.lit(min_height)).drop("__z", "__n")
     enough = high.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_cluster_size)
     return high.join(enough.select(*FRAME), FRAME, "left_semi")

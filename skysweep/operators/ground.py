@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skysweep.functions.columns import label_of
+from skysweep.functions.ranks import pivot_percentiles, wide_percentiles
 from skysweep.operators.frames import first_n_frames, local_to_world
 from skysweep.schema import CLASS_NAMES, FRAME, MIN_SURVIVAL, POSE
 from skysweep.session import cut_lineage
@@ -246,18 +247,24 @@ def kept_by_threshold(points_hag: DataFrame, thresholds: Sequence[float] = (2, 5
     )
 
 
+def _class_heights(points_hag: DataFrame) -> DataFrame:
+    """Heights of the obstacle points; stored, as the percentiles read them in two passes."""
+    return cut_lineage(points_hag.filter("class_id >= 0").select(*FRAME, "class_label", "hag"))
+
+
+def _with_percentiles(stats: DataFrame, rows: DataFrame, keys: Sequence[str], names: dict[float, str], value: str = "hag") -> DataFrame:
+    """Add percentiles of ``value`` per key, NULL for keys without a value."""
+    found = wide_percentiles(rows, keys, [value], list(names))
+    return stats.join(pivot_percentiles(found, keys, {(value, p): name for p, name in names.items()}), list(keys), "left")
+
+
 def class_survival_frame(points_hag: DataFrame, threshold: float = 2.0) -> DataFrame:
     survived = F.count_if(F.col("hag") > F.lit(float(threshold)))
-    return (
-        points_hag.filter("class_id >= 0")
-        .groupBy(*FRAME, "class_label")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            survived.alias("survived"),
-            (survived / F.count(F.lit(1))).alias("rate"),
-            F.percentile("hag", 0.5).alias("median_hag"),
-        )
+    rows, keys = _class_heights(points_hag), [*FRAME, "class_label"]
+    stats = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), survived.alias("survived"), (survived / F.count(F.lit(1))).alias("rate")
     )
+    return _with_percentiles(stats, rows, keys, {0.5: "median_hag"})
 
 
 def run_totals(points_hag: DataFrame, threshold: float = 2.0) -> DataFrame:
@@ -277,7 +284,6 @@ def manifest_stats(manifest: DataFrame) -> DataFrame:
         F.min("num_points_cleaned").alias("cleaned_min"),
         F.max("num_points_cleaned").alias("cleaned_max"),
         F.avg("num_points_cleaned").alias("cleaned_mean"),
-        F.percentile("num_points_cleaned", 0.5).alias("cleaned_median"),
     ]
     for label in CLASS_NAMES:
         cleaned = F.col(f"{_prefix(label)}_cleaned")
@@ -285,7 +291,10 @@ def manifest_stats(manifest: DataFrame) -> DataFrame:
             F.sum(cleaned).alias(f"{_prefix(label)}_points"),
             F.count_if(cleaned > 0).alias(f"{_prefix(label)}_frames"),
         ]
-    return manifest.agg(*columns)
+    stored = cut_lineage(manifest)
+    whole = stored.select(F.lit(0).alias("run"), "num_points_cleaned")
+    totals = stored.agg(*columns).withColumn("run", F.lit(0))
+    return _with_percentiles(totals, whole, ["run"], {0.5: "cleaned_median"}, "num_points_cleaned").drop("run")
 
 
 # --- world-frame ground model ------------------------------------------------------------------------------------
@@ -434,19 +443,16 @@ def frames_with_class(points: DataFrame, samples: int = 5) -> DataFrame:
 def worst_frames(points_world_hag: DataFrame, threshold: float = 2.0, k: int = 3) -> DataFrame:
     """Per class the ``k`` frames with the lowest survival above the scene ground."""
     survived = F.count_if(F.col("hag") > F.lit(float(threshold)))
-    stats = (
-        points_world_hag.filter("class_id >= 0")
-        .groupBy("class_label", *FRAME)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            survived.alias("survived"),
-            (100.0 * survived / F.count(F.lit(1))).alias("survival_pct"),
-            F.min("hag").alias("hag_min"),
-            F.percentile("hag", 0.5).alias("hag_median"),
-        )
+    rows, keys = _class_heights(points_world_hag), ["class_label", *FRAME]
+    stats = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        survived.alias("survived"),
+        (100.0 * survived / F.count(F.lit(1))).alias("survival_pct"),
+        F.min("hag").alias("hag_min"),
     )
     order = W.partitionBy("class_label").orderBy("survival_pct", *FRAME)
-    return stats.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    worst = stats.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return _with_percentiles(worst, rows.join(worst.select(*keys), keys, "left_semi"), keys, {0.5: "hag_median"})
 
 
 def hag_profile(
@@ -454,15 +460,9 @@ def hag_profile(
 ) -> DataFrame:
     """Height percentiles 5..95 and survival at several thresholds, per frame and class."""
     probs = [0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95]
-    quantiles = F.percentile("hag", F.array(*[F.lit(p) for p in probs]))
+    names = {p: f"hag_p{round(p * 100):02d}" for p in probs}
+    rows, keys = _class_heights(points_world_hag), [*FRAME, "class_label"]
     total = F.count(F.lit(1))
-    counted = points_world_hag.filter("class_id >= 0").groupBy(*FRAME, "class_label").agg(
-        total.alias("n"),
-        quantiles.alias("q"),
-        *[
-            (100.0 * F.count_if(F.col("hag") > F.lit(float(t))) / total).alias(f"survival_{int(t)}m")
-            for t in thresholds
-        ],
-    )
-    named = [F.col("q")[i].alias(f"hag_p{round(p * 100):02d}") for i, p in enumerate(probs)]
-    return counted.select(*FRAME, "class_label", "n", *named, *[f"survival_{int(t)}m" for t in thresholds])
+    shares = [(100.0 * F.count_if(F.col("hag") > F.lit(float(t))) / total).alias(f"survival_{int(t)}m") for t in thresholds]
+    stats = rows.groupBy(*keys).agg(total.alias("n"), *shares)
+    return _with_percentiles(stats, rows, keys, names).select(*keys, "n", *names.values(), *[f"survival_{int(t)}m" for t in thresholds])
