@@ -19,6 +19,8 @@ from skysweep.llm import metric_search, private_data, toxicity, url_filter
 from skysweep.llm.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
+#: The smallest tables have too few labels for a lexicon.
+LARGER = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("key", sorted(SQL))
@@ -251,12 +253,12 @@ def test_pipeline_takes_its_decisions(spark):
 
     from skysweep.llm.common import stored
 
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     columns = docs.columns
     sizes = {}
     for name, stage in corpus_pipeline.STAGES:
         before = docs
-        docs = stored(stage(spark, docs, FOLDER))
+        docs = stored(stage(spark, docs, LARGER))
         sizes[name] = docs.count()
         if name != "encode":
             assert docs.columns == columns
@@ -264,4 +266,4 @@ def test_pipeline_takes_its_decisions(spark):
     texts = [r.text.encode().lower() for r in before.collect()]
     assert all(n <= 3 for n in Counter(texts).values())
     assert docs.filter("not lossless").count() == 0 and sizes["encode"] == sizes["mix"]
-    assert sizes["exact_dedup"] < sizes["toxicity"] < spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    assert sizes["exact_dedup"] < sizes["toxicity"] < spark.read.parquet(f"{LARGER}/documents.parquet").count()
