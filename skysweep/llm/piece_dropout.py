@@ -23,12 +23,12 @@ from skysweep.llm.common import arrow_pass
 DROPOUT = 0.1
 SEED = 31_337
 #: Documents are dealt to this many keys, so copies of a chunk are segmented in several ways and still remembered.
-KEYS = 4
+KEYS = 2
 #: Chunks with more characters run through an agenda of their own.
 LONG = 256
 #: Characters of text whose chunks are held at a time, and chunks that a task remembers for one key.
 SLICE = 1 << 20
-REMEMBERED = 1 << 16
+REMEMBERED = 1 << 18
 _NEVER = np.iinfo(np.int64).max
 _MASK = (1 << 64) - 1
 
@@ -73,6 +73,11 @@ class PieceModel:
         self.keys = np.array(sorted(merges), dtype=np.int64)
         self.results = np.array([merges[k] for k in self.keys.tolist()], dtype=np.int64)
         self.unknown = size
+        #: Piece of every code point.
+        self.letters = np.full(0x110000, size, dtype=np.int64)
+        for text, i in self.ids.items():
+            if len(text) == 1:
+                self.letters[ord(text)] = i
         # No merge crosses from a letter to a following blank; if no piece holds a line break, none crosses one either.
         if any(" " in t.lstrip(" ") for t in self.ids):
             self.chunk = re.compile(r"(?s).+")
@@ -98,8 +103,8 @@ class PieceModel:
             return found
         texts = [chunks[i] for i in short]
         sizes = np.array([len(c) for c in texts], dtype=np.int64)
-        get, unknown = self.ids.get, self.unknown
-        symbols = np.array([get(c, unknown) for c in chain.from_iterable(texts)], dtype=np.int64)
+        unknown = self.unknown
+        symbols = self.letters[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         hashes = np.array([xxhash.xxh64_intdigest(c.encode(), key) for c in texts], dtype=np.uint64)
         names = np.arange(len(texts))
         starts = np.cumsum(sizes) - sizes
@@ -125,13 +130,16 @@ class PieceModel:
             lowest = np.minimum.reduceat(ranks, starts)
             live = lowest != _NEVER
             if not live.all():
-                flat = symbols.tolist()
-                for name, a, b in zip(names[~live].tolist(), starts[~live].tolist(), (ends[~live] + 1).tolist()):
-                    row = flat[a:b]
+                gone = ~np.repeat(live, sizes)
+                flat, letters = symbols[gone].tolist(), begin[gone]
+                a = 0
+                for name, n in zip(names[~live].tolist(), sizes[~live].tolist()):
+                    row = flat[a : a + n]
                     if unknown in row:
-                        row = self.spelt(texts[name], row, begin[a:b].tolist())
+                        row = self.spelt(texts[name], row, letters[a : a + n].tolist())
                     found[short[name]] = tuple(row)
-                stay = np.repeat(live, sizes)
+                    a += n
+                stay = ~gone
                 symbols, begin, end, last = symbols[stay], begin[stay], end[stay], last[stay]
                 hashed, pieces, ranks = hashed[stay], pieces[stay], ranks[stay]
                 names, sizes, lowest = names[live], sizes[live], lowest[live]
