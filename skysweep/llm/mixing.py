@@ -101,33 +101,50 @@ def bounded_subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> tupl
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST, fitted: int = FITTED_WORDS) -> tuple[int, np.ndarray]:
-    """Whole copies of every document, and the documents of each length that get one copy more.
+    """Whole copies of every document, and how many copies more the documents of each length get together.
 
-    The part of the budget beyond whole copies is spread over all lengths in proportion to their counts, fractions being
-    carried on from long to short; the last ``fitted`` words or more are fitted by ``bounded_subset``.
+    The budget beyond whole copies goes to documents that fit into it: whole rounds of them while there is budget for a round
+    (as when a giant document is too long for it), then one copy of a share of each length, fractions being carried on from
+    long to short; the last ``fitted`` words or more are fitted by ``bounded_subset``. No document gets over ``most`` copies.
     """
+    extra = np.zeros(len(lengths), dtype=np.int64)
     words = int((lengths * counts).sum())
     if words == 0:
-        return 1, np.zeros(len(lengths), dtype=np.int64)
+        return 1, extra
     copies = min(int(target // words), most)
-    budget = 0 if copies == most else int(round(target - copies * words))
-    share = budget / words
-    extra = np.minimum(np.floor(counts * share).astype(np.int64), counts)
-    left = budget - int((extra * lengths).sum())
+    left = 0 if copies == most else int(round(target - copies * words))
+    empty = lengths == 0
+    extra[empty] = np.floor(counts[empty] * (left / words)).astype(np.int64)
+    while True:
+        room = ~empty & (lengths <= left) & (extra < counts * (most - copies))
+        in_round = int((lengths * counts)[room].sum())
+        if in_round == 0 or in_round > left:
+            break
+        rounds = min(left // in_round, int((most - copies - extra[room] // counts[room]).min()))
+        extra[room] += rounds * counts[room]
+        left -= rounds * in_round
+    if in_round == 0:
+        return copies, extra
+    share = left / in_round
+    more = np.where(room, np.floor(counts * share), 0).astype(np.int64)
+    left -= int((more * lengths).sum())
     carried = 0.0
     for i in np.argsort(-lengths, kind="stable"):
-        if left <= fitted or lengths[i] == 0:
+        if left <= fitted:
             break
-        carried += float(lengths[i]) * (float(counts[i]) * share - float(extra[i]))
-        more = int(min(counts[i] - extra[i], carried // lengths[i], left // lengths[i]))
-        if more > 0:
-            extra[i] += more
-            carried -= more * float(lengths[i])
-            left -= more * int(lengths[i])
-    if left > 0:
-        more, _ = bounded_subset(lengths, counts - extra, left)
-        extra += more
-    return copies, extra
+        if room[i]:
+            carried += float(lengths[i]) * (float(counts[i]) * share - float(more[i]))
+            taken = int(min(counts[i] - more[i], carried // lengths[i], left // lengths[i]))
+            more[i] += max(taken, 0)
+            carried -= max(taken, 0) * float(lengths[i])
+            left -= max(taken, 0) * int(lengths[i])
+    # First documents that have no copy of this round yet, then any that may have one more.
+    for limit in (np.where(room, counts, 0), np.where(empty, 0, counts * (most - copies) - extra)):
+        if left > 0:
+            chosen, found = bounded_subset(lengths, limit - more, left)
+            more += chosen
+            left -= found
+    return copies, extra + more
 
 
 def mix_sources(
@@ -167,7 +184,8 @@ def mix_sources(
     before = W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     starts = held.select(*group, "__range", F.coalesce(F.sum("__held").over(before), F.lit(0)).alias("__start"))
     rank = F.col("__start") + F.row_number().over(W.partitionBy(*group, "__range").orderBy("__hash", "doc_id", "__row"))
-    copies = (F.col("copies") + (rank <= F.col("extra")).cast("int")).alias("copies")
+    rounds = F.floor(F.col("extra") / F.col("rows"))
+    copies = (F.col("copies") + rounds + (rank <= F.col("extra") - rounds * F.col("rows")).cast("int")).cast("int").alias("copies")
     return (
         ranged.join(starts, [*group, "__range"])
         .select("doc_id", "source", *own, "size", "source_size", "target", copies)
