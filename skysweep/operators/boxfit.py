@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -82,21 +83,40 @@ def _smallest_rectangle(corners: np.ndarray) -> tuple[float, float, float, float
         return None
     edges = np.roll(corners, -1, axis=0) - corners
     angles = np.arctan2(edges[:, 1], edges[:, 0])
-    best = None
-    for angle in angles:
-        c, s = np.cos(angle), np.sin(angle)
-        u, v = corners @ np.array([c, s]), corners @ np.array([-s, c])
-        area = np.ptp(u) * np.ptp(v)
-        if best is None or area < best[0]:
-            mu, mv = (u.min() + u.max()) / 2, (v.min() + v.max()) / 2
-            best = (area, mu * c - mv * s, mu * s + mv * c, np.ptp(u), np.ptp(v), angle)
-    return tuple(float(value) for value in best[1:])
+    c, s = np.cos(angles), np.sin(angles)
+    # Corners by edges: the extent of all corners along and across every edge.
+    u = corners[:, :1] * c + corners[:, 1:] * s
+    v = corners[:, 1:] * c - corners[:, :1] * s
+    i = int((np.ptp(u, axis=0) * np.ptp(v, axis=0)).argmin())
+    mu, mv = (u[:, i].min() + u[:, i].max()) / 2, (v[:, i].min() + v[:, i].max()) / 2
+    best = (mu * c[i] - mv * s[i], mu * s[i] + mv * c[i], np.ptp(u[:, i]), np.ptp(v[:, i]), angles[i])
+    return tuple(float(value) for value in best)
+
+
+def outer_points(points: DataFrame, keys: Sequence[str], directions: int = 16) -> DataFrame:
+    """Points that may be corners of the hull of their cluster: those not inside the polygon of the extreme points.
+
+    The polygon joins the farthest points in evenly spaced directions, found by mergeable maxima, so few points of a
+    large cluster remain.
+    """
+    turns = [2 * math.pi * k / directions for k in range(directions)]
+    farthest = [
+        F.max_by(F.struct("x", "y"), F.col("x") * F.lit(math.cos(t)) + F.col("y") * F.lit(math.sin(t))).alias(f"__e{k}") for k, t in enumerate(turns)
+    ]
+    bounded = points.join(points.groupBy(*keys).agg(*farthest), list(keys))
+    inside, has_edge = F.lit(True), F.lit(False)
+    for k in range(directions):
+        start, end = F.col(f"__e{k}"), F.col(f"__e{(k + 1) % directions}")
+        to_left = (end["x"] - start["x"]) * (F.col("y") - start["y"]) - (end["y"] - start["y"]) * (F.col("x") - start["x"]) > F.lit(1e-9)
+        inside, has_edge = inside & ((start == end) | to_left), has_edge | (start != end)
+    # A cluster of copies of one point has no polygon.
+    return bounded.filter(~(inside & has_edge)).drop(*[f"__e{k}" for k in range(directions)])
 
 
 def hull_corners(points: DataFrame, keys: Sequence[str], shards: int = 32) -> DataFrame:
     """Corner points of the horizontal convex hull of every cluster.
 
-    The hull of hulls is the hull: every Arrow batch and then every shard of a cluster is reduced to its corners, so the
+    Inner points are dropped first. The hull of hulls is the hull: every Arrow batch and then every shard of a cluster is reduced to its corners, so the
     last step sees a few corner points per cluster however many points the cluster holds.
     """
     keys = list(keys)
@@ -118,7 +138,7 @@ def hull_corners(points: DataFrame, keys: Sequence[str], shards: int = 32) -> Da
             if len(pdf):
                 yield reduce_frame(pdf)
 
-    partial = points.select(*names).mapInPandas(per_batch, schema)
+    partial = outer_points(points.select(*names), keys).mapInPandas(per_batch, schema)
     sharded = partial.withColumn("__shard", F.spark_partition_id() % shards)
     return sharded.groupBy(*keys, "__shard").applyInPandas(lambda pdf: reduce_frame(pdf), schema)
 
