@@ -47,12 +47,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
         total.repartitionByRange(F.col("source").isNull(), F.col("source")).select("*", F.spark_partition_id().alias("part"))
     )
     inside = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").isNull(), "source")) - 1
+    # A row per partition.
     counts = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = counts.select("part", "n").join(counts.select(F.col("part").alias("other"), F.col("n").alias("m")), F.col("other") < F.col("part"))
-    starts = counts.join(earlier.groupBy("part").agg(F.sum("m").alias("start")), "part", "left")
-    place = F.coalesce(F.col("start"), F.lit(0)) + inside
+    before = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.col("start") + inside
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    ranked = stored(spread.join(starts.select("part", "start"), "part").select("source", "source_size", weight.alias("weight")))
+    ranked = stored(spread.join(starts, "part").select("source", "source_size", weight.alias("weight")))
     cap = F.col("source_size") * F.lit(float(most))
     budget = ranked.agg(F.sum("source_size")).first()[0] or 0
     level = 0.0
