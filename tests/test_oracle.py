@@ -13,8 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 SLOW = {
     "cluster_centroids", "merge_clusters", "reassign_points", "min_cluster_filter", "gt_boxes_run", "gt_boxes_run_stats",
     "density_cut", "cluster_profile", "cluster_features", "object_like", "geo_classify", "postprocess_report",
-    "postprocess_summary", "threshold_status", "threshold_first_ok", "manifest_fixup", "scene_stability",
-    "density_robustness", "ground_at_ego", "ground_coverage", "hag_profile",
+    "postprocess_summary", "scene_stability", "density_robustness",
 }
 KEYS = [k for k in SQL if k not in SLOW or os.environ.get("ALL_QUERIES")]
 
