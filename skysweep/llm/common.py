@@ -23,16 +23,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Intermediate tables of this process, oldest first.
+_tables: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read on from there.
+    """Write ``df`` to a new intermediate table in the shared folder and read on from there.
 
     Later plans start at the written files, so a lost executor costs its running tasks only, and values drawn while
-    writing (row numbers) stay the same in every pass. The files stay until the folder is cleared, as checkpoints do.
+    writing (row numbers) stay the same in every pass. The files stay until ``clear_stored``.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _tables.append(path)
+    return written(df, path)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Remove the intermediate tables made so far. Results that read them must have been written before."""
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -64,6 +79,24 @@ def filter_by_row(docs: DataFrame, kept: Callable[[DataFrame, str], DataFrame])
     return copy.join(chosen, row).select(*[copy[c] for c in docs.columns])
 
 
+#: Rows in a batch of texts for Python. Spark's default of 10,000 holds tens of MB of texts in the executor and in Python at once.
+BATCH_ROWS = 1000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session send texts to Python in batches of BATCH_ROWS, unless it was given another number than the default."""
+    if spark.conf.get(_ROWS_SETTING) == "10000":
+        spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+
+
+def small_parts(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into parts of about ``size`` bytes, so that what Python makes of a part stays small."""
+    step = max(1, batch.num_rows * size // max(batch.nbytes, 1))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
 def arrow_pass(
     df: DataFrame, carry: Sequence[str], column: str, work: Callable[[Iterator[list]], Iterator[Sequence[list]]], fields: Sequence[tuple[str, T.DataType]]
 ) -> DataFrame:
@@ -71,6 +104,7 @@ def arrow_pass(
 
     The ``carry`` columns go along untouched. Batches are bounded in rows and bytes by Spark.
     """
+    bound_batches(df.sparkSession)
     narrow = df.select(*carry, column)
     schema = T.StructType([*(narrow.schema[c] for c in carry), *(T.StructField(n, t) for n, t in fields)])
     kept = len(carry)
@@ -83,8 +117,9 @@ def arrow_pass(
 
         def values() -> Iterator[list]:
             for batch in batches:
-                carried.append([batch.column(i) for i in range(kept)])
-                yield batch.column(kept).to_pylist()
+                for part in small_parts(batch):
+                    carried.append([part.column(i) for i in range(kept)])
+                    yield part.column(kept).to_pylist()
 
         for made in work(values()):
             arrays = [*carried.pop(0), *(pa.array(v, t) for v, t in zip(made, types))]

@@ -10,17 +10,16 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import partial
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from skysweep.llm.common import arrow_pass, fresh, stored
+from skysweep.llm.common import bound_batches, fresh, stored
 
 #: At most this many labelled rows are learnt from, the first in the order of a hash of the id.
 TRAIN_ROWS = 20_000
@@ -32,7 +31,7 @@ BEGINNINGS = (4, 5, 6)
 TREES, DEPTH, RATE, LEAF_ROWS = 20, 4, 0.3, 15
 WINDOW, NEAR = 50, 5
 #: Tokens whose properties a task remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Letters that digits and signs stand for, and pronouns of the second person.
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasii")
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -137,14 +136,16 @@ class Reader:
         return close / len(places), 1.0 / least
 
 
-def _features(batches: Iterator[list], lexicon: dict[str, float]) -> Iterator[Sequence[list]]:
-    reader = Reader(lexicon)
-    for texts in batches:
-        yield [[reader.features(t) for t in texts]]
+def dense_features(text: Column, lexicon: dict[str, float]) -> Column:
+    """Features of a text column. Only the texts go to Python; other columns of the row wait beside them in Spark."""
 
+    @F.pandas_udf("array<double>")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader = Reader(lexicon)
+        for texts in batches:
+            yield pd.Series([reader.features(t) for t in texts])
 
-def with_features(docs: DataFrame, carry: Sequence[str], text: str, lexicon: dict[str, float], name: str) -> DataFrame:
-    return arrow_pass(docs, carry, text, partial(_features, lexicon=lexicon), [(name, T.ArrayType(T.DoubleType()))])
+    return read(text)
 
 
 def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> dict[str, float]:
@@ -181,11 +182,11 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, text: str, carry: Sequence[str], name: str) -> DataFrame:
         """``carry`` and the score, 0 to 1; null and empty texts get that of a text without any feature."""
-        narrow = docs.select(*carry, text) if text not in carry else docs
-        own, dense, vector, raw, chance, guess, margin = fresh(narrow, "own_text", "dense", "vector", "raw", "chance", "guess", "margin")
-        rows = with_features(docs.withColumn(own, F.col(text)), carry, own, self.lexicon, dense)
         if self.trees is None:
-            return rows.select(*carry, F.lit(self.rate).alias(name))
+            return docs.select(*carry, F.lit(self.rate).alias(name))
+        bound_batches(docs.sparkSession)
+        dense, vector, raw, chance, guess, margin = fresh(docs, "dense", "vector", "raw", "chance", "guess", "margin")
+        rows = docs.select(*carry, dense_features(F.col(text), self.lexicon).alias(dense))
         trees = self.trees.copy().setFeaturesCol(vector).setRawPredictionCol(raw).setProbabilityCol(chance).setPredictionCol(guess)
         made = trees.transform(rows.withColumn(vector, array_to_vector(dense))).withColumn(margin, vector_to_array(chance)[1])
         if self.calibration is None:
@@ -204,6 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: st
     chosen = given.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     # At most ``rows`` rows, so it may be broadcast.
     sample = stored(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
     labelled = stored(texts.join(F.broadcast(sample), "doc_id").withColumn("fold", fold_of(F.col("doc_id"))))
     grown = labelled.filter(F.col("fold") != CALIBRATION)
@@ -212,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_id: st
     if len(kinds) < 2:
         return ToxicityModel({}, rate)
     lexicon = learn_lexicon(grown)
-    featured = stored(with_features(labelled, ["toxic", "fold"], "text", lexicon, "dense"))
+    featured = stored(labelled.select("toxic", "fold", dense_features(F.col("text"), lexicon).alias("dense")))
     ready = featured.select(F.col("toxic").cast("double").alias("label"), "fold", array_to_vector("dense").alias("features"))
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, minInstancesPerNode=LEAF_ROWS, seed=7).fit(ready.filter(F.col("fold") != CALIBRATION))
     held = stored(trees.transform(ready.filter(F.col("fold") == CALIBRATION)).select("label", vector_to_array("probability")[1].alias("margin")))
