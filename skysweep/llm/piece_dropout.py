@@ -28,7 +28,7 @@ KEYS = 2
 LONG = 256
 #: Characters of text whose chunks are held at a time, and chunks that a task remembers for one key.
 SLICE = 1 << 20
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 _NEVER = np.iinfo(np.int64).max
 _MASK = (1 << 64) - 1
 
@@ -85,6 +85,7 @@ class PieceModel:
             self.chunk = re.compile(r" *[^ ]+| +")
         else:
             self.chunk = re.compile(r" *[^ \n]+| +|\n")
+        #: Pieces of chunks that were met before, by key and dropout.
         self.known: dict[tuple[int, float], dict[str, tuple[int, ...]]] = {}
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -279,6 +280,8 @@ def encode_documents(
             texts = [r["text"] for r in rows]
             made = model.encode_texts(texts, [(seed * KEYS + r["key"]) & _MASK for r in rows], dropout)
             yield [len(m) for m in made], made, [model.decode(m) == (t or "") for m, t in zip(made, texts)]
+        # The worker lives on after the task; what it remembers must not.
+        model.known.clear()
 
     fields = [("n_pieces", T.LongType()), ("pieces", T.ArrayType(T.IntegerType())), ("lossless", T.BooleanType())]
     result = arrow_pass(narrow, ["doc_id", *own], "__text", work, fields)

@@ -187,6 +187,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "
         for texts in batches:
             counts = bpe.counts(texts)
             yield [len((t or "").encode()) for t in texts], counts, [n > limit for n in counts]
+        # The worker lives on after the task; what it remembers must not.
+        bpe.known.clear()
 
     fields = [("n_bytes", T.LongType()), ("n_tokens", T.LongType()), ("over_limit", T.BooleanType())]
     made = arrow_pass(narrow, ["doc_id", *own], "__text", work, fields)
