@@ -248,17 +248,17 @@ def test_search_leaves_pages_unopened(monkeypatch):
 # --- the pipeline ------------------------------------------------------------------------------------------------
 
 
-def test_pipeline_takes_its_decisions(spark):
+def test_pipeline_takes_its_decisions(spark, tmp_path):
     import corpus_pipeline
 
-    from skysweep.llm.common import stored
+    from skysweep.llm.common import written
 
     docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     columns = docs.columns
     sizes = {}
     for name, stage in corpus_pipeline.STAGES:
         before = docs
-        docs = stored(stage(spark, docs, LARGER))
+        docs = written(stage(spark, docs, LARGER), str(tmp_path / name))
         sizes[name] = docs.count()
         if name != "encode":
             assert docs.columns == columns
