@@ -67,16 +67,17 @@ def with_row(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def filter_by_row(docs: DataFrame, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def filter_by_row(docs: DataFrame, kept: Callable[[DataFrame, str], DataFrame], extra: Sequence[str] = ()) -> DataFrame:
     """The rows of ``docs`` that ``kept`` names.
 
     ``kept`` gets a stored copy of ``docs`` with a row number and that column's name, and returns the rows to keep under
     that name, each once for every time it is to appear. Repeated rows and ids are told apart by the row number.
+    Columns ``extra`` of what ``kept`` returns are added.
     """
     (row,) = fresh(docs, "kept_row")
     copy = stored(with_row(docs, row))
-    chosen = kept(copy, row).select(row)
-    return copy.join(chosen, row).select(*[copy[c] for c in docs.columns])
+    chosen = kept(copy, row).select(row, *extra)
+    return copy.join(chosen, row).select(*[copy[c] for c in docs.columns], *[chosen[c] for c in extra])
 
 
 #: Rows in a batch of texts for Python. Spark's default of 10,000 holds tens of MB of texts in the executor and in Python at once.

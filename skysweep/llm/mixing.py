@@ -202,11 +202,13 @@ def mix_sources(
     )
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """``docs`` as the mix takes them: a row for every copy, no row for a document that gets none."""
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, seed: int = SEED, number: str | None = None) -> DataFrame:
+    """``docs`` as the mix takes them: a row for every copy, no row for a document that gets none.
 
+    Column ``number``, if named, counts the copies of a row from one.
+    """
     def kept(copy: DataFrame, row: str) -> DataFrame:
         mix = mix_sources(copy, weights, most, seed, carry=[row]).filter("copies > 0")
-        return mix.select(row, F.explode(F.sequence(F.lit(1), "copies")).alias("__copy"))
+        return mix.select(row, F.explode(F.sequence(F.lit(1), "copies")).alias(number or "__copy"))
 
-    return filter_by_row(docs, kept)
+    return filter_by_row(docs, kept, [] if number is None else [number])

@@ -13,7 +13,6 @@ from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,13 +21,13 @@ from skysweep.llm.common import arrow_pass
 
 DROPOUT = 0.1
 SEED = 31_337
-#: Documents are dealt to this many keys, so copies of a chunk are segmented in several ways and still remembered.
-KEYS = 2
 #: Chunks with more characters run through an agenda of their own.
 LONG = 256
-#: Characters of text whose chunks are held at a time, and chunks that a task remembers for one key.
+#: Characters of text whose chunks are held at a time, and chunks whose agendas move at once.
 SLICE = 1 << 20
-REMEMBERED = 1 << 17
+TOGETHER = 1 << 14
+#: Pairs that make a piece are looked up in two to this many hash buckets.
+SLOT_BITS = 20
 _NEVER = np.iinfo(np.int64).max
 _MASK = (1 << 64) - 1
 
@@ -70,8 +69,13 @@ class PieceModel:
                 left, right = self.ids.get(text[:cut]), self.ids.get(text[cut:])
                 if left is not None and right is not None:
                     merges[left * self.width + right] = i
-        self.keys = np.array(sorted(merges), dtype=np.int64)
-        self.results = np.array([merges[k] for k in self.keys.tolist()], dtype=np.int64)
+        # Pairs by hash bucket, so that a look-up is one step for nearly all.
+        keys = np.array(list(merges), dtype=np.int64)
+        slots = self.slot(keys)
+        by_slot = np.argsort(slots, kind="stable")
+        self.keys = np.append(keys[by_slot], -1)
+        self.results = np.append(np.array(list(merges.values()), dtype=np.int64)[by_slot], -1)
+        self.buckets = np.searchsorted(slots[by_slot], np.arange((1 << SLOT_BITS) + 1))
         self.unknown = size
         #: Piece of every code point.
         self.letters = np.full(0x110000, size, dtype=np.int64)
@@ -85,35 +89,48 @@ class PieceModel:
             self.chunk = re.compile(r" *[^ ]+| +")
         else:
             self.chunk = re.compile(r" *[^ \n]+| +|\n")
-        #: Pieces of chunks that were met before, by key and dropout.
-        self.known: dict[tuple[int, float], dict[str, tuple[int, ...]]] = {}
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Piece of two joined symbols, -1 where there is none."""
         key = left * self.width + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.results[at], -1)
+        slot = self.slot(key)
+        at = self.buckets[slot]
+        found = np.where(self.keys[at] == key, self.results[at], -1)
+        rest = np.flatnonzero(found < 0)
+        ends = self.buckets[slot[rest] + 1]
+        at = at[rest] + 1
+        while len(rest):
+            inside = at < ends
+            rest, at, ends = rest[inside], at[inside], ends[inside]
+            hit = self.keys[at] == key[rest]
+            found[rest[hit]] = self.results[at[hit]]
+            at += 1
+        return found
 
-    def encode_chunks(self, chunks: Sequence[str], key: int, dropout: float) -> list[tuple[int, ...]]:
-        """Pieces of every chunk. All agendas move at once: a round pops the best candidate of every chunk."""
+    def encode_chunks(self, chunks: Sequence[str], key: int | np.ndarray, dropout: float) -> list[tuple[int, ...]]:
+        """Pieces of every chunk under one key or a key each. All agendas move at once: a round pops the best of every chunk."""
+        keys = np.broadcast_to(np.asarray(key, dtype=np.uint64), len(chunks))
         found: list[tuple[int, ...]] = [()] * len(chunks)
         short = [i for i, c in enumerate(chunks) if len(c) <= LONG]
         for i in set(range(len(chunks))).difference(short):
-            found[i] = self.encode_long(chunks[i], key, dropout)
+            found[i] = self.encode_long(chunks[i], int(keys[i]), dropout)
         if not short:
             return found
         texts = [chunks[i] for i in short]
         sizes = np.array([len(c) for c in texts], dtype=np.int64)
         unknown = self.unknown
         symbols = self.letters[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        hashes = np.array([xxhash.xxh64_intdigest(c.encode(), key) for c in texts], dtype=np.uint64)
         names = np.arange(len(texts))
         starts = np.cumsum(sizes) - sizes
         begin = np.arange(len(symbols)) - np.repeat(starts, sizes)
         last = np.zeros(len(symbols), dtype=bool)
         last[starts + sizes - 1] = True
         end = begin + 1
-        hashed = np.repeat(hashes, sizes)
+        hashed = np.repeat(keys[short], sizes)
         pieces, ranks = np.full(len(symbols), -1), np.full(len(symbols), _NEVER)
 
         def renew(at: np.ndarray) -> None:
@@ -164,18 +181,26 @@ class PieceModel:
         return found
 
     @staticmethod
-    def dropped(hashed: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
-        """Whether the candidate that joins [begin, middle) and [middle, end) of a chunk is passed over."""
-        span = (begin.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
+    def span(begin: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (begin.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
+
+    @staticmethod
+    def drawn(hashed: np.ndarray, span: np.ndarray, dropout: float) -> np.ndarray:
+        """Whether the keyed hash of a span passes it over."""
         draw = _mix(hashed ^ _mix(span + np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(11)
         return draw.astype(np.float64) * 2.0**-53 < dropout
 
+    @staticmethod
+    def dropped(hashed: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
+        """Whether the candidate that joins [begin, middle) and [middle, end) of a chunk is passed over."""
+        return PieceModel.drawn(hashed, PieceModel.span(begin, middle, end), dropout)
+
     def encode_long(self, chunk: str, key: int, dropout: float) -> tuple[int, ...]:
         """The same agenda for one chunk of any length, as a heap over a linked list of symbols."""
         symbols = [self.ids.get(c, self.unknown) for c in chunk]
         n = len(symbols)
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        hashed = np.array([xxhash.xxh64_intdigest(chunk.encode(), key)], dtype=np.uint64)
+        hashed = np.array([key], dtype=np.uint64)
         agenda: list[tuple[int, int, int, int, int]] = []
 
         def offer(at: list[int]) -> None:
@@ -210,26 +235,36 @@ class PieceModel:
         return list(chain.from_iterable(parts))
 
     def encode_texts(self, texts: Sequence[str | None], keys: Sequence[int], dropout: float) -> list[list[int]]:
-        """Pieces of every text under its key. A text starts with a blank of its own, which ``decode`` takes away."""
+        """Pieces of every text under its key. A text starts with a blank of its own, which ``decode`` takes away.
+
+        The key of a chunk is made of the key of its text and its place in it, so no two chunks share their draws.
+        """
         rows: list[list[int]] = [[] for _ in texts]
-        held: list[tuple[int, list[str]]] = []
+        held: list[tuple[int, int, list[str]]] = []
         size = 0
 
         def settle() -> None:
-            for key in {keys[i] for i, _ in held}:
-                own = [(i, chunks) for i, chunks in held if keys[i] == key]
-                known = self.known.setdefault((key, dropout), {})
-                if len(known) > REMEMBERED:
-                    known.clear()
-                missing = list({c for _, chunks in own for c in chunks}.difference(known))
-                known.update(zip(missing, self.encode_chunks(missing, key, dropout)))
-                for i, chunks in own:
-                    rows[i].extend(chain.from_iterable(map(known.__getitem__, chunks)))
+            counts = np.array([len(chunks) for _, _, chunks in held], dtype=np.int64)
+            starts = np.repeat(np.array([first for _, first, _ in held], dtype=np.int64) - np.cumsum(counts) + counts, counts)
+            place = (starts + np.arange(len(starts)) + 1).astype(np.uint64)
+            own = np.repeat(np.array([keys[i] & _MASK for i, _, _ in held], dtype=np.uint64), counts)
+            keyed = _mix(_mix(own) + place * np.uint64(0x9E3779B97F4A7C15))
+            flat = list(chain.from_iterable(c for _, _, c in held))
+            made: list[tuple[int, ...]] = []
+            for start in range(0, len(flat), TOGETHER):
+                made += self.encode_chunks(flat[start : start + TOGETHER], keyed[start : start + TOGETHER], dropout)
+            at = 0
+            for i, _, chunks in held:
+                rows[i].extend(chain.from_iterable(made[at : at + len(chunks)]))
+                at += len(chunks)
             held.clear()
 
         for i, text in enumerate(texts):
+            first = 0
             for piece in self.slices(" " + text if text else ""):
-                held.append((i, self.chunk.findall(piece)))
+                chunks = self.chunk.findall(piece)
+                held.append((i, first, chunks))
+                first += len(chunks)
                 size += len(piece)
                 if size >= SLICE:
                     settle()
@@ -261,27 +296,26 @@ def load(path: str) -> PieceModel:
 
 
 def encode_documents(
-    docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()
+    docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = (), copy: str | None = None
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``n_pieces``, ``pieces`` (ids), ``lossless`` and the ``carry`` columns.
 
-    The seed and the id choose the key of a document, so a rerun gives the same pieces and repeated rows give the same.
+    Every chunk draws by the seed, the id, the number in column ``copy`` (if named) and its place in the text. So a word is segmented
+    anew wherever it occurs, a rerun gives the same pieces, and repeated rows give the same unless ``copy`` tells them apart.
     ``lossless`` tells whether decoding the pieces gives back the text to the letter, blank marks and unknown letters
     included (they go through byte pieces). A null text is an empty text without pieces. An empty table gives an empty result.
     ``path`` names the model file on every worker; without dropout the pieces are the model's own.
     """
     own = [c for c in carry if c != doc_id]
-    key = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(KEYS))
+    key = F.xxhash64(F.lit(seed), F.col(doc_id), *([] if copy is None else [F.col(copy)]))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), *own, F.struct(F.col(text).alias("text"), key.alias("key")).alias("__text"))
 
     def work(batches: Iterator[list]) -> Iterator[Sequence[list]]:
         model = load(path)
         for rows in batches:
             texts = [r["text"] for r in rows]
-            made = model.encode_texts(texts, [(seed * KEYS + r["key"]) & _MASK for r in rows], dropout)
+            made = model.encode_texts(texts, [r["key"] for r in rows], dropout)
             yield [len(m) for m in made], made, [model.decode(m) == (t or "") for m, t in zip(made, texts)]
-        # The worker lives on after the task; what it remembers must not.
-        model.known.clear()
 
     fields = [("n_pieces", T.LongType()), ("pieces", T.ArrayType(T.IntegerType())), ("lossless", T.BooleanType())]
     result = arrow_pass(narrow, ["doc_id", *own], "__text", work, fields)

@@ -87,3 +87,23 @@ def test_piece_query_takes_odd_rows(make_docs):
     assert Counter(r.doc_id for r in found) == Counter(i for i, _ in rows)
     assert all(r.lossless and r.n_pieces == len(r.pieces) for r in found)
     assert piece_dropout.encode_documents(make_docs([]), PIECES).count() == 0
+
+
+def test_every_occurrence_and_copy_draws_anew(pieces, make_docs):
+    from pyspark.sql import functions as F
+
+    word = " international"
+    chunk = [tuple(pieces.encode_chunks([word], key, 0.1)[0]) for key in range(200)]
+    assert len(set(chunk)) > 4
+    # One text: the same word is not cut the same way everywhere.
+    (row,) = pieces.encode_texts([word[1:] + word * 399], [5], 0.1)
+    cut, part = Counter(), []
+    for p in row:
+        if pieces.content[p].startswith(b" ") and part:
+            cut[tuple(part)] += 1
+            part = []
+        part.append(p)
+    assert len(cut) > 4
+    docs = make_docs([(1, "the international community " * 40)]).withColumn("n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    found = piece_dropout.encode_documents(docs, PIECES, copy="n").collect()
+    assert len({tuple(r.pieces) for r in found}) == 3 and all(r.lossless for r in found)
