@@ -67,32 +67,34 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
     return ranked.select("source", "source_size", F.least(cap, F.lit(level) * F.col("weight")).alias("target"))
 
 
-def bounded_subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> tuple[np.ndarray, int]:
-    """How many documents of each length to take so that their words come as near to ``budget`` from below as possible.
+def bounded_subset(lengths: np.ndarray, counts: np.ndarray, budget: int, above: int = 0) -> tuple[np.ndarray, int]:
+    """How many documents of each length to take so that their words come as near to ``budget`` as possible, at most ``above`` over it.
 
     Bounded knapsack: the count of a length is cut into powers of two, and ``first[s]`` is the first such lot with which the sum
     s is reached. A sum's lot follows on sums reached by earlier lots, so walking back uses every lot once.
     """
     taken = np.zeros(len(lengths), dtype=np.int64)
-    first = np.full(budget + 1, -1, dtype=np.int64)
-    reached = np.zeros(budget + 1, dtype=bool)
+    top = budget + above
+    first = np.full(top + 1, -1, dtype=np.int64)
+    reached = np.zeros(top + 1, dtype=bool)
     reached[0] = True
     lots: list[tuple[int, int]] = []
     for i in np.argsort(-lengths, kind="stable"):
         length = int(lengths[i])
-        left, lot = min(int(counts[i]), budget // length if length else 0), 1
+        left, lot = min(int(counts[i]), top // length if length else 0), 1
         while left > 0 and not reached[budget]:
             lot = min(lot, left)
             words = lot * length
-            new = np.zeros(budget + 1, dtype=bool)
-            new[words:] = reached[: budget + 1 - words]
+            new = np.zeros(top + 1, dtype=bool)
+            new[words:] = reached[: top + 1 - words]
             new &= ~reached
             first[new] = len(lots)
             reached |= new
             lots.append((int(i), lot))
             left -= lot
             lot *= 2
-    best = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    best = int(sums[np.argmin(np.abs(sums - budget))])
     s = best
     while s:
         i, lot = lots[first[s]]
@@ -101,12 +103,13 @@ def bounded_subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> tupl
     return taken, best
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST, fitted: int = FITTED_WORDS) -> tuple[int, np.ndarray]:
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = MOST, fitted: int = FITTED_WORDS, over: bool = False) -> tuple[int, np.ndarray]:
     """Whole copies of every document, and how many copies more the documents of each length get together.
 
     The budget beyond whole copies goes to documents that fit into it: whole rounds of them while there is budget for a round
     (as when a giant document is too long for it), then one copy of a share of each length, fractions being carried on from
     long to short; the last ``fitted`` words or more are fitted by ``bounded_subset``. No document gets over ``most`` copies.
+    A budget that cannot be met from below may be passed if ``over`` is set and that comes nearer to it.
     """
     extra = np.zeros(len(lengths), dtype=np.int64)
     words = int((lengths * counts).sum())
@@ -125,6 +128,18 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float, most: int
         extra[room] += rounds * counts[room]
         left -= rounds * in_round
     if in_round == 0:
+        longer = np.flatnonzero(~empty & (extra < counts * (most - copies)))
+        best, gap = extra, left
+        for i in longer[np.argsort(lengths[longer])] if over else []:
+            if gap == 0:
+                break
+            # One copy more of a document that does not fit, and back what that is too much.
+            excess = int(lengths[i]) - left
+            back, found = bounded_subset(lengths, np.where(empty, 0, extra), excess, gap - 1)
+            if abs(excess - found) < gap:
+                best, gap = extra - back, abs(excess - found)
+                best[i] += 1
+        extra = best
         return copies, extra
     share = left / in_round
     more = np.where(room, np.floor(counts * share), 0).astype(np.int64)
@@ -139,12 +154,17 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float, most: int
             more[i] += max(taken, 0)
             carried -= max(taken, 0) * float(lengths[i])
             left -= max(taken, 0) * int(lengths[i])
+    before, budget = more.copy(), left
     # First documents that have no copy of this round yet, then any that may have one more.
     for limit in (np.where(room, counts, 0), np.where(empty, 0, counts * (most - copies) - extra)):
         if left > 0:
             chosen, found = bounded_subset(lengths, limit - more, left)
             more += chosen
             left -= found
+    if over and left > 0:
+        chosen, found = bounded_subset(lengths, np.where(empty, 0, counts * (most - copies) - extra) - before, budget, left - 1)
+        if abs(found - budget) < left:
+            more = before + chosen
     return copies, extra + more
 
 
@@ -168,7 +188,7 @@ def mix_sources(
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("size")
-        copies, extra = fit_budget(frame["size"].to_numpy(), frame["rows"].to_numpy(), float(frame["target"].iloc[0]), most)
+        copies, extra = fit_budget(frame["size"].to_numpy(), frame["rows"].to_numpy(), float(frame["target"].iloc[0]), most, over=True)
         return frame.assign(copies=copies, extra=extra)[["__source", "size", "rows", "source_size", "target", "copies", "extra"]]
 
     wanted = histogram.join(targets.select(key, "source_size", "target"), "__source")

@@ -104,6 +104,30 @@ def test_budgets_are_met_whatever_the_lengths():
         assert target - taken <= lengths[free].min(initial=10**9) + 1
 
 
+def test_a_budget_is_passed_if_that_is_nearer(make_docs):
+    one = lambda target: mixing.fit_budget(np.array([100]), np.array([1]), target, over=True)
+    assert [c + int(e[0]) for c, e in map(one, (40, 95, 149, 160, 290))] == [0, 1, 1, 2, 3]
+    lengths, counts = np.array([7, 10]), np.array([1, 1])
+    copies, extra = mixing.fit_budget(lengths, counts, 9.0, over=True)
+    assert int((lengths * (copies * counts + extra)).sum()) == 10
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(rng.integers(1, 6))
+        lengths = np.sort(rng.choice(300, n, replace=False))
+        counts = rng.integers(1, 4, n)
+        target = float(rng.uniform(0, 3) * (lengths * counts).sum())
+        gap = []
+        for over in (False, True):
+            copies, extra = mixing.fit_budget(lengths, counts, target, over=over)
+            assert ((0 <= extra) & (copies * counts + extra <= 3 * counts)).all()
+            gap.append(abs(int((lengths * (copies * counts + extra)).sum()) - target))
+        assert gap[1] <= gap[0] + 1
+    # The only text of a source does not vanish.
+    rows = [(1, "w " * 100, "a"), *((i, "w " * 2, "b") for i in range(2, 22)), (30, "w " * 20, "c")]
+    found = {r.doc_id: r for r in mixed(mixing.mix_sources(make_docs(rows)))}
+    assert all(abs(found[i].taken - found[i].target) <= found[i].size / 2 for i in (1, 30))
+
+
 def test_shards_are_lawful(make_docs):
     rows = [(i, f"text {i}") for i in range(100, 4100)] + [(r[0], r[1]) for r in ODD_ROWS]
     found = sharding.assign_shards(make_docs(rows, CLASHES)).collect()
