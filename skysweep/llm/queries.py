@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skysweep.llm.exact_dedup import exact_duplicates
 from skysweep.llm.metric_search import top_products
@@ -12,9 +13,12 @@ from skysweep.llm.mixing import mix_sources
 from skysweep.llm.near_dedup import near_duplicates
 from skysweep.llm.piece_dropout import encode_documents
 from skysweep.llm.private_data import find_private_data
+from skysweep.llm.resampling import resample
 from skysweep.llm.sharding import assign_shards
 from skysweep.llm.token_counts import token_counts
 from skysweep.llm.toxicity import score_toxicity
+from skysweep.llm.tree_encoding import encode_documents as encode_by_tree
+from skysweep.llm.turn_repair import repair_conversations
 from skysweep.llm.url_filter import judge_urls, label_outcomes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +153,20 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
+
+
+@query("op11_importance_resampling")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_tree_encoding")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    made = encode_by_tree(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_conversations(table(spark, folder, "conversations"))
