@@ -205,8 +205,8 @@ def flag_repeats(rows: DataFrame) -> DataFrame:
     conv = F.col("conv_id").cast("string")
     sizes = F.to_json(F.struct(F.length(conv), F.length("role")), {"ignoreNullFields": "false"})
     parts = F.concat(sizes, F.coalesce(conv, F.lit("")), "role", "text")
-    marked = rows.withColumn("digest", F.when(~F.col("dropped"), F.unhex(F.sha2(parts, 256))))
-    # A null turn comes first, as it does in a struct.
+    marked = rows.withColumn("digest", F.when(F.col("dropped"), F.unhex(F.md5(F.col("number").cast("string").cast("binary")))).otherwise(F.unhex(F.sha2(parts, 256))))
+    # Dropped rows have digests of their own, so that they spread. A null turn comes first, as it does in a struct.
     at = F.struct(F.col("turn"), F.col("number"))
     firsts = marked.filter(~F.col("dropped")).groupBy("digest").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("members"))
     several = firsts.filter("members > 1").select("digest", "first")
