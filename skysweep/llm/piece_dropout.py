@@ -2,6 +2,10 @@
 
 The agenda of a chunk of text holds its candidate merges, best piece score first and then leftmost. A candidate whose keyed hash
 falls below the dropout is passed over, so another seed gives another segmentation of the same text.
+
+Passing over a candidate that a run of the agenda never takes changes nothing. So the runs of a chunk are remembered with the merges they
+take: where the draws pass over none of these, the run's pieces stand; else the run without those merges is looked at in the
+same way, until one stands. Every occurrence of a chunk still draws for itself.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 import functools
 import heapq
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -25,10 +29,13 @@ SEED = 31_337
 LONG = 256
 #: Characters of text whose chunks are held at a time, and chunks whose agendas move at once.
 SLICE = 1 << 20
-TOGETHER = 1 << 14
+TOGETHER = 1 << 12
+#: Runs that a task remembers, and most merges of a run that is remembered.
+REMEMBERED = 1 << 19
+WIDEST = 63
 #: Pairs that make a piece are looked up in two to this many hash buckets.
 SLOT_BITS = 20
-_NEVER = np.iinfo(np.int64).max
+_NEVER = np.iinfo(np.int32).max
 _MASK = (1 << 64) - 1
 
 
@@ -39,6 +46,190 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class _Numbers(dict):
+    """Numbers of keys in the order of their first use; ``new`` holds the keys not yet seen to, ``count`` all numbers given."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+        self.count = 0
+
+    def __missing__(self, key) -> int:
+        number = self[key] = self.count
+        self.count += 1
+        self.new.append(key)
+        return number
+
+
+class _Rows:
+    """Rows of whole numbers of any lengths in one growing array per column."""
+
+    def __init__(self, *types: type) -> None:
+        self.starts, self.sizes = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.columns = [np.zeros(4096, dtype=t) for t in types]
+        self.count = self.filled = 0
+
+    def add(self, sizes: np.ndarray, *values: np.ndarray) -> None:
+        count, filled = self.count + len(sizes), self.filled + len(values[0])
+        self.starts, self.sizes = _room(self.starts, count), _room(self.sizes, count)
+        self.starts[self.count : count] = self.filled + np.cumsum(sizes) - sizes
+        self.sizes[self.count : count] = sizes
+        for i, v in enumerate(values):
+            self.columns[i] = _room(self.columns[i], filled)
+            self.columns[i][self.filled : filled] = v
+        self.count, self.filled = count, filled
+
+    def get(self, rows: np.ndarray, first: np.ndarray | None = None, sizes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Sizes, places inside the row and values of ``rows`` one after the other, or of ``sizes`` values from ``first`` on."""
+        sizes = self.sizes[rows] if sizes is None else sizes
+        local = _places(sizes) if first is None else _places(sizes) + np.repeat(first, sizes)
+        at = np.repeat(self.starts[rows], sizes) + local
+        return (sizes, local, *(c[at] for c in self.columns))
+
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... for every size."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+class Runs:
+    """Runs of the agendas of chunks, each with the merges it was not allowed, those it took and its pieces."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        #: Run of a chunk (no merge is barred), and of another run and the merges of it that are barred besides, as bits of one number.
+        self.numbers = _Numbers()
+        self.chunks: list[str] = []
+        self.merges = _Rows(np.uint64, np.int64)
+        #: Merges at the start of a run that it shares with the run it came from.
+        self.shared = np.zeros(1024, dtype=np.int64)
+        self.barred = _Rows(np.uint64)
+        self.pieces = _Rows(np.int32)
+
+    def see(self) -> None:
+        """Run the agendas of the new keys."""
+        new, self.numbers.new = self.numbers.new, []
+        # The keys of one call are all chunks or all of the other kind.
+        for at in range(0, len(new), TOGETHER):
+            keys = new[at : at + TOGETHER]
+            if isinstance(keys[0], str):
+                none = np.zeros(len(keys), dtype=np.int64)
+                self.add(keys, none, np.zeros(0, dtype=np.uint64), none, None)
+            else:
+                self.bar(keys)
+
+    def bar(self, keys: list[int]) -> None:
+        """Runs that go another way than known ones from the first barred merge on."""
+        of, bits = np.array([k >> 64 for k in keys]), np.array([k & _MASK for k in keys])
+        sizes, local, spans, _ = self.merges.get(of)
+        chosen = (np.repeat(bits, sizes) >> local) & 1 == 1
+        owner = np.repeat(np.arange(len(of)), sizes)[chosen]
+        more, known, (before,) = spans[chosen], self.barred.sizes[of], self.barred.get(of)[2:]
+        both = np.concatenate([np.repeat(np.arange(len(of)), known), owner])
+        order = np.argsort(both, kind="stable")
+        barred = np.concatenate([before, more])[order]
+        first = np.bitwise_count((bits & -bits) - 1).astype(np.int64)
+        self.add([self.chunks[i] for i in of.tolist()], known + np.bincount(owner, minlength=len(of)), barred, first, of)
+
+    def add(self, chunks: list[str], bars: np.ndarray, barred: np.ndarray, shared: np.ndarray, of: np.ndarray | None) -> None:
+        # Chunks are short, so their number and span fit one whole number.
+        code = lambda name, begin, middle, end: (name.astype(np.int64) << 36) | (begin.astype(np.int64) << 24) | (middle << 12) | end
+        codes = np.append(np.sort(code(np.repeat(np.arange(len(bars)), bars), *_unpacked(barred))), -1)
+
+        def passed(name: np.ndarray, *at: np.ndarray) -> np.ndarray:
+            wanted = code(name, *at)
+            return codes[np.searchsorted(codes[:-1], wanted)] == wanted
+
+        head = None if of is None else self.merges.get(of, np.zeros(len(of), dtype=np.int64), shared)
+        given = None if head is None else (np.repeat(np.arange(len(of)), shared), head[2], head[3])
+        counts, pieces, sizes, spans, made = self.model.run(chunks, None if of is None else passed, given)
+        if given is not None:
+            owner = np.concatenate([given[0], np.repeat(np.arange(len(sizes)), sizes)])
+            order = np.argsort(owner, kind="stable")
+            spans, made, sizes = np.concatenate([given[1], spans])[order], np.concatenate([given[2], made])[order], sizes + shared
+        self.shared = _room(self.shared, self.merges.count + len(sizes))
+        self.shared[self.merges.count : self.merges.count + len(sizes)] = shared
+        self.chunks += chunks
+        self.merges.add(sizes, spans, made)
+        self.barred.add(bars, barred)
+        self.pieces.add(counts, pieces)
+
+    def hold(self, rows: list[tuple[int, ...]]) -> np.ndarray:
+        """Numbers of rows of pieces that stand for nothing else."""
+        first = self.numbers.count
+        self.numbers.count += len(rows)
+        none = np.zeros(len(rows), dtype=np.int64)
+        self.shared = _room(self.shared, first + len(rows))
+        self.chunks += [""] * len(rows)
+        self.merges.add(none, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        self.barred.add(none, np.zeros(0, dtype=np.uint64))
+        self.pieces.add(np.array([len(r) for r in rows], dtype=np.int64), np.array(list(chain.from_iterable(rows)), dtype=np.int32))
+        return np.arange(first, first + len(rows))
+
+    def encode(self, chunks: Sequence[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """Number of pieces of every chunk under its key, and all pieces."""
+        if self.numbers.count > REMEMBERED:
+            self.clear()
+        model, numbers = self.model, self.numbers
+        lengths = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        short = np.flatnonzero(lengths <= LONG)
+        run = np.zeros(len(chunks), dtype=np.int64)
+        known = map(numbers.__getitem__, chunks if len(short) == len(chunks) else [chunks[i] for i in short.tolist()])
+        run[short] = np.fromiter(known, dtype=np.int64, count=len(short))
+        self.see()
+        alone = [np.flatnonzero(lengths > LONG)]
+        asked = short
+        while len(asked):
+            # A run that takes more merges than bits goes through an agenda of its own.
+            wide = self.merges.sizes[run[asked]] > WIDEST
+            alone.append(asked[wide])
+            asked = asked[~wide]
+            of = run[asked]
+            # Merges shared with the run before were looked at there.
+            sizes, local, spans, _ = self.merges.get(of, self.shared[of], self.merges.sizes[of] - self.shared[of])
+            hit = np.flatnonzero(model.drawn(np.repeat(keys[asked], sizes), spans, dropout))
+            if not len(hit):
+                break
+            owner = np.searchsorted(np.cumsum(sizes), hit, side="right")
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            bits = np.bitwise_or.reduceat(np.int64(1) << local[hit], first)
+            asked = asked[owner[first]]
+            run[asked] = [numbers[r << 64 | b] for r, b in zip(run[asked].tolist(), bits.tolist())]
+            self.see()
+        rest = np.concatenate(alone)
+        if len(rest):
+            run[rest] = self.hold(model.encode_chunks([chunks[i] for i in rest.tolist()], keys[rest], dropout))
+        sizes, _, pieces = self.pieces.get(run)
+        return sizes, pieces
+
+
+def _unpacked(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, middle and end of spans."""
+    spans = spans.astype(np.int64)
+    mask = (1 << 21) - 1
+    return spans >> 42, (spans >> 21) & mask, spans & mask
+
+
+def _by_owner(parts: list[tuple[np.ndarray, ...]], types: list[type]) -> list[np.ndarray]:
+    """Columns of all parts in the order of the first one, equal ones as they come."""
+    columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=t) for i, t in enumerate(types)]
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or a longer copy, with places for ``size`` values."""
+    if size <= len(array):
+        return array
+    longer = np.zeros(max(size, 2 * len(array)), dtype=array.dtype)
+    longer[: len(array)] = array
+    return longer
+
+
 class PieceModel:
     """Pieces, scores and byte pieces of a merge-type model whose texts are not normalised; blanks stand for its blank mark."""
 
@@ -60,7 +251,7 @@ class PieceModel:
                 text = piece.replace("▁", " ")
                 self.ids[text], self.content[i] = i, text.encode()
                 score[i] = model.get_score(i)
-        self.order = np.empty(size, dtype=np.int64)
+        self.order = np.empty(size, dtype=np.int32)
         self.order[np.argsort(-score, kind="stable")] = np.arange(size)
         self.width = size + 1
         merges = {}
@@ -74,14 +265,15 @@ class PieceModel:
         slots = self.slot(keys)
         by_slot = np.argsort(slots, kind="stable")
         self.keys = np.append(keys[by_slot], -1)
-        self.results = np.append(np.array(list(merges.values()), dtype=np.int64)[by_slot], -1)
-        self.buckets = np.searchsorted(slots[by_slot], np.arange((1 << SLOT_BITS) + 1))
+        self.results = np.append(np.array(list(merges.values()), dtype=np.int32)[by_slot], np.int32(-1))
+        self.buckets = np.searchsorted(slots[by_slot], np.arange((1 << SLOT_BITS) + 1)).astype(np.int32)
         self.unknown = size
         #: Piece of every code point.
-        self.letters = np.full(0x110000, size, dtype=np.int64)
+        self.letters = np.full(0x110000, size, dtype=np.int32)
         for text, i in self.ids.items():
             if len(text) == 1:
                 self.letters[ord(text)] = i
+        self.runs = Runs(self)
         # No merge crosses from a letter to a following blank; if no piece holds a line break, none crosses one either.
         if any(" " in t.lstrip(" ") for t in self.ids):
             self.chunk = re.compile(r"(?s).+")
@@ -96,10 +288,10 @@ class PieceModel:
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Piece of two joined symbols, -1 where there is none."""
-        key = left * self.width + right
+        key = left.astype(np.int64) * self.width + right
         slot = self.slot(key)
         at = self.buckets[slot]
-        found = np.where(self.keys[at] == key, self.results[at], -1)
+        found = np.where(self.keys[at] == key, self.results[at], np.int32(-1))
         rest = np.flatnonzero(found < 0)
         ends = self.buckets[slot[rest] + 1]
         at = at[rest] + 1
@@ -112,60 +304,74 @@ class PieceModel:
         return found
 
     def encode_chunks(self, chunks: Sequence[str], key: int | np.ndarray, dropout: float) -> list[tuple[int, ...]]:
-        """Pieces of every chunk under one key or a key each. All agendas move at once: a round pops the best of every chunk."""
+        """Pieces of every chunk under one key or a key each, each by an agenda of its own."""
         keys = np.broadcast_to(np.asarray(key, dtype=np.uint64), len(chunks))
         found: list[tuple[int, ...]] = [()] * len(chunks)
         short = [i for i, c in enumerate(chunks) if len(c) <= LONG]
         for i in set(range(len(chunks))).difference(short):
             found[i] = self.encode_long(chunks[i], int(keys[i]), dropout)
-        if not short:
-            return found
-        texts = [chunks[i] for i in short]
+        own = keys[short]
+        sizes, flat, *_ = self.run([chunks[i] for i in short], lambda name, *span: self.dropped(own[name], *span, dropout))
+        flat, at = flat.tolist(), 0
+        for i, n in zip(short, sizes.tolist()):
+            found[i] = tuple(flat[at : at + n])
+            at += n
+        return found
+
+    def run(
+        self, texts: Sequence[str], passed: Callable[..., np.ndarray] | None, given: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of pieces of every chunk, all pieces; number of merges taken, their spans and what they made.
+
+        All agendas move at once: a round pops the best of every chunk. ``passed`` gets arrays of the number of a chunk and of begin, middle
+        and end of a candidate and tells which are passed over. ``given`` are merges (chunk, span, piece made) already taken.
+        """
         sizes = np.array([len(c) for c in texts], dtype=np.int64)
-        unknown = self.unknown
         symbols = self.letters[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        names = np.arange(len(texts))
         starts = np.cumsum(sizes) - sizes
-        begin = np.arange(len(symbols)) - np.repeat(starts, sizes)
-        last = np.zeros(len(symbols), dtype=bool)
-        last[starts + sizes - 1] = True
-        end = begin + 1
-        hashed = np.repeat(keys[short], sizes)
-        pieces, ranks = np.full(len(symbols), -1), np.full(len(symbols), _NEVER)
+        owner, begin = np.repeat(np.arange(len(texts), dtype=np.int32), sizes), _places(sizes).astype(np.int32)
+        if given is not None:
+            name, spans, made = given
+            first, middle, _ = _unpacked(spans)
+            # Of merges that begin at one place the last one counts.
+            symbols[starts[name] + first] = made
+            stays = np.ones(len(symbols), dtype=bool)
+            stays[starts[name] + middle] = False
+            symbols, owner, begin = symbols[stays], owner[stays], begin[stays]
+        last = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.zeros(0, dtype=bool)
+        end = np.where(last, sizes[owner], np.append(begin[1:], 0)).astype(np.int32) if len(owner) else begin
+        pieces, ranks = np.full(len(symbols), -1, dtype=np.int32), np.full(len(symbols), _NEVER, dtype=np.int32)
+        taken: list[tuple[np.ndarray, ...]] = []
+        done: list[tuple[np.ndarray, ...]] = []
 
         def renew(at: np.ndarray) -> None:
-            """Put the pairs that begin at ``at`` on the agenda, unless there is no such piece or the hash passes them over."""
+            """Put the pairs that begin at ``at`` on the agenda, unless there is no such piece or it is passed over."""
             piece = self.merged(symbols[at], symbols[at + 1])
-            live = (piece >= 0) & ~self.dropped(hashed[at], begin[at], end[at], end[at + 1], dropout)
+            live = piece >= 0
+            if passed is not None:
+                live &= ~passed(owner[at], begin[at], end[at], end[at + 1])
             pieces[at] = piece
             ranks[at] = np.where(live, self.order[np.maximum(piece, 0)], _NEVER)
 
         renew(np.flatnonzero(~last))
-        while len(names):
+        while len(symbols):
             ends = np.flatnonzero(last)
             starts = np.concatenate([[0], ends[:-1] + 1])
             sizes = ends - starts + 1
             lowest = np.minimum.reduceat(ranks, starts)
             live = lowest != _NEVER
             if not live.all():
-                gone = ~np.repeat(live, sizes)
-                flat, letters = symbols[gone].tolist(), begin[gone]
-                a = 0
-                for name, n in zip(names[~live].tolist(), sizes[~live].tolist()):
-                    row = flat[a : a + n]
-                    if unknown in row:
-                        row = self.spelt(texts[name], row, letters[a : a + n].tolist())
-                    found[short[name]] = tuple(row)
-                    a += n
-                stay = ~gone
+                stay = np.repeat(live, sizes)
+                done.append((owner[~stay], symbols[~stay], begin[~stay]))
                 symbols, begin, end, last = symbols[stay], begin[stay], end[stay], last[stay]
-                hashed, pieces, ranks = hashed[stay], pieces[stay], ranks[stay]
-                names, sizes, lowest = names[live], sizes[live], lowest[live]
-                if not len(names):
+                owner, pieces, ranks = owner[stay], pieces[stay], ranks[stay]
+                sizes, lowest = sizes[live], lowest[live]
+                if not len(symbols):
                     break
             best = np.flatnonzero(ranks == np.repeat(lowest, sizes))
-            word = np.repeat(np.arange(len(names)), sizes)[best]
-            places = best[np.concatenate([[True], word[1:] != word[:-1]])]
+            word = owner[best]
+            places = best[np.append(True, word[1:] != word[:-1])]
+            taken.append((owner[places], self.span(begin[places], end[places], end[places + 1]), pieces[places]))
             symbols[places] = pieces[places]
             end[places], last[places] = end[places + 1], last[places + 1]
             keep = np.ones(len(symbols), dtype=bool)
@@ -176,9 +382,23 @@ class PieceModel:
             renewed[before] |= ~last[before]
             ranks[places] = _NEVER
             symbols, begin, end, last = symbols[keep], begin[keep], end[keep], last[keep]
-            hashed, pieces, ranks, renewed = hashed[keep], pieces[keep], ranks[keep], renewed[keep]
+            owner, pieces, ranks, renewed = owner[keep], pieces[keep], ranks[keep], renewed[keep]
             renew(np.flatnonzero(renewed & ~last))
-        return found
+        of, row, at = _by_owner(done, [np.int64] * 3)
+        counts, row = self.spelt_all(texts, of, row, at)
+        name, spans, made = _by_owner(taken, [np.int64, np.uint64, np.int64])
+        return counts, row, np.bincount(name, minlength=len(texts)), spans, made
+
+    def spelt_all(self, texts: Sequence[str], of: np.ndarray, row: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of pieces per chunk and pieces, with characters without a piece replaced by the pieces of their bytes."""
+        lost = np.flatnonzero(row == self.unknown)
+        if len(lost):
+            spelling = [[self.bytes[b] for b in texts[i][j].encode()] for i, j in zip(of[lost].tolist(), begin[lost].tolist())]
+            times = np.ones(len(row), dtype=np.int64)
+            times[lost] = [len(p) for p in spelling]
+            of, row = np.repeat(of, times), np.repeat(row, times)
+            row[row == self.unknown] = list(chain.from_iterable(spelling))
+        return np.bincount(of, minlength=len(texts)), row.astype(np.int32)
 
     @staticmethod
     def span(begin: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -250,13 +470,11 @@ class PieceModel:
             own = np.repeat(np.array([keys[i] & _MASK for i, _, _ in held], dtype=np.uint64), counts)
             keyed = _mix(_mix(own) + place * np.uint64(0x9E3779B97F4A7C15))
             flat = list(chain.from_iterable(c for _, _, c in held))
-            made: list[tuple[int, ...]] = []
-            for start in range(0, len(flat), TOGETHER):
-                made += self.encode_chunks(flat[start : start + TOGETHER], keyed[start : start + TOGETHER], dropout)
-            at = 0
-            for i, _, chunks in held:
-                rows[i].extend(chain.from_iterable(made[at : at + len(chunks)]))
-                at += len(chunks)
+            sizes, made = self.runs.encode(flat, keyed, dropout)
+            ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))].tolist()
+            made = made.tolist()
+            for k, (i, _, _) in enumerate(held):
+                rows[i].extend(made[ends[k] : ends[k + 1]])
             held.clear()
 
         for i, text in enumerate(texts):
@@ -316,6 +534,8 @@ def encode_documents(
             texts = [r["text"] for r in rows]
             made = model.encode_texts(texts, [r["key"] for r in rows], dropout)
             yield [len(m) for m in made], made, [model.decode(m) == (t or "") for m, t in zip(made, texts)]
+        # The worker lives on after the task; what it remembers must not.
+        model.runs.clear()
 
     fields = [("n_pieces", T.LongType()), ("pieces", T.ArrayType(T.IntegerType())), ("lossless", T.BooleanType())]
     result = arrow_pass(narrow, ["doc_id", *own], "__text", work, fields)

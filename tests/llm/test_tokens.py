@@ -74,6 +74,53 @@ def test_both_agendas_agree(pieces):
     assert pieces.encode_chunks(chunks, 9, 0.3) == [pieces.encode_long(c, 9, 0.3) for c in chunks]
 
 
+def plain_run(pieces, chunk, dropped):
+    """Pieces by the words of the method: the best candidate not passed over is merged, until there is none."""
+    row = [(i, i + 1) for i in range(len(chunk))]
+    while True:
+        offers = []
+        for (a, b), (_, c) in zip(row, row[1:]):
+            piece = pieces.ids.get(chunk[a:c])
+            parts = (pieces.ids.get(chunk[a:b]), pieces.ids.get(chunk[b:c]))
+            if piece is not None and None not in parts and not dropped(a, b, c):
+                offers.append((pieces.order[piece], a, b, c))
+        if not offers:
+            break
+        _, a, b, c = min(offers)
+        at = row.index((a, b))
+        row[at : at + 2] = [(a, c)]
+    made = []
+    for a, b in row:
+        text = chunk[a:b]
+        made += [pieces.ids[text]] if text in pieces.ids else [pieces.bytes[x] for x in text.encode()]
+    return tuple(made)
+
+
+def test_remembered_runs_equal_the_agenda(pieces, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(6)
+    words = [c for t in texts(7, 400, [*PARTS, "hello", " international", "tion", " of the "]) for c in pieces.chunk.findall(" " + t)]
+    chunks = [rng.choice(words) for _ in range(10_000)] + ["ab" * 200, "international " * 9, "x" * 200]
+    keys = np.array([rng.getrandbits(64) for _ in chunks], dtype=np.uint64)
+
+    def rows(runs, start=0, stop=len(chunks)):
+        sizes, flat = runs.encode(chunks[start:stop], keys[start:stop], dropout)
+        return [tuple(r.tolist()) for r in np.split(flat, np.cumsum(sizes)[:-1])]
+
+    for dropout in (0.1, 0.5):
+        want = [pieces.encode_long(c, int(k), dropout) for c, k in zip(chunks, keys)]
+        assert rows(piece_dropout.Runs(pieces)) == want == pieces.encode_chunks(chunks, keys, dropout)
+        few = piece_dropout.Runs(pieces)
+        monkeypatch.setattr(piece_dropout, "REMEMBERED", 100)
+        monkeypatch.setattr(piece_dropout, "WIDEST", 3)
+        assert [r for i in range(0, len(chunks), 700) for r in rows(few, i, i + 700)] == want
+        monkeypatch.undo()
+        for chunk, key, row in list(zip(chunks, keys, want))[:1500]:
+            draw = lambda a, b, c: bool(pieces.dropped(np.array([key]), *(np.array([v]) for v in (a, b, c)), dropout)[0])
+            assert plain_run(pieces, chunk, draw) == row
+
+
 def test_slices_change_nothing(pieces, monkeypatch):
     given = texts(5, 300)
     want = pieces.encode_texts(given, [2] * len(given), 0.2)
