@@ -155,7 +155,7 @@ def _features_sql(source: str, grid: dict) -> str:
     side = f"{grid['pillar']}e0"
     return with_ctes(
         source,
-        f"""select {_PKEY}, point_id, slot, x, y, z, {r('reflectivity/255e0', 6)} as r, {', '.join(f"{r(f'{a} - avg({a}) over w', 5)} as {a}_c" for a in 'xyz')},
+        f"""select {_PKEY}, point_id, slot, x, y, z, {r('reflectivity/255e0', 6)} as r, {', '.join(f"{r(f'{a} - sum(cast(round({a}*1000000) as bigint)) over w / count(*) over w / 1000000', 5)} as {a}_c" for a in 'xyz')},
 {r(f'x - (-20 + (gx + 0.5e0)*{side})', 5)} as x_p, {r(f'y - (-224 + (gy + 0.5e0)*{side})', 5)} as y_p from {source} window w as (partition by {_PKEY})""",
     )
 
@@ -386,6 +386,7 @@ thinned as (select * from (select *, count(*) over (partition by scene, pose_ind
         f"""select {_P}, {', '.join(f"{r(f'{e}*scale + {_noise(a)}', 5)} as {a}" for a, e in (('x', 'tx'), ('y', 'ty'), ('z', 'z')))}, class_id from thinned
 union all select {_P}, {', '.join(f"{r(a, 5)} as {a}" for a in 'xyz')}, class_id from points where scene in ('scene_9', 'scene_10')""",
         extra=_TURNED,
+        materialized=True,
     ),
 )
 def _(inp: Inputs):

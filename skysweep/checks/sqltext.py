@@ -9,8 +9,11 @@ def cte(name: str, needs: list[str], body: str) -> None:
     CTES[name] = (needs, body)
 
 
-def with_ctes(names: list[str] | str, body: str, recursive: bool = False, extra: str = "") -> str:
-    """Prefix ``body`` with the named table expressions and all they need; ``extra`` adds query-own ones."""
+def with_ctes(names: list[str] | str, body: str, recursive: bool = False, extra: str = "", materialized: bool = False) -> str:
+    """Prefix ``body`` with the named table expressions and all they need; ``extra`` adds query-own ones.
+
+    ``materialized`` has the named ones computed once, for bodies that read them several times.
+    """
     names = names.split() if isinstance(names, str) else names
     ordered: list[str] = []
 
@@ -22,7 +25,8 @@ def with_ctes(names: list[str] | str, body: str, recursive: bool = False, extra:
 
     for name in names:
         visit(name)
-    parts = [f"{name} as ({CTES[name][1]})" for name in ordered]
+    once = " materialized" if materialized else ""
+    parts = [f"{name} as{once} ({CTES[name][1]})" for name in ordered]
     if extra:
         parts.append(extra)
     return f"with {'recursive ' if recursive else ''}" + ",\n".join(parts) + "\n" + body
