@@ -31,13 +31,19 @@ def rank_in_group(
     )
 
 
+#: Equal steps of the bracket of a rank.
+STEPS = 4096
+
+
 def wide_percentiles(
     df: DataFrame, keys: Sequence[str], values: Sequence[str], probabilities: Sequence[float], accuracy: int = 2000
 ) -> DataFrame:
     """Exact linear percentiles per (key, value column) for groups as large as a share of the table.
 
-    A bounded sketch brackets every wanted rank first. The second pass counts the rows below the bracket and looks
-    only at the distinct values inside it, so no task holds a whole group. Result: keys, ``metric``, ``p``, ``value``.
+    A bounded sketch brackets every wanted rank first. The second pass counts the rows below the bracket and in each of
+    ``STEPS`` equal steps of it, and looks only at the distinct values inside the steps that hold the rank. So no task holds
+    a whole group or a whole bracket, of which a group of billions of rows would leave millions of values.
+    Result: keys, ``metric``, ``p``, ``value``.
     """
     stacked = df.select(
         *keys,
@@ -79,14 +85,19 @@ def wide_percentiles(
         *group, "b.p", "b.rank", "b.low", "b.high"
     )
     bracketed = counts.join(brackets, group)
-    below = (
-        bracketed.groupBy(*group, "p")
-        .agg(F.sum(F.when(F.col("value") < F.col("low"), F.col("__n")).otherwise(0)).alias("__below"))
-    )
-    inside = bracketed.filter(F.col("value").between(F.col("low"), F.col("high")))
-    upto = W.partitionBy(*group, "p").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    # Step -1 stands for all values below the bracket; those above it are left out.
+    share = (F.col("value") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
+    inner = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * STEPS), F.lit(STEPS - 1)).cast("int")
+    stepped = bracketed.filter(F.col("value") <= F.col("high")).withColumn("__step", F.when(F.col("value") < F.col("low"), -1).otherwise(inner))
+    steps = stepped.groupBy(*group, "p", "rank", "__step").agg(F.sum("__n").alias("__sum"))
+    # At most STEPS + 1 rows per rank.
+    before = W.partitionBy(*group, "p").orderBy("__step").rowsBetween(W.unboundedPreceding, -1)
+    based = steps.withColumn("__below", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+    holds = (F.col("__below") <= F.ceil("rank")) & (F.floor("rank") < F.col("__below") + F.col("__sum"))
+    holding = based.filter(holds).select(*group, "p", "__step", "__below")
+    upto = W.partitionBy(*group, "p", "__step").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     ranked = (
-        inside.join(below, [*group, "p"])
+        stepped.join(holding, [*group, "p", "__step"])
         .withColumn("__end", F.col("__below") + F.sum("__n").over(upto))
         .withColumn("__start", F.col("__end") - F.col("__n"))
     )
