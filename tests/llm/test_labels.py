@@ -86,6 +86,17 @@ def test_messages_are_exact_without_loops_and_close_with_them():
     assert (found.argmax(axis=1) == want.argmax(axis=1)).all() and np.abs(found - want).max() < 0.2
 
 
+def test_messages_settle_however_long_the_chain():
+    fitted = potentials()
+    text = "Call +1 (456) 555-2186 now. " + " and then ".join(["(456) 555-2186 q 98765 123456"] * 60)
+    doc = private_data.parse(text)
+    assert private_data._longest(np.concatenate([doc.chain, doc.skip]), len(doc.spans)) > 100
+    settled = private_data.marginals(doc, fitted)
+    # Patience without end changes nothing: the messages had come to rest.
+    assert np.allclose(settled, private_data.marginals(doc, fitted, rounds=100_000), atol=1e-6)
+    assert np.allclose(settled, private_data.marginals(doc, fitted, rounds=1), atol=0.02)
+
+
 def test_repeats_of_a_mention_are_found_far_away():
     text = "Call +1 (456) 555-2186 now. " + "filler words " * 300 + "then (456) 555-2186 again"
     doc = private_data.parse(text)
