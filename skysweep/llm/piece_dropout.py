@@ -274,6 +274,10 @@ class PieceModel:
             if len(text) == 1:
                 self.letters[ord(text)] = i
         self.runs = Runs(self)
+        #: Contents of all pieces one after the other.
+        self.written_bytes = np.frombuffer(b"".join(self.content), dtype=np.uint8)
+        self.written_sizes = np.array([len(c) for c in self.content], dtype=np.int64)
+        self.written_starts = np.cumsum(self.written_sizes) - self.written_sizes
         # No merge crosses from a letter to a following blank; if no piece holds a line break, none crosses one either.
         if any(" " in t.lstrip(" ") for t in self.ids):
             self.chunk = re.compile(r"(?s).+")
@@ -455,11 +459,14 @@ class PieceModel:
         return list(chain.from_iterable(parts))
 
     def encode_texts(self, texts: Sequence[str | None], keys: Sequence[int], dropout: float) -> list[list[int]]:
+        return [row.tolist() for row in self.encode_arrays(texts, keys, dropout)]
+
+    def encode_arrays(self, texts: Sequence[str | None], keys: Sequence[int], dropout: float) -> list[np.ndarray]:
         """Pieces of every text under its key. A text starts with a blank of its own, which ``decode`` takes away.
 
         The key of a chunk is made of the key of its text and its place in it, so no two chunks share their draws.
         """
-        rows: list[list[int]] = [[] for _ in texts]
+        rows: list[list[np.ndarray]] = [[] for _ in texts]
         held: list[tuple[int, int, list[str]]] = []
         size = 0
 
@@ -472,9 +479,8 @@ class PieceModel:
             flat = list(chain.from_iterable(c for _, _, c in held))
             sizes, made = self.runs.encode(flat, keyed, dropout)
             ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))].tolist()
-            made = made.tolist()
             for k, (i, _, _) in enumerate(held):
-                rows[i].extend(made[ends[k] : ends[k + 1]])
+                rows[i].append(made[ends[k] : ends[k + 1]])
             held.clear()
 
         for i, text in enumerate(texts):
@@ -488,7 +494,7 @@ class PieceModel:
                     settle()
                     size = 0
         settle()
-        return rows
+        return [np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32) for parts in rows]
 
     def slices(self, text: str) -> Iterator[str]:
         """Cut a long text where a chunk ends: between another character and a blank."""
@@ -503,6 +509,11 @@ class PieceModel:
         if start < len(text):
             yield text[start:] if start else text
 
+    def written(self, ids: np.ndarray) -> bytes:
+        """The text of a row of pieces in UTF-8, the blank in front included."""
+        sizes = self.written_sizes[ids]
+        return self.written_bytes[np.repeat(self.written_starts[ids], sizes) + _places(sizes)].tobytes()
+
     def decode(self, ids: Sequence[int]) -> str:
         """The text of a row of pieces, without the blank that encoding put in front."""
         return b"".join(map(self.content.__getitem__, ids)).decode()[1:]
@@ -532,8 +543,8 @@ def encode_documents(
         model = load(path)
         for rows in batches:
             texts = [r["text"] for r in rows]
-            made = model.encode_texts(texts, [r["key"] for r in rows], dropout)
-            yield [len(m) for m in made], made, [model.decode(m) == (t or "") for m, t in zip(made, texts)]
+            made = model.encode_arrays(texts, [r["key"] for r in rows], dropout)
+            yield [len(m) for m in made], [m.tolist() for m in made], [model.written(m)[1:] == (t or "").encode() for m, t in zip(made, texts)]
         # The worker lives on after the task; what it remembers must not.
         model.runs.clear()
 
