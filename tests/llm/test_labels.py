@@ -278,3 +278,18 @@ def test_pipeline_takes_its_decisions(spark, tmp_path):
     assert all(n <= 3 for n in Counter(texts).values())
     assert docs.filter("not lossless").count() == 0 and sizes["encode"] == sizes["mix"]
     assert sizes["exact_dedup"] < sizes["toxicity"] < spark.read.parquet(f"{LARGER}/documents.parquet").count()
+
+
+def test_pipeline_takes_clashing_columns_odd_rows_and_nothing(spark, make_docs, tmp_path):
+    import corpus_pipeline
+
+    from skysweep.llm.common import written
+
+    clashes = [*CLASHES, "copy_number", "label", "component"]
+    for part, rows in (("odd", [(r[0], r[1]) for r in ODD_ROWS]), ("none", [])):
+        docs = make_docs(rows, clashes)
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = written(stage(spark, docs, LARGER), str(tmp_path / f"{part}-{name}"))
+            assert name == "encode" or docs.columns == columns
+        assert (docs.count() > 0) == bool(rows) and docs.filter("not lossless").count() == 0
