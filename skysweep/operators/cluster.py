@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skysweep.functions.columns import label_of, pick_by_class
 from skysweep.functions.ranks import pivot_percentiles, wide_percentiles
 from skysweep.operators.boxfit import obb_yaw_pca
-from skysweep.operators.near import Space, cell_bounds, components_of_cells, link_cells, near_components, rows_within
+from skysweep.operators.near import Space, cell_bounds, components_of_cells, link_cells, near_components, nearest_within, rows_within
 from skysweep.schema import FRAME, POSE, overlay_parameters
 from skysweep.session import cut_lineage
 
@@ -67,11 +67,9 @@ def dbscan(points: DataFrame, keys: Sequence[str], eps: Column, min_samples: Col
     else:
         clustered = cut_lineage(clustered)
         edge = thin.join(thin_core, identity, "left_anti")
-        around, _ = rows_within(edge, clustered, core_nodes, keys, "point_id", ["cluster", "point_id"], space, whole_cells=False)
-        near = around.groupBy(*keys, F.col("point_id_a").alias("point_id")).agg(
-            F.min_by("cluster_b", F.struct("distance2", "point_id_b")).alias("cluster")
-        )
-        found = clustered.select(*identity, "cluster").unionByName(near.select(*identity, "cluster"))
+        near = nearest_within(edge, clustered, core_nodes, keys, "point_id", "point_id", ["cluster"], space)
+        near = near.select(*keys, F.col("point_id_a").alias("point_id"), F.col("cluster_b").alias("cluster"))
+        found = clustered.select(*identity, "cluster").unionByName(near)
     return points.join(found, identity, "left").withColumn("cluster", F.coalesce("cluster", F.lit(NOISE).cast("long")))
 
 
@@ -105,10 +103,8 @@ def reassign_points(points: DataFrame, clustered: DataFrame, params: dict[str, A
     space = Space(XYZ, radius, strict=True)
     centroids = cluster_centroids(clustered, CLASS_KEYS).select(*CLASS_KEYS, "cluster", *XYZ)
     rows, nodes = link_cells(centroids, CLASS_KEYS, "cluster", [space])
-    near, _ = rows_within(points, rows, nodes, CLASS_KEYS, "point_id", ["cluster"], space, whole_cells=False)
-    nearest = near.groupBy(*CLASS_KEYS, F.col("point_id_a").alias("point_id")).agg(
-        F.min_by("cluster_b", F.struct("distance2", "cluster_b")).alias("cluster")
-    )
+    near = nearest_within(points, rows, nodes, CLASS_KEYS, "point_id", "cluster", [], space)
+    nearest = near.select(*CLASS_KEYS, F.col("point_id_a").alias("point_id"), F.col("cluster_b").alias("cluster"))
     joined = points.drop("cluster").join(nearest, [*CLASS_KEYS, "point_id"], "left")
     return joined.withColumn("cluster", F.coalesce("cluster", F.lit(NOISE).cast("long")))
 

@@ -3,7 +3,8 @@
 Rows are gathered in link cells, so small that all rows of a cell lie within the radius of each other. Cells meet in
 buckets four radii wide. The bounding box of a cell settles most questions; what it leaves open is compared row by row
 when the cells are small and split in four per axis when they are large, until every part is settled or small. No step
-therefore compares all rows of a group, however many rows share a cell.
+therefore compares all rows of a group, however many rows share a cell. The nearest row is found under a bound that shrinks
+from split to split.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skysweep.operators.graph import connected_components
@@ -200,6 +202,65 @@ def rows_within(
     return pairs, counted
 
 
+def nearest_within(
+    probes: DataFrame, rows: DataFrame, nodes: DataFrame, keys: Sequence[str], probe_id: str, tie: str, row_columns: Sequence[str], space: Space
+) -> DataFrame:
+    """The nearest row of the same keys within the radius of every probe that has one.
+
+    Result: the keys, ``{probe_id}_a``, ``distance2`` and ``tie`` and ``row_columns`` suffixed ``_b``. Of equally near rows
+    the one with the smallest ``tie`` is taken. ``probe_id`` is unique within the keys.
+
+    Every probe carries a bound, the far corner of the best cell it has met, and meets only cells that begin within it.
+    Small cells are compared row by row, large ones are split and the bound shrinks with their parts, so a probe never
+    lists the rows of its radius. Rows at one place count once when a cell is split, so a pile of copies is one row.
+    """
+    spaces = [space]
+    xs = list(space.columns)
+    identity = [*keys, f"{probe_id}_a"]
+    corners = [f"{e}_{c}" for c in xs for e in ("lo", "hi")]
+    bare = [*identity, *[f"{c}_a" for c in xs], *[f"{c}_a" for c in corners], "bound"]
+    payload = list(dict.fromkeys([tie, *row_columns]))
+    start = _as_box(probes.select(*keys, probe_id, *xs), spaces)
+    met = _meet(start, nodes.select(*keys, "node", "n", *corners), keys, space, bare)
+    found: list[DataFrame] = []
+
+    def narrow(met: DataFrame, source: DataFrame, on: list[str]) -> DataFrame | None:
+        """Settle the small cells; the large ones that may still hold the nearest row, or None."""
+        nearest_end = F.min(_reach(xs)).over(W.partitionBy(*identity))
+        close = met.filter(_all_linked(spaces, _gap)).withColumn("bound", F.least("bound", nearest_end))
+        close = cut_lineage(close.filter(_gap(xs) <= F.col("bound")))
+        small = F.col("n_b") <= DIRECT_ROWS
+        listed = close.filter(small).select(*identity, *[f"{c}_a" for c in xs], *on).join(suffixed(source, "_b"), on)
+        listed = listed.withColumn("distance2", _distance(xs)).filter(space.linked(F.col("distance2")))
+        best = listed.groupBy(*identity).agg(F.min(F.struct("distance2", *[f"{c}_b" for c in payload])).alias("best"))
+        found.append(cut_lineage(best))
+        large = close.filter(~small)
+        if large.isEmpty():
+            return None
+        told = found[-1].select(*identity, F.col("best.distance2").alias("settled"))
+        large = large.join(told, identity, "left").withColumn("bound", F.least("bound", "settled")).drop("settled")
+        return cut_lineage(large.filter(_gap(xs) <= F.col("bound")))
+
+    source = rows.select("node", *xs, *payload)
+    open_cells = narrow(met.withColumn("bound", F.lit(None).cast("double")), source, ["node_b"])
+    places = None
+    level = 1
+    while open_cells is not None and not open_cells.isEmpty():
+        if level > MAX_LEVELS:
+            raise RuntimeError("coordinates are finer than the split allows")
+        if places is None:
+            named = open_cells.select(F.col("node_b").alias("node")).distinct()
+            at_place = source.join(named, "node", "left_semi").groupBy("node", *xs).agg(F.min(F.struct(*payload)).alias("__first"))
+            places = cut_lineage(at_place.select("node", *xs, "__first.*"))
+        part = [f"part_{c}" for c in xs]
+        carried = [*bare, "node_b", *([f"{p}_b" for p in part] if level > 1 else [])]
+        down = _descend(open_cells.select(*carried), _parts(places, spaces, level), "b", spaces, level)
+        open_cells = narrow(down, places.withColumns(_part_columns(spaces, level)), ["node_b", *[f"{p}_b" for p in part]])
+        level += 1
+    nearest = reduce(DataFrame.unionByName, found).groupBy(*identity).agg(F.min("best").alias("best"))
+    return nearest.select(*identity, "best.*")
+
+
 def near_components(df: DataFrame, keys: Sequence[str], id_column: str, spaces: Sequence[Space], label: str = "component") -> DataFrame:
     """Label rows of the same keys that are linked directly or through others with the smallest id among them.
 
