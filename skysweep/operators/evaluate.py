@@ -20,6 +20,12 @@ from skysweep.session import cut_lineage
 
 SHAPE = [f"bbox_center_{a}" for a in "xyz"] + ["bbox_width", "bbox_length", "bbox_height"]
 MEASURES = {"aabb": iou_aabb, "major": iou_major}
+# Most cells of a table of gains that one task solves (32 MB); beyond it, pairs of a block, units of iou and cut of the
+# step of an auction.
+MATRIX = 4_000_000
+BLOCK = 2_000_000
+GAIN_UNITS = 1_000_000
+STEP_CUT = 8
 
 
 def _half(measure: str) -> tuple[Column, Column]:
@@ -80,21 +86,27 @@ def _assign(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(c, r) for r, c in found] if flipped else found
 
 
-def assign_pairs(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _ends() -> tuple[Column, Column]:
+    """Boxes of the left side as even, of the right side as odd numbers of one graph."""
+    return F.col("box_id_a") * 2, F.col("box_id_b") * 2 + 1
+
+
+def assign_pairs(pairs: DataFrame, keys: Sequence[str], matrix: int = MATRIX, block: int = BLOCK) -> DataFrame:
     """The pairs of a one-to-one assignment of largest total iou.
 
-    The overlap graph falls into components that share no box, and an assignment is best when it is best in each, so
-    only the boxes of one component meet in one task.
+    The overlap graph falls into components that share no box, and an assignment is best when it is best in each. The boxes
+    of a component meet in one task if its table of gains has at most ``matrix`` cells; larger ones are auctioned in blocks of
+    about ``block`` pairs, with ious rounded to a millionth.
     """
     pairs = cut_lineage(pairs)
-    left, right = F.col("box_id_a") * 2, F.col("box_id_b") * 2 + 1
+    left, right = _ends()
     edges = pairs.select(left.alias("src"), right.alias("dst"))
-    nodes = edges.select(F.col("src").alias("id")).distinct()
-    components = connected_components(nodes, edges)
-    # A lone pair is its own assignment and stays out of the grouped step.
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    components = cut_lineage(connected_components(nodes, edges))
+    is_left = F.col("id") % 2 == 0
+    sizes = components.groupBy("component").agg(F.count_if(is_left).alias("n_a"), F.count_if(~is_left).alias("n_b"))
     tagged = pairs.withColumn("id", left).join(components, "id").drop("id")
-    sizes = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n_pairs"))
-    sized = cut_lineage(tagged.join(sizes, "component"))
+    sized = cut_lineage(tagged.join(sizes.withColumn("cells", F.col("n_a") * F.col("n_b")), "component"))
     columns = [*keys, "box_id_a", "box_id_b", "iou"]
     schema = sized.select(*columns).schema
 
@@ -106,8 +118,94 @@ def assign_pairs(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
         spots = pd.DataFrame({"r": a[1], "c": b[1], "at": np.arange(len(pdf))})
         return pdf.iloc[row_of.merge(spots, on=["r", "c"])["at"]][columns]
 
-    solved = sized.filter("n_pairs > 1").groupBy("component").applyInPandas(solve, schema)
-    return sized.filter("n_pairs = 1").select(*columns).unionByName(solved)
+    # A lone pair is its own assignment and stays out of the grouped step.
+    single, small, large = F.col("cells") == 1, F.col("cells") <= matrix, F.col("cells") > matrix
+    solved = sized.filter(~single & small).groupBy("component").applyInPandas(solve, schema)
+    found = sized.filter(single).select(*columns).unionByName(solved)
+    crowded = sized.filter(~single & large)
+    if crowded.isEmpty():
+        return found
+    boxes = crowded.agg(F.max(F.col("n_a") + F.col("n_b"))).first()[0]
+    return found.unionByName(_auction(crowded.select("component", *columns), boxes, block).select(*columns))
+
+
+def _bids_of_block(step: int):
+    """Bids of the unplaced bidders of one block, one after the other, until none of the block is without a place."""
+
+    def bid(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bidder", kind="stable")
+        bidders, starts = np.unique(pdf["bidder"], return_index=True)
+        items, first, item_of = np.unique(pdf["item"], return_index=True, return_inverse=True)
+        ends = np.append(starts[1:], len(pdf))
+        gain = pdf["gain"].to_numpy(np.int64)
+        price = pdf["price"].to_numpy(np.int64)[first].copy()
+        # Owners of other blocks, or none (-1), stand in no place of this block.
+        named = pdf["owner"].fillna(-1).to_numpy(np.int64)[first]
+        at = np.minimum(np.searchsorted(bidders, named), len(bidders) - 1)
+        owner = np.where(bidders[at] == named, at, -1)
+        waiting = sorted(set(range(len(bidders))) - set(owner[owner >= 0].tolist()), reverse=True)
+        touched = np.zeros(len(items), dtype=bool)
+        while waiting:
+            who = waiting.pop()
+            wished = item_of[starts[who] : ends[who]]
+            value = gain[starts[who] : ends[who]] - price[wished]
+            best = int(value.argmax())
+            most, value[best] = value[best], np.iinfo(np.int64).min
+            what = wished[best]
+            price[what] += most - value.max() + step
+            if owner[what] >= 0:
+                waiting.append(int(owner[what]))
+            owner[what], touched[what] = who, True
+        return pd.DataFrame({"item": items[touched], "price": price[touched], "bidder": bidders[owner[touched]]})
+
+    return bid
+
+
+def _auction(pairs: DataFrame, boxes: int, block: int) -> DataFrame:
+    """Pairs of largest total iou, in units of 1 / GAIN_UNITS, for components of at most ``boxes`` boxes, by auction rounds.
+
+    Every box bids once and is bid for once: a box of the left side for its partners, a box of the right side, at no gain,
+    for its own, and each for itself, which means to stay alone. So all can be placed, and prices may be kept while the
+    step of the bids shrinks. Gains are whole numbers times more than the boxes of a component, so what the
+    last step, one, leaves is the best.
+
+    The bidders of a component fall into blocks of about ``block`` pairs. A block bids on its own at the prices of the round's
+    start; the highest bid for an item then takes it, and who lost a place bids again in the next round. Bids of other blocks only
+    raise the prices of what a bidder passed over, so its choice stays right. No task sees more than a block.
+    """
+    scale = boxes + 1
+    left, right = _ends()
+    units = F.round(F.col("iou") * GAIN_UNITS).cast("long") * scale
+    real = pairs.select("component", left.alias("bidder"), right.alias("item"), units.alias("gain"))
+    nothing = F.lit(0).cast("long").alias("gain")
+    ends = real.select("component", F.explode(F.array("bidder", "item")).alias("id")).distinct()
+    alone = ends.select("component", F.col("id").alias("bidder"), F.col("id").alias("item"), nothing)
+    back = real.select("component", F.col("item").alias("bidder"), F.col("bidder").alias("item"), nothing)
+    wishes = real.unionByName(back).unionByName(alone)
+    blocks = pairs.groupBy("component").agg(F.ceil(F.count(F.lit(1)) * 2 / F.lit(block)).alias("blocks"))
+    wishes = wishes.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("bidder"), "blocks")).drop("blocks")
+    wishes = cut_lineage(wishes)
+    homes = cut_lineage(wishes.select("component", "block", "bidder").distinct())
+    no_owner = F.lit(None).cast("long")
+    items = cut_lineage(ends.select(F.col("id").alias("item"), F.lit(0).cast("long").alias("price"), no_owner.alias("owner")))
+    step = GAIN_UNITS * scale // 4
+    while True:
+        # As many items as bidders: one item without an owner is one bidder without a place.
+        while not items.filter("owner is null").isEmpty():
+            placed = items.filter("owner is not null").select(F.col("owner").alias("bidder"))
+            calls = homes.join(placed, "bidder", "left_anti").select("component", "block").distinct()
+            told = wishes.join(calls, ["component", "block"], "left_semi").join(items, "item")
+            bids = told.groupBy("component", "block").applyInPandas(_bids_of_block(step), "item long, price long, bidder long")
+            top = bids.groupBy("item").agg(F.max(F.struct("price", "bidder")).alias("top"))
+            items = cut_lineage(items.join(top, "item", "left").select(
+                "item", F.coalesce("top.price", "price").alias("price"), F.coalesce("top.bidder", "owner").alias("owner")
+            ))
+        if step == 1:
+            break
+        step = max(1, step // STEP_CUT)
+        items = items.withColumn("owner", no_owner)
+    won = items.select(F.col("owner").alias("__l"), F.col("item").alias("__r"))
+    return pairs.join(won, (left == F.col("__l")) & (right == F.col("__r")), "left_semi")
 
 
 def match_boxes(detections: DataFrame, truth: DataFrame, threshold: float = 0.3, keys: Sequence[str] = FRAME, all_frames: bool = True) -> DataFrame:
