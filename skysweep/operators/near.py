@@ -261,6 +261,138 @@ def nearest_within(
     return nearest.select(*identity, "best.*")
 
 
+def kth_distances(
+    probes: DataFrame, rows: DataFrame, nodes: DataFrame, keys: Sequence[str], probe_id: str, rank: int, space: Space
+) -> DataFrame:
+    """Squared distance (``distance2``) from every probe to its ``rank``-th nearest row of the same keys.
+
+    Result: the keys, ``{probe_id}_a`` and ``distance2``; probes with fewer rows within the radius are left out. Copies count
+    each. ``probe_id`` is unique within the keys. The bound of a probe is the far corner of the cells that hold ``rank``
+    rows together, nearest far corner first; it shrinks as large cells are split, so no probe lists the rows of its radius.
+    """
+    spaces = [space]
+    xs = list(space.columns)
+    identity = [*keys, f"{probe_id}_a"]
+    corners = [f"{e}_{c}" for c in xs for e in ("lo", "hi")]
+    bare = [*identity, *[f"{c}_a" for c in xs], *[f"{c}_a" for c in corners], "bound"]
+    start = _as_box(probes.select(*keys, probe_id, *xs), spaces)
+    met = _meet(start, nodes.select(*keys, "node", "n", *corners), keys, space, bare)
+    found: list[DataFrame] = []
+
+    def full_at(df: DataFrame, count: str, distance: str) -> DataFrame:
+        """The first distance at which the rows of a probe number ``rank``."""
+        so_far = F.sum(count).over(W.partitionBy(*identity).orderBy(distance))
+        reached = df.withColumn("__so_far", so_far).filter(F.col("__so_far") >= rank)
+        return reached.groupBy(*identity).agg(F.min(distance).alias("__full"))
+
+    def narrow(met: DataFrame, source: DataFrame, on: list[str]) -> DataFrame | None:
+        close = met.filter(_all_linked(spaces, _gap)).withColumn("__far", _reach(xs))
+        so_far = F.sum("n_b").over(W.partitionBy(*identity).orderBy("__far"))
+        full = F.min(F.when(F.col("__so_far") >= rank, F.col("__far"))).over(W.partitionBy(*identity))
+        close = close.withColumn("__so_far", so_far).withColumn("bound", F.least("bound", full)).drop("__so_far", "__far")
+        close = cut_lineage(close.filter(F.col("bound").isNull() | (_gap(xs) <= F.col("bound"))))
+        small = F.col("n_b") <= DIRECT_ROWS
+        listed = close.filter(small).select(*identity, *[f"{c}_a" for c in xs], "bound", *on).join(suffixed(source, "_b"), on)
+        listed = listed.withColumn("distance2", _distance(xs)).filter(space.linked(F.col("distance2")))
+        listed = listed.filter(F.col("bound").isNull() | (F.col("distance2") <= F.col("bound")))
+        found.append(cut_lineage(listed.groupBy(*identity, "distance2").agg(F.sum("copies_b").alias("copies"))))
+        large = close.filter(~small)
+        if large.isEmpty():
+            return None
+        told = full_at(found[-1], "copies", "distance2")
+        large = large.join(told, identity, "left").withColumn("bound", F.least("bound", "__full")).drop("__full")
+        return cut_lineage(large.filter(F.col("bound").isNull() | (_gap(xs) <= F.col("bound"))))
+
+    source = rows.select("node", *xs, F.lit(1).alias("copies"))
+    open_cells = narrow(met.withColumn("bound", F.lit(None).cast("double")), source, ["node_b"])
+    places = None
+    level = 1
+    while open_cells is not None and not open_cells.isEmpty():
+        if level > MAX_LEVELS:
+            raise RuntimeError("coordinates are finer than the split allows")
+        if places is None:
+            named = open_cells.select(F.col("node_b").alias("node")).distinct()
+            places = cut_lineage(rows.join(named, "node", "left_semi").groupBy("node", *xs).agg(F.count(F.lit(1)).alias("copies")))
+        part = [f"part_{c}" for c in xs]
+        carried = [*bare, "node_b", *([f"{p}_b" for p in part] if level > 1 else [])]
+        # A part has as many rows as are compared, its places; the copies at them count towards the rank only when listed.
+        down = _descend(open_cells.select(*carried), _parts(places, spaces, level), "b", spaces, level)
+        open_cells = narrow(down, places.withColumns(_part_columns(spaces, level)), ["node_b", *[f"{p}_b" for p in part]])
+        level += 1
+    together = reduce(DataFrame.unionByName, found).groupBy(*identity, "distance2").agg(F.sum("copies").alias("copies"))
+    return full_at(together, "copies", "distance2").withColumnRenamed("__full", "distance2")
+
+
+def closest_between(rows: DataFrame, keys: Sequence[str], group: str, floor: str, space: Space) -> DataFrame:
+    """Smallest distance within the radius between every two groups of the same keys: ``src``, ``dst``, ``length2``.
+
+    The squared distance of two rows is at least the ``floor`` of either (a squared length that changes no faster than place
+    does). ``src`` and ``dst`` are groups, the smaller one first. Rows of a group that share a link cell are one node; pairs of nodes
+    carry a bound, the far corner of their best pair of parts, and parts that begin beyond it are not looked into.
+    """
+    spaces = [space]
+    xs = list(space.columns)
+    corners = [f"{e}_{c}" for c in xs for e in ("lo", "hi")]
+    cell = {f"cell_{c}": cell_of(F.col(c), _side(space)) for c in xs}
+
+    def boxes(df: DataFrame, by: Sequence[str]) -> DataFrame:
+        return df.groupBy(*by).agg(*_bounds(spaces), F.min(floor).alias("lo_floor"), F.max(floor).alias("hi_floor"))
+
+    placed = rows.select(*keys, group, floor, *xs).withColumns(cell)
+    nodes = cut_lineage(boxes(placed, [*keys, group, *cell]).withColumn("node", F.monotonically_increasing_id()))
+    members = placed.join(nodes.select(*keys, group, *cell, "node"), [*keys, group, *cell]).select("node", floor, *xs)
+    about = ["n", *corners, "lo_floor", "hi_floor"]
+    box = nodes.select(*keys, "node", group, *about)
+    met = _meet(box, box, keys, space, [])
+    met = met.filter((F.col("node_a") < F.col("node_b")) & (F.col(f"{group}_a") != F.col(f"{group}_b")))
+    pair = [f"{c}_{s}" for c in ("node", group) for s in "ab"]
+    found: list[DataFrame] = []
+    low = F.greatest(_gap(xs), "lo_floor_a", "lo_floor_b")
+    high = F.greatest(_reach(xs), "hi_floor_a", "hi_floor_b")
+
+    def narrow(met: DataFrame, source: DataFrame, part: list[str]) -> DataFrame | None:
+        least = met.withColumns({"low": low, "high": high}).filter(space.linked(F.col("low")))
+        best_end = F.min("high").over(W.partitionBy("node_a", "node_b"))
+        near = cut_lineage(least.withColumn("bound", F.least("bound", best_end)).filter(F.col("low") <= F.col("bound")))
+        known = F.col("low") == F.col("high")
+        small = F.col("n_a") * F.col("n_b") <= DIRECT_PAIRS
+        here = lambda s: [f"{p}_{s}" for p in ["node", *part]]
+        side = lambda s: source.select(*[F.col(c).alias(f"{c}_{s}") for c in ["node", *part, floor, *xs]])
+        compared = near.filter(~known & small).select(*dict.fromkeys([*pair, *here("a"), *here("b")]))
+        compared = compared.join(side("a"), here("a")).join(side("b"), here("b"))
+        compared = compared.withColumn("length2", F.greatest(_distance(xs), f"{floor}_a", f"{floor}_b"))
+        settled = near.filter(known).select(*pair, F.col("low").alias("length2")).unionByName(compared.select(*pair, "length2"))
+        settled = settled.filter(space.linked(F.col("length2"))).groupBy(*pair).agg(F.min("length2").alias("length2"))
+        found.append(cut_lineage(settled))
+        large = near.filter(~known & ~small)
+        if large.isEmpty():
+            return None
+        told = found[-1].select("node_a", "node_b", "length2")
+        large = large.join(told, ["node_a", "node_b"], "left").withColumn("bound", F.least("bound", "length2")).drop("length2")
+        return cut_lineage(large.filter(F.col("low") <= F.col("bound")))
+
+    open_pairs = narrow(met.withColumn("bound", F.lit(None).cast("double")), members, [])
+    tree = None
+    level = 1
+    part = [f"part_{c}" for c in xs]
+    while open_pairs is not None and not open_pairs.isEmpty():
+        if level > MAX_LEVELS:
+            raise RuntimeError("coordinates are finer than the split allows")
+        if tree is None:
+            named = open_pairs.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct()
+            tree = cut_lineage(members.join(named, "node", "left_semi").distinct())
+        above = {f"up_{c}": F.floor(F.col(f"part_{c}") / SPLIT).cast("long") for c in xs} if level > 1 else {}
+        parted = tree.withColumns(_part_columns(spaces, level)).withColumns(above)
+        parts = cut_lineage(boxes(parted, ["node", *part, *above]))
+        carried = [f"{p}_{s}" for p in part for s in "ab"] if level > 1 else []
+        down = _descend(open_pairs.select(*pair, "bound", *carried), parts, "a", spaces, level)
+        down = _descend(down, parts, "b", spaces, level)
+        open_pairs = narrow(down, parted.drop(*above), part)
+        level += 1
+    ends = {"src": F.least(f"{group}_a", f"{group}_b"), "dst": F.greatest(f"{group}_a", f"{group}_b")}
+    return reduce(DataFrame.unionByName, found).withColumns(ends).groupBy("src", "dst").agg(F.min("length2").alias("length2"))
+
+
 def near_components(df: DataFrame, keys: Sequence[str], id_column: str, spaces: Sequence[Space], label: str = "component") -> DataFrame:
     """Label rows of the same keys that are linked directly or through others with the smallest id among them.
 
