@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skysweep.functions.columns import label_of, pick_by_class
 from skysweep.functions.ranks import pivot_percentiles, wide_percentiles
 from skysweep.operators.boxfit import obb_yaw_pca
+from skysweep.operators.hierarchy import density_hierarchy
 from skysweep.operators.near import Space, cell_bounds, components_of_cells, link_cells, near_components, nearest_within, rows_within
 from skysweep.schema import FRAME, POSE, overlay_parameters
 from skysweep.session import cut_lineage
@@ -200,3 +201,8 @@ def density_cut(points: DataFrame, epsilon: float = 0.5, min_samples: int = 5, m
     sized = cored.join(sizes, [*FRAME, "cluster"])
     big = (F.col("cluster") != NOISE) & (F.col("__n") >= min_cluster_size)
     return sized.withColumn("cluster", F.when(big, F.col("cluster")).otherwise(F.lit(NOISE).cast("long"))).drop("__n")
+
+
+def hierarchy_cut(points: DataFrame, reach: float, epsilon: float = 0.5, min_samples: int = 5, min_cluster_size: int = 30) -> DataFrame:
+    """Class-free clusters of unlike density in every frame: the most stable ones of the density hierarchy up to ``reach``."""
+    return density_hierarchy(points, FRAME, reach, min_samples, min_cluster_size, epsilon)

@@ -20,11 +20,16 @@ SETTINGS = {
 }
 
 
-def detect(points: DataFrame, **settings) -> DataFrame:
-    """Points to detections: height filter, clustering, box, features, rules, merged cables; all frames at once."""
+def detect(points: DataFrame, reach: float | None = None, **settings) -> DataFrame:
+    """Points to detections: height filter, clustering, box, features, rules, merged cables; all frames at once.
+
+    With ``reach`` clusters are those of the density hierarchy up to that distance, else of one cut at ``epsilon``.
+    """
     s = SETTINGS | settings
     high = cluster.height_prefilter(points, s["min_height"], s["min_cluster_size"])
-    clustered = cut_lineage(cluster.density_cut(high, s["epsilon"], s["min_samples"], s["min_cluster_size"]))
+    size = (s["epsilon"], s["min_samples"], s["min_cluster_size"])
+    found = cluster.density_cut(high, *size) if reach is None else cluster.hierarchy_cut(cut_lineage(high), reach, *size)
+    clustered = cut_lineage(found)
     return boxfit.detect_objects(clustered, FRAME, s["min_elongation"], s["merge_distance"])
 
 
