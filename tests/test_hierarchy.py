@@ -133,3 +133,11 @@ def test_steps_follow_the_largest_component(spark, monkeypatch):
     path = spark.createDataFrame([(i, i + 1, float(i)) for i in range(20)], edges.schema)
     cuts = hierarchy.steps(edges.unionByName(path))
     assert cuts[-1] == (None, False) and [c for c, _ in cuts[:-1]] == [cuts[0][0]] * 2 and 8 <= cuts[0][0] <= 11
+
+
+def test_hierarchy_of_odd_rows_and_nothing(spark):
+    layout = "scene string, pose_index int, point_id long, x double, y double, z double"
+    rows = [("s", 0, i, 0.1 * i, 0.0, 0.0) for i in range(8)] + [("s", 0, 8, None, 0.0, 0.0), ("s", 0, 9, math.nan, 0.0, 0.0)]
+    found = hierarchy.density_hierarchy(spark.createDataFrame(rows, layout), KEYS, 5.0, 2, 4).collect()
+    assert {r.point_id: r.cluster for r in found} == {**dict.fromkeys(range(8), 0), 8: -1, 9: -1}
+    assert hierarchy.density_hierarchy(spark.createDataFrame([], layout), KEYS, 5.0, 2, 4).collect() == []
