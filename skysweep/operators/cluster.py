@@ -41,6 +41,13 @@ def voxel_if_large(points: DataFrame, keys: Sequence[str], max_points: int, size
     return small.unionByName(voxel_downsample(large, keys, size))
 
 
+def _neighbour_counts(probes: DataFrame, rows: DataFrame, nodes: DataFrame, keys: Sequence[str], space: Space) -> DataFrame:
+    """Keys, ``point_id`` and ``neighbours`` (rows within the radius, itself included) of every probe."""
+    pairs, counted = rows_within(probes, rows, nodes, keys, "point_id", [], space, whole_cells=True)
+    neighbours = pairs.groupBy(*keys, "point_id_a").agg(F.count(F.lit(1)).alias("n")).unionByName(counted)
+    return neighbours.groupBy(*keys, F.col("point_id_a").alias("point_id")).agg(F.sum("n").alias("neighbours"))
+
+
 def dbscan(points: DataFrame, keys: Sequence[str], eps: Column, min_samples: Column, borders: bool = True) -> DataFrame:
     """Density clusters per key: adds ``cluster`` (smallest core point_id, or -1 for noise).
 
@@ -54,11 +61,8 @@ def dbscan(points: DataFrame, keys: Sequence[str], eps: Column, min_samples: Col
     rows = cut_lineage(rows)
     dense = F.col("cell_rows") >= min_samples
     thin = rows.filter(~dense)
-    pairs, counted = rows_within(thin, rows, nodes, keys, "point_id", [], space, whole_cells=True)
     identity = [*keys, "point_id"]
-    neighbours = pairs.groupBy(*keys, "point_id_a").agg(F.count(F.lit(1)).alias("n")).unionByName(counted)
-    neighbours = neighbours.groupBy(*keys, F.col("point_id_a").alias("point_id")).agg(F.sum("n").alias("neighbours"))
-    thin_core = neighbours.filter(F.col("neighbours") >= min_samples).select(*identity)
+    thin_core = _neighbour_counts(thin, rows, nodes, keys, space).filter(F.col("neighbours") >= min_samples).select(*identity)
     # Core points stay in the link cells they already have.
     core_rows = cut_lineage(rows.filter(dense).unionByName(thin.join(thin_core, identity, "left_semi").select(*rows.columns)))
     core_nodes = core_rows.groupBy(*keys, "node").agg(*cell_bounds("point_id", [space]))
@@ -74,6 +78,32 @@ def dbscan(points: DataFrame, keys: Sequence[str], eps: Column, min_samples: Col
     return points.join(found, identity, "left").withColumn("cluster", F.coalesce("cluster", F.lit(NOISE).cast("long")))
 
 
+def core_clusters(points: DataFrame, keys: Sequence[str], eps: Column, densities: Sequence[int], carry: Sequence[str] = ()) -> DataFrame:
+    """Clusters of core points for several ``densities`` at once: keys, ``min_samples``, point_id, place, ``carry`` columns and ``cluster``.
+
+    The same as ``dbscan`` with ``borders=False`` for each density, without noise. Link cells and neighbours do not depend on the
+    density, so they are found once; only core points are repeated, once for every density that they reach.
+    """
+    space = Space(XYZ, eps)
+    columns = [*keys, "point_id", *XYZ, *carry]
+    rows, nodes = link_cells(points.select(*columns), keys, "point_id", [space])
+    rows = cut_lineage(rows)
+    wanted = sorted(set(densities))
+    dense = F.col("cell_rows") >= F.lit(wanted[-1])
+    thin = rows.filter(~dense)
+    counts = _neighbour_counts(thin, rows, nodes, keys, space).filter(F.col("neighbours") >= F.lit(wanted[0]))
+    known = rows.filter(dense).withColumn("neighbours", F.col("cell_rows")).unionByName(thin.join(counts, [*keys, "point_id"]).select(*rows.columns, "neighbours"))
+    levels = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("min_samples")) for i, m in enumerate(wanted)])
+    reached = F.filter(levels, lambda level: level["min_samples"] <= F.col("neighbours"))
+    cores = known.withColumn("level", F.explode(reached))
+    # A link cell is a node of its own for every density.
+    node = F.col("node") * F.lit(len(wanted)) + F.col("level.i")
+    cores = cut_lineage(cores.select(*columns, node.alias("node"), F.col("level.min_samples").alias("min_samples")))
+    by = [*keys, "min_samples"]
+    cells = cores.groupBy(*by, "node").agg(*cell_bounds("point_id", [space]))
+    return components_of_cells(cores, cells, by, [space], "cluster").drop("node")
+
+
 def class_dbscan(points: DataFrame, params: dict[str, Any]) -> DataFrame:
     """Clusters per frame and class with the radius and density of the class."""
     setting = lambda name: pick_by_class({c: v[name] for c, v in params["dbscan"].items()})

@@ -171,3 +171,21 @@ def test_large_groups_are_sampled_and_given_back(spark):
     boxes = cluster.extract_boxes(points, user).toPandas().sort_values("bbox_center_x")
     assert boxes["num_points"].tolist() == [120, 120]
     assert boxes["bbox_center_x"].round().tolist() == [0.0, 20.0]
+
+
+def test_core_clusters_of_several_densities_search_once(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    # A crowded cell, a loose cloud and strays: cells above, between and below the densities.
+    xyz = np.round(np.vstack([rng.normal(0, 0.1, (40, 3)), rng.normal((6, 0, 0), 0.9, (60, 3)), rng.uniform(-20, 20, (15, 3))]), 3)
+    points = points_frame(spark, xyz).withColumn("epsilon", F.explode(F.array(F.lit(0.8), F.lit(1.5))))
+    keys, densities = ["scene", "pose_index", "epsilon"], [4, 9, 20]
+    expected = set()
+    for least in densities:
+        cored = cluster.dbscan(points, keys, F.col("epsilon"), F.lit(least), borders=False).filter("cluster >= 0")
+        expected |= {(r.epsilon, least, r.point_id, r.cluster) for r in cored.collect()}
+    searches = []
+    search = cluster.rows_within
+    monkeypatch.setattr(cluster, "rows_within", lambda *a, **k: searches.append(1) or search(*a, **k))
+    found = cluster.core_clusters(points, keys, F.col("epsilon"), densities)
+    assert {(r.epsilon, r.min_samples, r.point_id, r.cluster) for r in found.collect()} == expected
+    assert len(searches) == 1 and found.count() == len(expected) > 0
