@@ -25,6 +25,8 @@ MEASURES = {"aabb": iou_aabb, "major": iou_major}
 MATRIX = 4_000_000
 BLOCK = 2_000_000
 GAIN_UNITS = 1_000_000
+# Pairs of small components that one call solves, one component after the other: a call costs far more than a few boxes.
+PART = 20_000
 STEP_CUT = 4
 
 
@@ -86,6 +88,25 @@ def _assign(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(c, r) for r, c in found] if flipped else found
 
 
+def _solved(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of the best assignment of every component of a part, one component after the other."""
+    pdf = pdf.sort_values("component", kind="stable")
+    component, iou = pdf["component"].to_numpy(), pdf["iou"].to_numpy()
+    left, right = pdf["box_id_a"].to_numpy(), pdf["box_id_b"].to_numpy()
+    ends = np.append(np.flatnonzero(component[1:] != component[:-1]) + 1, len(pdf))
+    kept: list[int] = []
+    start = 0
+    for end in ends:
+        a, row = np.unique(left[start:end], return_inverse=True)
+        b, column = np.unique(right[start:end], return_inverse=True)
+        gain, at = np.zeros((len(a), len(b))), np.full((len(a), len(b)), -1)
+        gain[row, column], at[row, column] = iou[start:end], np.arange(start, end)
+        # Boxes that share no pair may be put together at no gain.
+        kept += [int(at[r, c]) for r, c in _assign(gain) if at[r, c] >= 0]
+        start = end
+    return pdf.iloc[kept]
+
+
 def _ends() -> tuple[Column, Column]:
     """Boxes of the left side as even, of the right side as odd numbers of one graph."""
     return F.col("box_id_a") * 2, F.col("box_id_b") * 2 + 1
@@ -95,7 +116,7 @@ def assign_pairs(pairs: DataFrame, keys: Sequence[str], matrix: int = MATRIX, bl
     """The pairs of a one-to-one assignment of largest total iou.
 
     The overlap graph falls into components that share no box, and an assignment is best when it is best in each. The boxes
-    of a component meet in one task if its table of gains has at most ``matrix`` cells; larger ones are auctioned in blocks of
+    of a component meet in one task if its table of gains has at most ``matrix`` cells, many small components in one call; larger ones are auctioned in blocks of
     about ``block`` pairs, with ious rounded to a millionth.
     """
     pairs = cut_lineage(pairs)
@@ -109,18 +130,13 @@ def assign_pairs(pairs: DataFrame, keys: Sequence[str], matrix: int = MATRIX, bl
     sized = cut_lineage(tagged.join(sizes.withColumn("cells", F.col("n_a") * F.col("n_b")), "component"))
     columns = [*keys, "box_id_a", "box_id_b", "iou"]
     schema = sized.select(*columns).schema
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.unique(pdf["box_id_a"], return_inverse=True), np.unique(pdf["box_id_b"], return_inverse=True)
-        gain = np.zeros((len(a[0]), len(b[0])))
-        gain[a[1], b[1]] = pdf["iou"]
-        row_of = pd.DataFrame(_assign(gain), columns=["r", "c"])
-        spots = pd.DataFrame({"r": a[1], "c": b[1], "at": np.arange(len(pdf))})
-        return pdf.iloc[row_of.merge(spots, on=["r", "c"])["at"]][columns]
+    solve = lambda pdf: _solved(pdf)[columns]
 
     # A lone pair is its own assignment and stays out of the grouped step.
     single, small, large = F.col("cells") == 1, F.col("cells") <= matrix, F.col("cells") > matrix
-    solved = sized.filter(~single & small).groupBy("component").applyInPandas(solve, schema)
+    several = sized.filter(~single & small)
+    part = F.pmod(F.xxhash64("component"), F.lit(max(1, -(-several.count() // PART))))
+    solved = several.groupBy(part).applyInPandas(solve, schema)
     found = sized.filter(single).select(*columns).unionByName(solved)
     crowded = sized.filter(~single & large)
     if crowded.isEmpty():

@@ -80,3 +80,17 @@ def test_large_components_leave_the_grouped_step(spark, monkeypatch):
 
 def test_no_pairs(spark):
     assert assign_pairs(as_pairs(spark, []), ["scene", "pose_index"], matrix=0).count() == 0
+
+
+def test_one_call_solves_many_small_components(spark):
+    tables = list(components(8, 30, 6, False))
+    pairs = as_pairs(spark, tables)
+    # Rows of the components are mixed, as they come from a shuffle.
+    pdf = pairs.toPandas().sample(frac=1, random_state=1)
+    solved = evaluate._solved(pdf.assign(component=pdf["pose_index"]))
+    sums = solved.groupby("pose_index")["iou"].sum().reindex(range(len(tables)), fill_value=0)
+    assert np.allclose(sums, [exact(g) for g in tables]) and not solved["box_id_a"].duplicated().any() and not solved["box_id_b"].duplicated().any()
+    found = assign_pairs(pairs, ["scene", "pose_index"])
+    assert np.allclose(totals(found, len(tables)), [exact(g) for g in tables], atol=1e-9)
+    # Grouped by part, not by component.
+    assert "FlatMapGroupsInPandas" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "FlatMapGroupsInPandas [component" not in plan
