@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +14,28 @@ from skysweep.functions.columns import label_of, pick_by_class
 from skysweep.functions.ranks import pivot_percentiles, wide_percentiles
 from skysweep.operators.boxfit import obb_yaw_pca
 from skysweep.operators.hierarchy import density_hierarchy
-from skysweep.operators.near import Space, cell_bounds, components_of_cells, link_cells, near_components, nearest_within, rows_within
+from skysweep.operators.near import (
+    WHOLE_GROUP,
+    Space,
+    cell_bounds,
+    components_of_cells,
+    first_linked,
+    link_cells,
+    near_components,
+    nearest_within,
+    per_small_group,
+    rows_within,
+    split_groups,
+    squared_distances,
+)
 from skysweep.schema import FRAME, POSE, overlay_parameters
 from skysweep.session import cut_lineage
 
 XYZ = ("x", "y", "z")
 CLASS_KEYS = [*FRAME, "class_id", "class_label"]
 NOISE = -1
+# Most centroids of a group that go along with each of its points.
+FEW_CENTROIDS = 64
 
 
 def voxel_downsample(points: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
@@ -54,6 +71,38 @@ def dbscan(points: DataFrame, keys: Sequence[str], eps: Column, min_samples: Col
     A point counts itself; the radius is inclusive. Border points take the cluster of their nearest core point. With
     ``borders=False`` only core points are clustered. ``eps`` and ``min_samples`` may read key columns.
 
+    Groups of at most WHOLE_GROUP points are clustered from one table of distances each, larger ones over link cells.
+    """
+    small, large, total = split_groups(points, keys, WHOLE_GROUP)
+
+    def work(group: dict[str, np.ndarray]) -> np.ndarray:
+        order = np.argsort(group["id"], kind="stable")
+        ids, radius = group["id"][order], group["eps"][0]
+        squared = squared_distances([group[a][order] for a in XYZ])
+        close = squared <= radius * radius
+        core = close.sum(axis=1) >= np.maximum(group["least"][0], 1)
+        cluster = np.where(core, ids[first_linked(close & core & core[:, None])], NOISE)
+        if borders and core.any():
+            # Of equally near core points the first has the smallest id.
+            reached = np.where(close & core, squared, np.inf)
+            nearest = reached.argmin(axis=1)
+            edge = ~core & np.isfinite(reached[np.arange(len(ids)), nearest])
+            cluster[edge] = cluster[nearest[edge]]
+        found = np.empty_like(cluster)
+        found[order] = cluster
+        return found
+
+    # A group without one of its keys has no radius, so its points are noise.
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    columns = {"id": F.col("point_id").cast("long"), "eps": F.when(known, eps.cast("double")), "least": min_samples.cast("double")}
+    columns |= {a: F.col(a).cast("double") for a in XYZ}
+    clustered = cut_lineage(per_small_group(small, keys, total, columns, work, "cluster"))
+    return clustered if large is None else clustered.unionByName(_dbscan_by_cells(large, keys, eps, min_samples, borders))
+
+
+def _dbscan_by_cells(points: DataFrame, keys: Sequence[str], eps: Column, min_samples: Column, borders: bool) -> DataFrame:
+    """``dbscan`` of groups of any size.
+
     A link cell holding ``min_samples`` points is core as a whole, so only points of thinner cells search around them.
     """
     space = Space(XYZ, eps)
@@ -132,12 +181,30 @@ def reassign_points(points: DataFrame, clustered: DataFrame, params: dict[str, A
     multiple = float(params["reassign_radius_multiplier"])
     radius = pick_by_class({c: float(v["eps"]) * multiple for c, v in params["dbscan"].items()})
     space = Space(XYZ, radius, strict=True)
-    centroids = cluster_centroids(clustered, CLASS_KEYS).select(*CLASS_KEYS, "cluster", *XYZ)
-    rows, nodes = link_cells(centroids, CLASS_KEYS, "cluster", [space])
-    near = nearest_within(points, rows, nodes, CLASS_KEYS, "point_id", "cluster", [], space)
-    nearest = near.select(*CLASS_KEYS, F.col("point_id_a").alias("point_id"), F.col("cluster_b").alias("cluster"))
-    joined = points.drop("cluster").join(nearest, [*CLASS_KEYS, "point_id"], "left")
-    return joined.withColumn("cluster", F.coalesce("cluster", F.lit(NOISE).cast("long")))
+    centroids = cut_lineage(cluster_centroids(clustered, CLASS_KEYS).select(*CLASS_KEYS, "cluster", *XYZ))
+    few, many, _ = split_groups(centroids, CLASS_KEYS, FEW_CENTROIDS)
+    bare = points.drop("cluster")
+    noise = F.lit(NOISE).cast("long")
+
+    def distance(centroid: Column) -> Column:
+        gaps = [F.col(a) - centroid[a] for a in XYZ]
+        squared = reduce(lambda s, g: s + g * g, gaps[1:], gaps[0] * gaps[0])
+        return F.struct(squared.alias("distance2"), centroid["cluster"].alias("cluster"))
+
+    lists = few.groupBy(*CLASS_KEYS).agg(F.collect_list(F.struct(*XYZ, "cluster")).alias("__centroids"))
+    within = F.filter(F.transform("__centroids", distance), lambda c: space.linked(c["distance2"]))
+    met = bare.join(lists, CLASS_KEYS, "left")
+    nearest = met.withColumn("cluster", F.coalesce(F.array_min(within)["cluster"], noise)).drop("__centroids")
+    if many is None:
+        return nearest
+    # Points of groups with many centroids search among their cells.
+    crowded = cut_lineage(many.select(*CLASS_KEYS).distinct())
+    rows, nodes = link_cells(many, CLASS_KEYS, "cluster", [space])
+    probes = bare.join(crowded, CLASS_KEYS, "left_semi")
+    near = nearest_within(probes, rows, nodes, CLASS_KEYS, "point_id", "cluster", [], space)
+    named = near.select(*CLASS_KEYS, F.col("point_id_a").alias("point_id"), F.col("cluster_b").alias("cluster"))
+    found = probes.join(named, [*CLASS_KEYS, "point_id"], "left").withColumn("cluster", F.coalesce("cluster", noise))
+    return nearest.join(crowded, CLASS_KEYS, "left_anti").unionByName(found)
 
 
 def min_cluster_filter(clustered: DataFrame, keys: Sequence[str], smallest: Column) -> DataFrame:

@@ -5,17 +5,22 @@ buckets four radii wide. The bounding box of a cell settles most questions; what
 when the cells are small and split in four per axis when they are large, until every part is settled or small. No step
 therefore compares all rows of a group, however many rows share a cell. The nearest row is found under a bound that shrinks
 from split to split.
+
+Groups of at most ``WHOLE_GROUP`` rows need none of this: one table of distances holds them, and many such groups go to one call.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skysweep.operators.graph import connected_components
 from skysweep.operators.grid import cell_of, cells_between, suffixed
@@ -26,6 +31,9 @@ DIRECT_PAIRS = 1024
 DIRECT_ROWS = 32
 SPLIT = 4
 MAX_LEVELS = 24
+# Most rows of a group whose distances are taken as one table (a million numbers, 8 MB), and rows of such groups that one call gets.
+WHOLE_GROUP = 1024
+PART_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -94,6 +102,61 @@ def _side(space: Space) -> Column:
     return space.radius / F.lit(len(space.columns) ** 0.5) * F.lit(1 - 1e-9)
 
 
+def split_groups(df: DataFrame, keys: Sequence[str], most: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows of groups of at most ``most`` rows, those of larger groups (None if there are none), and the number of rows."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    above = F.col("__n") > most
+    total, larger = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count(F.when(above, 1))).first()
+    if not larger:
+        return df, None, total
+    same = [F.col(f"__own.{k}").eqNullSafe(F.col(f"__large.{k}")) for k in keys]
+    on = reduce(Column.__and__, same)
+    own, large = df.alias("__own"), sizes.filter(above).select(*keys).alias("__large")
+    return own.join(large, on, "left_anti"), own.join(large, on, "left_semi"), total
+
+
+def per_small_group(
+    df: DataFrame, keys: Sequence[str], rows: int, columns: dict[str, Column], work: Callable[[dict[str, np.ndarray]], np.ndarray], label: str
+) -> DataFrame:
+    """Add the whole number ``label`` that ``work`` gives the rows of every group; ``columns`` are what it reads, as numbers.
+
+    Groups are small, so one call gets many of them, in all about PART_ROWS of the ``rows``.
+    """
+    kept, read, by = df.columns, list(columns), list(keys)
+    schema = T.StructType([*df.schema.fields, T.StructField(label, T.LongType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        group = table.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+        values = {c: table.column(f"__{c}").to_numpy() for c in read}
+        found = np.empty(len(group), dtype=np.int64)
+        for at in np.split(order, starts[1:]):
+            found[at] = work({c: v[at] for c, v in values.items()})
+        return table.select(kept).append_column(label, pa.array(found))
+
+    part = F.pmod(F.xxhash64(*keys), F.lit(rows // PART_ROWS + 1)).alias("__part")
+    given = df.select(*kept, *[c.alias(f"__{name}") for name, c in columns.items()])
+    return given.groupBy(part).applyInArrow(run, schema)
+
+
+def squared_distances(places: Sequence[np.ndarray]) -> np.ndarray:
+    """Table of the squared distances between all rows of the coordinates ``places``."""
+    gaps = [p[:, None] - p[None, :] for p in places]
+    return reduce(lambda s, g: s + g * g, gaps[1:], gaps[0] * gaps[0])
+
+
+def first_linked(linked: np.ndarray) -> np.ndarray:
+    """Number of the first row that is linked to every row, directly or through others; ``linked`` is a symmetric table."""
+    label = np.arange(len(linked))
+    while True:
+        lower = np.minimum(label, np.where(linked, label, len(label)).min(axis=1))
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
 def link_cells(df: DataFrame, keys: Sequence[str], id_column: str, spaces: Sequence[Space]) -> tuple[DataFrame, DataFrame]:
     """Rows with the number of their link cell (``node``) and its size (``cell_rows``), and the table of cells."""
     cell = {f"cell_{c}": cell_of(F.col(c), _side(s)) for s in spaces for c in s.columns}
@@ -396,10 +459,31 @@ def closest_between(rows: DataFrame, keys: Sequence[str], group: str, floor: str
 def near_components(df: DataFrame, keys: Sequence[str], id_column: str, spaces: Sequence[Space], label: str = "component") -> DataFrame:
     """Label rows of the same keys that are linked directly or through others with the smallest id among them.
 
-    A link cell is one node, whatever the number of its rows. Two cells are joined when one pair of their rows is linked.
+    Small groups are labelled as a whole. In larger ones a link cell is one node, whatever the number of its rows, and two cells are
+    joined when one pair of their rows is linked. Rows without a key or place are left out.
     """
-    rows, nodes = link_cells(df, keys, id_column, spaces)
-    return components_of_cells(rows, nodes, keys, spaces, label).drop("node", "cell_rows")
+    small, large, total = split_groups(df, keys, WHOLE_GROUP)
+    radii = {f"radius{i}": s.radius.cast("double") for i, s in enumerate(spaces)}
+    needed = [*keys, id_column, *_coordinates(spaces)]
+    sides = [(s.columns, s.strict) for s in spaces]
+
+    def work(group: dict[str, np.ndarray]) -> np.ndarray:
+        order = np.argsort(group["id"], kind="stable")
+        linked = np.ones((len(order), len(order)), dtype=bool)
+        for i, (names, strict) in enumerate(sides):
+            squared, limit = squared_distances([group[c][order] for c in names]), group[f"radius{i}"][0] ** 2
+            linked &= squared < limit if strict else squared <= limit
+        found = np.empty(len(order), dtype=np.int64)
+        found[order] = group["id"][order][first_linked(linked)]
+        return found
+
+    complete = small.dropna(subset=needed).filter(reduce(Column.__and__, [r.isNotNull() for r in radii.values()]))
+    columns = {"id": F.col(id_column).cast("long")} | {c: F.col(c).cast("double") for c in _coordinates(spaces)} | radii
+    whole = per_small_group(complete, keys, total, columns, work, label)
+    if large is None:
+        return whole
+    rows, nodes = link_cells(large, keys, id_column, spaces)
+    return whole.unionByName(components_of_cells(rows, nodes, keys, spaces, label).drop("node", "cell_rows"))
 
 
 def components_of_cells(rows: DataFrame, nodes: DataFrame, keys: Sequence[str], spaces: Sequence[Space], label: str) -> DataFrame:
