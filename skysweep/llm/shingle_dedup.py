@@ -1,5 +1,8 @@
 """Near copies by the Jaccard similarity of their sets of five-word shingles.
 
+SimHash fingerprints of the shingles that differ in two bits or fewer (``near_dedup``) give the first candidates. Verified on the sets, they
+join most copies before any band is looked at; bands bring in the pairs of similarity 0.8 and more that differ in more bits.
+
 Minima of seeded hashes of a set agree for two sets with a chance equal to their similarity. A band is five of them, so sets of
 similarity s share one of 32 bands but for a chance of (1 - s^5)^32, three in a million at 0.8. Candidates whose sketches (two bits of
 every minimum) differ too much are left out, the others are verified on the sets themselves, so no link is wrong.
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skysweep.llm.common import arrow_pass, filter_by_row, stored
+from skysweep.llm.near_dedup import fingerprints, near_links
 from skysweep.operators.graph import connected_components
 
 SHINGLE = 5
@@ -113,6 +117,15 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(first, "src").join(second, "dst").filter(similar).select("src", "dst")
 
 
+def fingerprint_pairs(fps: DataFrame) -> DataFrame:
+    """Pairs (``src``, ``dst``) of sets (``id``, ``fp``) that join all whose fingerprints differ in two bits or fewer, perhaps by steps."""
+    firsts = stored(fps.groupBy("fp").agg(F.min("id").alias("first")))
+    equal = fps.join(firsts, "fp").select(F.col("first").alias("src"), F.col("id").alias("dst")).filter("src <> dst")
+    end = lambda fp, name: firsts.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    unlike = near_links(firsts).join(end("src", "a"), "src").join(end("dst", "b"), "dst")
+    return equal.unionByName(unlike.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))).distinct()
+
+
 def own_shingles(sets: DataFrame) -> DataFrame:
     """``id`` and ``own``: the number of shingles that no other of the sets has (sets without any are left out)."""
     each = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
@@ -131,15 +144,33 @@ def sketch_distance(a: str, b: str) -> Column:
     return reduce(Column.__add__, [F.bit_count(reduce(Column.bitwiseOR, [differ(p * words + i) for p in range(PLANES)])) for i in range(words)])
 
 
-def shingle_labels(filed: DataFrame, sets: DataFrame, least: float = LEAST, chosen: int = CHOSEN) -> DataFrame:
+def shingle_labels(filed: DataFrame, sets: DataFrame, least: float = LEAST, chosen: int = CHOSEN, *, known: DataFrame | None = None) -> DataFrame:
     """``id`` and ``label`` of sets that verified links join with others, as all similar pairs under one key would, perhaps by steps.
 
+    ``known`` links (``src``, ``dst``) join sets beforehand.
+
     ``filed`` has ``key``, ``id``, ``n`` (shingles), ``own`` (those of no other set) and ``sketch``. Of every key, about ``chosen`` sets that do not belong to its largest label
     are compared with all others of another label and leave; the links join labels, and keys of one label are settled. No pair of a key is left out.
     """
     columns = ("id", "n", "own", "sketch", "label")
-    labels = stored(filed.select("id", F.col("id").alias("label")).distinct())
-    rest = stored(filed.withColumn("label", F.col("id")))
+    ids = filed.select("id")
+    if known is not None:
+        ids = ids.unionByName(known.select(F.col("src").alias("id"))).unionByName(known.select(F.col("dst").alias("id")))
+    ids = ids.distinct()
+
+    def renamed(df: DataFrame, merged: DataFrame) -> DataFrame:
+        return df.join(merged.hint("merge"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+
+    def merged_by(edges: DataFrame) -> DataFrame:
+        """The label that takes the place of every ``label`` which the edges join with others."""
+        joined = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+        return stored(connected_components(joined, edges).select(F.col("id").alias("label"), "component"))
+
+    labels, rest = ids.withColumn("label", F.col("id")), filed.withColumn("label", F.col("id"))
+    if known is not None:
+        before = merged_by(known)
+        labels, rest = renamed(labels, before), renamed(rest, before)
+    labels, rest = stored(labels.select("id", "label")), stored(rest)
     tested: DataFrame | None = None
     while True:
         # Counted per label first, so that a hot key is combined before it meets.
@@ -177,11 +208,9 @@ def shingle_labels(filed: DataFrame, sets: DataFrame, least: float = LEAST, chos
             named = lambda side, name: labels.select(F.col("id").alias(side), F.col("label").alias(name))
             edges = links.join(named("src", "a").hint("merge"), "src").join(named("dst", "b").hint("merge"), "dst")
             edges = stored(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).filter("src <> dst").distinct())
-            joined = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-            merged = stored(connected_components(joined, edges).select(F.col("id").alias("label"), "component"))
-            renamed = lambda df: df.join(merged.hint("merge"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
-            labels = stored(renamed(labels).select("id", "label"))
-            rest = renamed(left)
+            merged = merged_by(edges)
+            labels = stored(renamed(labels, merged).select("id", "label"))
+            rest = renamed(left, merged)
         rest = rest.select("key", *columns)
         chosen *= GROWTH
 
@@ -197,16 +226,20 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         narrow = copy.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
         rows = stored(set_digests(narrow, ["row", "doc_id"], "__text"))
         named = stored(rows.groupBy("digest").agg(F.min("row").alias("id")))
-        filed = rows.join(named.select(F.col("id").alias("row")), "row").select("row", "n", "sketch", F.explode("bands").alias("key"))
-        filed = stored(filed.withColumnRenamed("row", "id"))
+        first = rows.join(named.select(F.col("id").alias("row")), "row").withColumnRenamed("row", "id")
+        # Keys alone meet first; sizes and sketches go only to those that sets share.
+        filed = first.select("id", F.explode("bands").alias("key"))
         shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
         met = stored(filed.join(shared, "key"))
-        some = narrow.join(met.select(F.col("id").alias("row")).distinct(), "row")
-        sets = stored(shingle_sets(some, ["row"], "__text").withColumnRenamed("row", "id"))
-        met = met.join(own_shingles(sets), "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-        labels = shingle_labels(met, sets, least)
+        fps = fingerprints(narrow, ["row"], "__text", SHINGLE).withColumnRenamed("row", "id")
+        pairs = stored(fingerprint_pairs(stored(fps.join(named.select("id"), "id"))))
+        ends = pairs.select(F.col("src").alias("row")).union(pairs.select("dst"))
+        wanted = stored(met.select(F.col("id").alias("row")).union(ends).distinct())
+        sets = stored(shingle_sets(narrow.join(wanted, "row"), ["row"], "__text").withColumnRenamed("row", "id"))
+        about = first.select("id", "n", "sketch").join(own_shingles(sets), "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        labels = shingle_labels(met.join(about, "id"), sets, least, known=stored(verified(pairs, sets, least)))
         found = stored(named.join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component")))
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-        return rows.select("row", "doc_id", "digest").join(found, "digest").groupBy("component").agg(first).select(F.col("first.row").alias(row))
+        smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+        return rows.select("row", "doc_id", "digest").join(found, "digest").groupBy("component").agg(smallest).select(F.col("first.row").alias(row))
 
     return filter_by_row(docs, kept)

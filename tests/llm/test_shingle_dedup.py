@@ -125,3 +125,16 @@ def test_texts_that_only_share_bands_with_a_pile_are_not_compared_with_it(spark,
     kept = shingle_dedup.drop_similar(make_docs(rows))
     assert Counter(r.doc_id for r in kept.collect()) == brute_kept(rows)
     assert sum(pairs) < 4000
+
+
+def test_close_fingerprints_join_copies_before_any_band(spark, make_docs, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    # Copies with one change, whose fingerprints are mostly close, and a text of its own.
+    rows = [(i, " ".join(changed(rng, base, 1))) for i in range(30)] + [(90, " ".join(f"v{i}" for i in range(50)))]
+    found = []
+    real = shingle_dedup.shingle_labels
+    monkeypatch.setattr(shingle_dedup, "shingle_labels", lambda *a, known: found.append(known.collect()) or real(*a, known=known))
+    kept = shingle_dedup.drop_similar(make_docs(rows))
+    assert Counter(r.doc_id for r in kept.collect()) == brute_kept(rows) == Counter([0, 90])
+    assert len(found) == 1 and len(found[0]) >= 5
