@@ -29,6 +29,10 @@ def obstacles(inp: Inputs):
     return stored(inp.points.filter("class_id >= 0").select(*GROUP, "point_id", *XYZ))
 
 
+def unnumbered_obstacles(inp: Inputs):
+    return stored(inp.points_unnumbered.filter("class_id >= 0").select(*GROUP, *XYZ))
+
+
 def all_points(inp: Inputs):
     return stored(inp.points.select(*GROUP, "point_id", *XYZ))
 
@@ -250,7 +254,7 @@ def _(inp: Inputs):
 
 @query("obb_yaw_pca", with_ctes("cpoints", f"select {GKEYS}, {', '.join(BOX_VALUES)}, num_points from obb", extra=obb_sql("cpoints", GKEYS)))
 def _(inp: Inputs):
-    boxes = boxfit.obb_yaw_pca(obstacles(inp), GROUP)
+    boxes = boxfit.obb_yaw_pca(unnumbered_obstacles(inp), GROUP)
     return rounded(boxes.withColumn("bbox_yaw", half_turn(F.col("bbox_yaw"))), BOX_VALUES, 5)
 
 
@@ -281,20 +285,20 @@ minrect as (select scene, pose_index, class_id, n_points, {cx} as bbox_center_x,
     ),
 )
 def _(inp: Inputs):
-    boxes = boxfit.obb_min_area(obstacles(inp), [*schema.FRAME, "class_id"])
+    boxes = boxfit.obb_min_area(unnumbered_obstacles(inp), [*schema.FRAME, "class_id"])
     boxes = rounded(boxes, ["bbox_length", "bbox_width", "bbox_height"], 4)
     return rounded(boxes, [f"bbox_center_{a}" for a in XYZ], 5).drop("bbox_yaw", "bbox_volume")
 
 
 @query("obb_pca3d")
 def _(inp: Inputs):
-    boxes = boxfit.obb_pca3d(obstacles(inp), [*schema.FRAME, "class_id"])
+    boxes = boxfit.obb_pca3d(unnumbered_obstacles(inp), [*schema.FRAME, "class_id"])
     return rounded(boxes, [f"bbox_center_{a}" for a in XYZ] + ["bbox_length", "bbox_width", "bbox_height", "bbox_volume"], 4)
 
 
 @query("principal_direction")
 def _(inp: Inputs):
-    return rounded(boxfit.principal_direction(obstacles(inp), [*schema.FRAME, "class_id"]), ["dx", "dy", "dz"], 5)
+    return rounded(boxfit.principal_direction(unnumbered_obstacles(inp), [*schema.FRAME, "class_id"]), ["dx", "dy", "dz"], 5)
 
 
 FEATURES = MINRECT + """,
@@ -308,7 +312,7 @@ _CLUSTER = [*schema.FRAME, "class_id"]
 
 
 def _features(inp: Inputs):
-    points = obstacles(inp)
+    points = unnumbered_obstacles(inp)
     return boxfit.cluster_features(points, boxfit.obb_min_area(points, _CLUSTER), _CLUSTER)
 
 

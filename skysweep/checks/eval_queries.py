@@ -95,7 +95,7 @@ union all select 'all', n_points, hei, elongation from feat) f group by class_la
     ),
 )
 def _(inp: Inputs):
-    points = cluster_queries.obstacles(inp)
+    points = cluster_queries.unnumbered_obstacles(inp)
     features = cut_lineage(boxfit.cluster_features(points, boxfit.obb_min_area(points, cluster_queries.GROUP), cluster_queries.GROUP))
     profile = rounded(evaluate.cluster_profile(features), ["mean_points", "median_points"])
     return rounded(profile, ["mean_height", "mean_elongation", "min_elongation", "max_elongation", "elongation_q1", "elongation_median", "elongation_q3"], 4)

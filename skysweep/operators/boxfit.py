@@ -7,17 +7,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skysweep.functions.columns import rnd, wrap_angle
-from skysweep.operators.near import Space, near_components
+from skysweep.operators.near import WHOLE_GROUP, Space, near_components, part_of, rows_by_group, split_groups
 from skysweep.schema import BACKGROUND_ID, CLASS_NAMES
 from skysweep.session import cut_lineage
 
 # Covariances are rounded here so that a cluster without a direction has none in any order of summation.
 COV_DIGITS = 9
+# Centre, sides and edge angle of a rectangle.
+_RECTANGLE = ("cx", "cy", "along", "across", "angle")
 
 
 def obb_yaw_pca(points: DataFrame, keys: Sequence[str], padding: Column | float = 0.0) -> DataFrame:
@@ -59,22 +62,25 @@ def obb_yaw_pca(points: DataFrame, keys: Sequence[str], padding: Column | float
 
 def _hull(xy: np.ndarray) -> np.ndarray:
     """Corner points of the convex hull, counter-clockwise."""
-    ordered = np.unique(xy, axis=0)
+    known = xy[~np.isnan(xy).any(axis=1)]
+    ordered = known[np.lexsort((known[:, 1], known[:, 0]))]
+    ordered = ordered[np.r_[True, (np.diff(ordered, axis=0) != 0).any(axis=1)][: len(ordered)]]
     if len(ordered) < 3:
         return ordered
 
-    def half(chain: np.ndarray) -> list[np.ndarray]:
-        corners: list[np.ndarray] = []
+    def half(chain: list[list[float]]) -> list[list[float]]:
+        corners: list[list[float]] = []
         for p in chain:
             while len(corners) > 1:
-                a, b = corners[-1] - corners[-2], p - corners[-1]
-                if a[0] * b[1] - a[1] * b[0] > 0:
+                (ox, oy), (ex, ey) = corners[-2], corners[-1]
+                if (ex - ox) * (p[1] - ey) - (ey - oy) * (p[0] - ex) > 0:
                     break
                 corners.pop()
             corners.append(p)
         return corners[:-1]
 
-    return np.array(half(ordered) + half(ordered[::-1]))
+    chain = ordered.tolist()
+    return np.array(half(chain) + half(chain[::-1]))
 
 
 def _smallest_rectangle(corners: np.ndarray) -> tuple[float, float, float, float, float] | None:
@@ -143,12 +149,29 @@ def hull_corners(points: DataFrame, keys: Sequence[str], shards: int = 32) -> Da
     return sharded.groupBy(*keys, "__shard").applyInPandas(lambda pdf: reduce_frame(pdf), schema)
 
 
-def obb_min_area(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Smallest-area upright box of every cluster of four or more points; the longer side is the length.
+def _rectangles_of_small(points: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Keys, ``n_points``, heights and smallest rectangle of every cluster of four or more points; many clusters go to one call."""
+    fields = [f for f in points.schema.fields if f.name in keys]
+    kept = [f.name for f in fields]
+    numbers = [T.StructField(name, T.DoubleType()) for name in ("__z0", "__z1", *_RECTANGLE)]
+    schema = T.StructType([*fields, T.StructField("n_points", T.LongType()), *numbers])
 
-    A cluster whose points lie on one horizontal line takes its principal-axes box.
-    """
-    keys = list(keys)
+    def run(table: pa.Table) -> pa.Table:
+        x, y, z = (table.column(a).to_numpy() for a in "xyz")
+        xy = np.stack([x, y], axis=1)
+        clusters = [at for at in rows_by_group(table, kept) if len(at) >= 4]
+        found = [(np.fmin.reduce(z[at]), np.fmax.reduce(z[at]), *(_smallest_rectangle(_hull(xy[at])) or (None,) * 5)) for at in clusters]
+        named = table.select(kept).take(pa.array([at[0] for at in clusters], pa.int64()))
+        named = named.append_column("n_points", pa.array([len(at) for at in clusters], pa.int64()))
+        for i, number in enumerate(numbers):
+            named = named.append_column(number.name, pa.array([row[i] for row in found], pa.float64(), from_pandas=True))
+        return named
+
+    return points.groupBy(part_of(kept, rows)).applyInArrow(run, schema)
+
+
+def _rectangles_of_large(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for clusters of any size, over the corners of their hulls."""
     sums = points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_points"), F.min("z").alias("__z0"), F.max("z").alias("__z1")
     ).filter("n_points >= 4")
@@ -158,13 +181,27 @@ def obb_min_area(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         found = _smallest_rectangle(_hull(pdf[["x", "y"]].to_numpy()))
         row = {name: pdf[name].iloc[0] for name in keys}
-        row |= dict(zip(("cx", "cy", "along", "across", "angle"), found or (None,) * 5))
+        row |= dict(zip(_RECTANGLE, found or (None,) * 5))
         return pd.DataFrame([row])
 
-    rectangles = corners.groupBy(*keys).applyInPandas(
-        fit, f"{key_schema}, cx double, cy double, along double, across double, angle double"
-    )
-    both = sums.join(rectangles, keys)
+    rectangles = corners.groupBy(*keys).applyInPandas(fit, ", ".join([key_schema, *[f"{name} double" for name in _RECTANGLE]]))
+    return sums.join(rectangles, keys)
+
+
+def obb_min_area(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Smallest-area upright box of every cluster of four or more points; the longer side is the length.
+
+    A cluster whose points lie on one horizontal line takes its principal-axes box. Clusters of at most WHOLE_GROUP points are
+    fitted many to a call, larger ones over the corners of their hulls.
+    """
+    keys = list(keys)
+    points = points.select(*keys, *[F.col(a).cast("double").alias(a) for a in "xyz"]).dropna(subset=keys)
+    small, large, total = split_groups(points, keys, WHOLE_GROUP)
+    both = _rectangles_of_small(small, keys, total)
+    if large is not None:
+        both = both.unionByName(_rectangles_of_large(large, keys))
+    # Read twice, for upright and for flat clusters.
+    both = cut_lineage(both)
     turn = F.when(F.col("across") > F.col("along"), F.col("angle") + F.pi() / 2).otherwise(F.col("angle"))
     length, width = F.greatest("along", "across"), F.least("along", "across")
     height = F.col("__z1") - F.col("__z0")

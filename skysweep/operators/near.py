@@ -126,18 +126,28 @@ def per_small_group(
     schema = T.StructType([*df.schema.fields, T.StructField(label, T.LongType())])
 
     def run(table: pa.Table) -> pa.Table:
-        group = table.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy()
-        order = np.argsort(group, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
         values = {c: table.column(f"__{c}").to_numpy() for c in read}
-        found = np.empty(len(group), dtype=np.int64)
-        for at in np.split(order, starts[1:]):
+        found = np.empty(len(table), dtype=np.int64)
+        for at in rows_by_group(table, by):
             found[at] = work({c: v[at] for c, v in values.items()})
         return table.select(kept).append_column(label, pa.array(found))
 
-    part = F.pmod(F.xxhash64(*keys), F.lit(rows // PART_ROWS + 1)).alias("__part")
     given = df.select(*kept, *[c.alias(f"__{name}") for name, c in columns.items()])
-    return given.groupBy(part).applyInArrow(run, schema)
+    return given.groupBy(part_of(keys, rows)).applyInArrow(run, schema)
+
+
+def part_of(keys: Sequence[str], rows: int) -> Column:
+    """Number of the part a group falls to; parts hold about PART_ROWS of the ``rows``."""
+    return F.pmod(F.xxhash64(*keys), F.lit(rows // PART_ROWS + 1)).alias("__part")
+
+
+def rows_by_group(table: pa.Table, keys: Sequence[str]) -> list[np.ndarray]:
+    """Row numbers of every group of a part."""
+    by = list(keys)
+    group = table.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+    return np.split(order, starts[1:])
 
 
 def squared_distances(places: Sequence[np.ndarray]) -> np.ndarray:

@@ -43,6 +43,35 @@ def test_flat_hull_takes_the_principal_axes(spark):
     assert row.bbox_length == pytest.approx(np.hypot(9, 4.5)) and row.bbox_width == pytest.approx(0, abs=1e-9)
 
 
+def test_small_clusters_are_fitted_many_to_a_call(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"s{c % 3}", c, *p) for c in range(300) for p in rng.integers(-20, 20, (int(rng.integers(2, 40)), 3)).astype(float).tolist()]
+    rows += [("s0", 500, float(i), 2.0, float(i % 3)) for i in range(6)] + [("s1", 501, 1.0, 1.0, 1.0)] * 5
+    rows += [("s1", 502, 0.0, 0.0, 0.0), ("s1", 502, 4.0, 0.0, 1.0), ("s1", 502, 0.0, 3.0, 0.0), ("s1", 502, None, 9.0, 2.0)]
+    rows += [(None, 503, float(i), float(i * i), 0.0) for i in range(6)]
+    points = spark.createDataFrame(rows, "scene string, cluster long, x double, y double, z double")
+
+    def boxes():
+        found = boxfit.obb_min_area(points, ["scene", "cluster"]).collect()
+        return {(r.scene, r.cluster): (r.n_points, r.bbox_length, r.bbox_width, r.bbox_height, r.bbox_center_x, r.bbox_center_z) for r in found}
+
+    with monkeypatch.context() as patched:
+        # Clusters of a few points need no stages of their own for the corners of hulls.
+        patched.setattr(boxfit, "hull_corners", None)
+        small = boxes()
+    monkeypatch.setattr(boxfit, "WHOLE_GROUP", 12)
+    mixed = boxes()
+    sizes = {}
+    for scene, cluster, *_ in rows:
+        if scene is not None:
+            sizes[scene, cluster] = sizes.get((scene, cluster), 0) + 1
+    assert {k: v[0] for k, v in small.items()} == {k: n for k, n in sizes.items() if n >= 4}
+    assert small["s1", 502][:4] == (4, pytest.approx(4), pytest.approx(3), pytest.approx(2))
+    assert mixed.keys() == small.keys()
+    for key, box in small.items():
+        assert box[:4] == pytest.approx(mixed[key][:4], abs=1e-9)
+
+
 def test_yaw_box_and_padding(spark):
     row = boxfit.obb_yaw_pca(frame(spark, rectangle(30)), ["cluster"], 0.5).first()
     assert row.bbox_height == pytest.approx(7.0)
