@@ -205,7 +205,7 @@ where n >= 30 and z - z5 > 0.5 qualify count(*) over (partition by scene, pose_i
 
 @query("height_prefilter", with_ctes("high", "select scene, pose_index, point_id, x, y, z from high"))
 def _(inp: Inputs):
-    return cluster.height_prefilter(inp.points).select(*schema.FRAME, "point_id", *XYZ)
+    return cluster.height_prefilter(all_points(inp)).select(*schema.FRAME, "point_id", *XYZ)
 
 
 _CUT = """hpoints as (select *, row_number() over (order by scene, pose_index, point_id) as gid from high),
