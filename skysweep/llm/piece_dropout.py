@@ -28,10 +28,10 @@ SEED = 31_337
 #: Chunks with more characters run through an agenda of their own.
 LONG = 256
 #: Characters of text whose chunks are held at a time, and chunks whose agendas move at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 TOGETHER = 1 << 12
 #: Runs that a task remembers, and most merges of a run that is remembered.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 WIDEST = 63
 #: Pairs that make a piece are looked up in two to this many hash buckets.
 SLOT_BITS = 20
@@ -544,7 +544,7 @@ def encode_documents(
         for rows in batches:
             texts = [r["text"] for r in rows]
             made = model.encode_arrays(texts, [r["key"] for r in rows], dropout)
-            yield [len(m) for m in made], [m.tolist() for m in made], [model.written(m)[1:] == (t or "").encode() for m, t in zip(made, texts)]
+            yield [len(m) for m in made], made, [model.written(m)[1:] == (t or "").encode() for m, t in zip(made, texts)]
         # The worker lives on after the task; what it remembers must not.
         model.runs.clear()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 
 import public_tokenizers
@@ -128,6 +129,19 @@ def test_slices_change_nothing(pieces, monkeypatch):
     assert piece_dropout.PieceModel(PIECES).encode_texts(given, [2] * len(given), 0.2) == want
 
 
+def test_a_worker_remembers_little(pieces):
+    """Words that hardly ever come again: what a task holds stays small."""
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(3_000)) for _ in range(80)]
+    pieces.runs.clear()
+    tracemalloc.start()
+    pieces.encode_arrays(texts, list(range(len(texts))), 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pieces.runs.clear()
+    assert peak < 90e6
+
+
 def test_piece_query_takes_odd_rows(make_docs):
     rows = [(r[0], r[1]) for r in ODD_ROWS]
     found = piece_dropout.encode_documents(make_docs(rows, CLASHES), PIECES).collect()
