@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from itertools import permutations
 
 import numpy as np
@@ -120,3 +121,29 @@ def test_forest_finds_the_telling_feature(spark):
     loss = {r.feature: r.importance for r in classify.perm_importance(model, test, repeats=3).collect()}
     assert set(loss) == set(classify.FEATURES)
     assert loss["height"] > 0.3 and max(loss, key=loss.get) == "height" and loss["footprint"] == 0.0
+
+
+class Stub:
+    """An estimator whose fits only return when two run at a time."""
+
+    def __init__(self, barrier):
+        self.barrier = barrier
+
+    def copy(self):
+        return self
+
+    def fit(self, rows):
+        self.barrier.wait(timeout=60)
+        self.transform = lambda df: df.withColumn("prediction", F.lit(1.0))
+        return self
+
+
+def test_folds_are_fitted_side_by_side_from_the_rows_given(spark, monkeypatch):
+    def written_again(_):
+        raise AssertionError("the rows are written once more")
+
+    monkeypatch.setattr(classify, "cut_lineage", written_again)
+    rows = spark.range(40).select((F.col("id") % 4).cast("int").alias("fold"), (F.col("id") % 2).cast("double").alias("label"))
+    counts = classify.cross_validated(rows, Stub(threading.Barrier(2)), 4).collect()
+    assert sum(r.n for r in counts) == 40
+    assert classify.forest().getCacheNodeIds()
