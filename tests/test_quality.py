@@ -7,6 +7,8 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from skysweep.functions.iou import iou_aabb
@@ -147,3 +149,23 @@ def test_folds_are_fitted_side_by_side_from_the_rows_given(spark, monkeypatch):
     counts = classify.cross_validated(rows, Stub(threading.Barrier(2)), 4).collect()
     assert sum(r.n for r in counts) == 40
     assert classify.forest().getCacheNodeIds()
+
+
+def test_shuffles_multiply_donors_but_no_rows(spark):
+    """Only the single values of donors are laid out per shuffle; rows with their vectors join by rank."""
+    rng = np.random.default_rng(8)
+    rows = [(i, float(i % 2), Vectors.dense([float(i % 2), float(rng.normal())])) for i in range(60)]
+    test = spark.createDataFrame(rows, ["box_id", "label", "features"])
+
+    class Model:
+        plans: list[str] = []
+
+        def transform(self, df):
+            self.plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return df.withColumn("prediction", vector_to_array("features")[0])
+
+    model = Model()
+    found = {r.feature: (r.importance, r.std) for r in classify.perm_importance(model, test, 4, ["told", "noise"]).collect()}
+    assert found["noise"] == (0.0, 0.0) and 0.2 < found["told"][0] < 0.8
+    # Donors once, and once more for the sizes of their buckets.
+    assert model.plans[0].count("Generate explode") == 2
