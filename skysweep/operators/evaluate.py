@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from skysweep.functions.ranks import pivot_percentiles, wide_percentiles
 from skysweep.operators import boxfit, cluster
 from skysweep.operators.graph import connected_components
 from skysweep.operators.grid import overlapping_pairs
+from skysweep.operators.near import WHOLE_GROUP, part_of
 from skysweep.schema import CLASS_NAMES, FRAME
 from skysweep.session import cut_lineage
 
@@ -28,6 +31,11 @@ GAIN_UNITS = 1_000_000
 # Pairs of small components that one call solves, one component after the other: a call costs far more than a few boxes.
 PART = 20_000
 STEP_CUT = 4
+# Pairs of boxes of small groups that are measured at a time, cells of the tables of gains that are solved side by side, and
+# the widest such table.
+MEASURED = 500_000
+SIDE_BY_SIDE = 1_000_000
+WIDEST = 64
 
 
 def _half(measure: str) -> tuple[Column, Column]:
@@ -224,13 +232,200 @@ def _auction(pairs: DataFrame, boxes: int, block: int) -> DataFrame:
     return pairs.join(won, (left == F.col("__l")) & (right == F.col("__r")), "left_semi")
 
 
+# --- assignment in small groups ----------------------------------------------------------------------------------
+
+
+def _assign_many(gains: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """``_assign`` of many tables side by side: the row of every column, or -1.
+
+    Tables have no more rows than columns and are padded to one shape; ``rows`` and ``columns`` are their own sizes.
+    """
+    count, _, wide = gains.shape
+    cost = np.where(np.arange(wide) < columns[:, None, None], -gains, np.inf)
+    row_price, col_price = np.zeros(gains.shape[:2]), np.zeros((count, wide))
+    owner = np.full((count, wide), -1)
+    for start in range(int(rows.max())):
+        table = np.flatnonzero(rows > start)
+        distance, back = np.full((len(table), wide), np.inf), np.full((len(table), wide), -1)
+        done = np.zeros((len(table), wide), dtype=bool)
+        row, column, reached = np.full(len(table), start), np.full(len(table), -1), np.zeros(len(table))
+        live = np.arange(len(table))
+        while len(live):
+            at, of = table[live], row[live]
+            offered = reached[live, None] + cost[at, of] - row_price[at, of][:, None] - col_price[at]
+            far, closed = distance[live], done[live]
+            better = ~closed & (offered < far)
+            far = np.where(better, offered, far)
+            distance[live], back[live] = far, np.where(better, column[live, None], back[live])
+            nearest = np.where(closed, np.inf, far).argmin(axis=1)
+            column[live], reached[live] = nearest, far[np.arange(len(live)), nearest]
+            done[live, nearest] = True
+            row[live] = owner[at, nearest]
+            live = live[row[live] >= 0]
+        settled = done & (np.arange(wide) != column[:, None])
+        which, where = np.nonzero(settled)
+        row_price[table, start] += reached
+        less = reached[which] - distance[which, where]
+        row_price[table[which], owner[table[which], where]] += less
+        col_price[table[which], where] -= less
+        live = np.arange(len(table))
+        while len(live):
+            previous = back[live, column[live]]
+            owner[table[live], column[live]] = np.where(previous < 0, start, owner[table[live], previous])
+            column[live] = previous
+            live = live[previous >= 0]
+    return owner
+
+
+def _components(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node of the component of every node."""
+    label = np.arange(nodes)
+    while True:
+        lower = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(lower, label[a], least)
+        np.minimum.at(lower, label[b], least)
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def _best_of(a: np.ndarray, b: np.ndarray, iou: np.ndarray, nodes: int) -> np.ndarray:
+    """Numbers of the pairs of the best assignment of every component; ``a`` and ``b`` are nodes, in the order of groups, sides and ids."""
+    label = _components(nodes, a, b)
+    left, right = np.unique(a), np.unique(b)
+    order_a, order_b = left[np.argsort(label[left], kind="stable")], right[np.argsort(label[right], kind="stable")]
+    roots, first_a, n_a = np.unique(label[order_a], return_index=True, return_counts=True)
+    _, first_b, n_b = np.unique(label[order_b], return_index=True, return_counts=True)
+    component, place = np.searchsorted(roots, label[a]), np.empty(nodes, dtype=np.int64)
+    for order, first, n in ((order_a, first_a, n_a), (order_b, first_b, n_b)):
+        place[order] = np.arange(len(order)) - np.repeat(first, n)
+    # A lone pair is its own assignment.
+    kept = [np.flatnonzero((n_a * n_b)[component] == 1)]
+    short, long = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    flipped = (n_a > n_b)[component]
+    row, column = np.where(flipped, place[b], place[a]), np.where(flipped, place[a], place[b])
+    by_component = np.argsort(component, kind="stable")
+    begins = np.searchsorted(component[by_component], np.arange(len(roots) + 1))
+    waiting = np.flatnonzero((long > 1) & (long <= WIDEST))
+    waiting = waiting[np.argsort(long[waiting], kind="stable")]
+    while len(waiting):
+        # Tables of about one size are solved together.
+        limit = max(4, long[waiting[0]] * 5 // 4)
+        some = waiting[long[waiting] <= limit][: max(1, SIDE_BY_SIDE // (limit * limit))]
+        waiting = waiting[len(some) :]
+        pairs = by_component[np.concatenate([np.arange(begins[c], begins[c + 1]) for c in some])]
+        table = np.repeat(np.arange(len(some)), begins[some + 1] - begins[some])
+        shape = (len(some), int(short[some].max()), int(long[some].max()))
+        gain, at = np.zeros(shape), np.full(shape, -1)
+        gain[table, row[pairs], column[pairs]], at[table, row[pairs], column[pairs]] = iou[pairs], pairs
+        owner = _assign_many(gain, short[some], long[some])
+        which, where = np.nonzero(owner >= 0)
+        found = at[which, owner[which, where], where]
+        kept.append(found[found >= 0])
+    for c in np.flatnonzero(long > WIDEST):
+        pairs = by_component[begins[c] : begins[c + 1]]
+        gain, at = np.zeros((n_a[c], n_b[c])), np.full((n_a[c], n_b[c]), -1)
+        gain[place[a[pairs]], place[b[pairs]]], at[place[a[pairs]], place[b[pairs]]] = iou[pairs], pairs
+        kept.append(np.array([at[r, k] for r, k in _assign(gain) if at[r, k] >= 0], dtype=np.int64))
+    return np.concatenate(kept)
+
+
+def _iou_major(box: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``iou_major`` of rows ``a`` and ``b``, in the same order of steps."""
+    shared = np.ones(len(a))
+    for axis in "xyz":
+        centre, half = box[f"bbox_center_{axis}"], box[axis] / 2
+        low, high = centre - half, centre + half
+        shared = shared * np.maximum(np.minimum(high[a], high[b]) - np.maximum(low[a], low[b]), 0.0)
+    volume = box["x"] * box["y"] * box["z"]
+    union = volume[a] + volume[b] - shared
+    return np.divide(shared, union, out=np.zeros(len(a)), where=union > 0)
+
+
+def _matched_in(keys: Sequence[str]):
+    """Best assignment of every group of a part."""
+    by = list(keys)
+
+    def match(table: pa.Table) -> pa.Table:
+        box = {c: table.column(c).to_numpy() for c in SHAPE}
+        box |= {"x": np.maximum(box["bbox_width"], box["bbox_length"]), "y": np.minimum(box["bbox_width"], box["bbox_length"]), "z": box["bbox_height"]}
+        side, ids = table.column("__side").to_numpy(), table.column("box_id").to_numpy()
+        group = table.select(by).to_pandas().groupby(by, sort=False).ngroup().to_numpy()
+        # Rows of a box that comes more than once are one node.
+        order = np.lexsort((ids, side, group))
+        changes = [c[order][1:] != c[order][:-1] for c in (group, side, ids)]
+        node = np.empty(len(order), dtype=np.int64)
+        node[order] = np.cumsum(np.r_[False, reduce(np.logical_or, changes)])
+        ends = np.searchsorted(group[order], np.arange(group.max() + 2))
+        middle = ends[:-1] + np.bincount(group[side == 0], minlength=len(ends) - 1)
+        n_a, n_b = middle - ends[:-1], ends[1:] - middle
+        passed = np.cumsum(n_a * n_b) // MEASURED
+        found: list[tuple[np.ndarray, ...]] = []
+        for some in np.split(np.arange(len(n_a)), np.flatnonzero(np.diff(passed)) + 1):
+            pairs = n_a[some] * n_b[some]
+            of = np.repeat(some, pairs)
+            number = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+            across = np.maximum(n_b[of], 1)
+            a, b = order[ends[of] + number // across], order[middle[of] + number % across]
+            iou = _iou_major(box, a, b)
+            a, b, iou = a[iou > 0], b[iou > 0], iou[iou > 0]
+            if len(a):
+                least = min(node[a].min(), node[b].min())
+                best = _best_of(node[a] - least, node[b] - least, iou, int(max(node[a].max(), node[b].max()) - least) + 1)
+                found.append((a[best], b[best], iou[best]))
+        a, b, iou = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, dtype=np.int64),) * 2 + (np.empty(0),)
+        named = table.select(by).take(pa.array(a))
+        for name, values in (("box_id_a", ids[a]), ("box_id_b", ids[b]), ("iou", iou)):
+            named = named.append_column(name, pa.array(values))
+        return named
+
+    return match
+
+
+def best_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], most: int = WHOLE_GROUP) -> DataFrame:
+    """The pairs of ``assign_pairs`` of all pairs of ``iou_pairs`` by the measure ``major``.
+
+    Groups of at most ``most`` boxes are measured and assigned as a whole, many to a call, and leave no table of pairs. Larger
+    groups, groups with a value that is missing or not finite, and groups that share a box id go over the table of pairs.
+    """
+    keys = list(keys)
+    columns = [*keys, "box_id", *SHAPE]
+    boxes = [df.select(*columns) for df in (left, right)]
+    by_pairs = lambda a, b: assign_pairs(iou_pairs(a, b, "major", keys), keys)
+    types = [dict(df.dtypes) for df in boxes]
+    if any(t[c] != "double" for t in types for c in SHAPE) or any(t["box_id"] != "bigint" for t in types) or types[0] != types[1]:
+        return by_pairs(*boxes)
+    sides = reduce(DataFrame.unionByName, [df.withColumn("__side", F.lit(i)) for i, df in enumerate(boxes)])
+    # Rows without a key meet no other.
+    sides = sides.dropna(subset=keys)
+    odd = reduce(Column.__or__, [~F.coalesce(F.abs(c) < float("inf"), F.lit(False)) for c in SHAPE], F.col("box_id").isNull())
+    sizes = sides.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max(odd).alias("__odd"))
+    several = sizes.filter(F.col("__odd") | (F.col("__n") > most)).select(*keys)
+    group = F.struct(*keys)
+    shared = sides.groupBy("__side", "box_id").agg(F.min(group).alias("__low"), F.max(group).alias("__high")).filter("__low <> __high").select("__side", "box_id")
+    rows, crowded = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count_if(F.col("__odd") | (F.col("__n") > most))).first()
+    twice = not shared.isEmpty()
+    rest = None
+    if crowded or twice:
+        if twice:
+            several = several.unionByName(sides.join(shared, ["__side", "box_id"], "left_semi").select(*keys))
+        several = cut_lineage(several.distinct())
+        rest = [df.join(several, keys, "left_semi") for df in boxes]
+        sides = sides.join(several, keys, "left_anti")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in sides.select(*keys).schema), "box_id_a long, box_id_b long, iou double"])
+    whole = sides.groupBy(part_of(keys, rows)).applyInArrow(_matched_in(keys), schema)
+    return whole if rest is None else whole.unionByName(by_pairs(*rest))
+
+
 def match_boxes(detections: DataFrame, truth: DataFrame, threshold: float = 0.3, keys: Sequence[str] = FRAME, all_frames: bool = True) -> DataFrame:
     """tp, fp, fn and mean iou per key from the assignment of largest total iou.
 
     With ``all_frames=False`` only keys with detections are counted.
     """
     keys = list(keys)
-    matched = assign_pairs(iou_pairs(detections, truth, "major", keys), keys).filter(F.col("iou") >= F.lit(threshold))
+    matched = best_pairs(detections, truth, keys).filter(F.col("iou") >= F.lit(threshold))
     hits = matched.groupBy(*keys).agg(F.count(F.lit(1)).alias("tp"), F.avg("iou").alias("mean_iou"))
     count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
     how = "full_outer" if all_frames else "left"
