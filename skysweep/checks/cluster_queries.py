@@ -401,7 +401,7 @@ def _(inp: Inputs):
 @query("detect_cables")
 def _(inp: Inputs):
     columns = ["bbox_center_x", "bbox_center_y", "bbox_center_z", "bbox_length", "bbox_width", "bbox_height"]
-    members, features = boxfit.measured_clusters(_cut(inp), schema.FRAME)
+    members, features = boxfit.measured_clusters(stored(_cut(inp)), schema.FRAME)
     cables = boxfit.detect_cables(members, features, schema.FRAME, 2.0, 60.0)
     return rounded(cables, columns, 4).select(*schema.FRAME, "cluster", "n_points", "n_fragments", *columns, "predicted_class", "geo_confidence")
 

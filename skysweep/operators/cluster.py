@@ -7,8 +7,10 @@ from functools import reduce
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skysweep.functions.columns import label_of, pick_by_class
 from skysweep.functions.ranks import pivot_percentiles, wide_percentiles
@@ -18,15 +20,17 @@ from skysweep.operators.near import (
     WHOLE_GROUP,
     Space,
     cell_bounds,
+    close_pairs,
     components_of_cells,
-    first_linked,
+    first_of_component,
     link_cells,
     near_components,
     nearest_within,
+    part_of,
     per_small_group,
+    rows_by_group,
     rows_within,
     split_groups,
-    squared_distances,
 )
 from skysweep.schema import FRAME, POSE, overlay_parameters
 from skysweep.session import cut_lineage
@@ -36,6 +40,9 @@ CLASS_KEYS = [*FRAME, "class_id", "class_label"]
 NOISE = -1
 # Most centroids of a group that go along with each of its points.
 FEW_CENTROIDS = 64
+# Most points of a frame whose heights are gathered in one row (8 MB), and the share of them that counts as low.
+WHOLE_FRAME = 1_000_000
+LOW_SHARE = 0.05
 
 
 def voxel_downsample(points: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
@@ -71,33 +78,45 @@ def dbscan(points: DataFrame, keys: Sequence[str], eps: Column, min_samples: Col
     A point counts itself; the radius is inclusive. Border points take the cluster of their nearest core point. With
     ``borders=False`` only core points are clustered. ``eps`` and ``min_samples`` may read key columns.
 
-    Groups of at most WHOLE_GROUP points are clustered from one table of distances each, larger ones over link cells.
+    Groups of at most WHOLE_GROUP points are clustered as a whole, many to a call, larger ones over link cells.
     """
+    clustered, large = _dbscan_of_small(points, keys, eps, min_samples, borders)
+    clustered = cut_lineage(clustered)
+    return clustered if large is None else clustered.unionByName(_dbscan_by_cells(large, keys, eps, min_samples, borders))
+
+
+def _dbscan_of_small(
+    points: DataFrame, keys: Sequence[str], eps: Column, min_samples: Column, borders: bool, smallest: int = 1
+) -> tuple[DataFrame, DataFrame | None]:
+    """``dbscan`` of the small groups, in which clusters of under ``smallest`` points are noise, and the points of the others."""
     small, large, total = split_groups(points, keys, WHOLE_GROUP)
 
     def work(group: dict[str, np.ndarray]) -> np.ndarray:
         order = np.argsort(group["id"], kind="stable")
-        ids, radius = group["id"][order], group["eps"][0]
-        squared = squared_distances([group[a][order] for a in XYZ])
-        close = squared <= radius * radius
-        core = close.sum(axis=1) >= np.maximum(group["least"][0], 1)
-        cluster = np.where(core, ids[first_linked(close & core & core[:, None])], NOISE)
+        ids = group["id"][order]
+        a, b, squared = close_pairs([group[c][order] for c in XYZ], group["eps"][0])
+        core = np.bincount(a, minlength=len(ids)) >= np.maximum(group["least"][0], 1)
+        linked = core[a] & core[b]
+        cluster = np.where(core, ids[first_of_component(len(ids), a[linked], b[linked])], NOISE)
         if borders and core.any():
+            edge = ~core[a] & core[b]
+            a, b, squared = a[edge], b[edge], squared[edge]
             # Of equally near core points the first has the smallest id.
-            reached = np.where(close & core, squared, np.inf)
-            nearest = reached.argmin(axis=1)
-            edge = ~core & np.isfinite(reached[np.arange(len(ids)), nearest])
-            cluster[edge] = cluster[nearest[edge]]
-        found = np.empty_like(cluster)
-        found[order] = cluster
-        return found
+            by_row = np.lexsort((b, squared, a))
+            found, first = np.unique(a[by_row], return_index=True)
+            cluster[found] = cluster[b[by_row][first]]
+        if smallest > 1:
+            _, of, count = np.unique(cluster, return_inverse=True, return_counts=True)
+            cluster = np.where(count[of] >= smallest, cluster, NOISE)
+        result = np.empty_like(cluster)
+        result[order] = cluster
+        return result
 
     # A group without one of its keys has no radius, so its points are noise.
     known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
     columns = {"id": F.col("point_id").cast("long"), "eps": F.when(known, eps.cast("double")), "least": min_samples.cast("double")}
     columns |= {a: F.col(a).cast("double") for a in XYZ}
-    clustered = cut_lineage(per_small_group(small, keys, total, columns, work, "cluster"))
-    return clustered if large is None else clustered.unionByName(_dbscan_by_cells(large, keys, eps, min_samples, borders))
+    return per_small_group(small, keys, total, columns, work, "cluster"), large
 
 
 def _dbscan_by_cells(points: DataFrame, keys: Sequence[str], eps: Column, min_samples: Column, borders: bool) -> DataFrame:
@@ -153,6 +172,41 @@ def core_clusters(points: DataFrame, keys: Sequence[str], eps: Column, densities
     return components_of_cells(cores, cells, by, [space], "cluster").drop("node")
 
 
+def core_clusters_of_groups(points: DataFrame, keys: Sequence[str], eps: Column, densities: Sequence[int], carry: Sequence[str] = ()) -> DataFrame:
+    """``core_clusters``, with groups of at most WHOLE_GROUP points clustered as a whole, many to a call."""
+    columns = [*keys, "point_id", *XYZ, *carry]
+    points = points.select(*columns)
+    small, large, total = split_groups(points, keys, WHOLE_GROUP)
+    wanted = sorted(set(densities))
+    schema = T.StructType([*points.schema.fields, T.StructField("min_samples", T.IntegerType()), T.StructField("cluster", T.LongType())])
+    by = list(keys)
+
+    def run(table: pa.Table) -> pa.Table:
+        values = {c: table.column(f"__{c}").to_numpy() for c in ("id", "eps", *XYZ)}
+        rows, labels = {m: [] for m in wanted}, {m: [] for m in wanted}
+        for at in rows_by_group(table, by):
+            at = at[np.argsort(values["id"][at], kind="stable")]
+            ids = values["id"][at]
+            a, b, _ = close_pairs([values[c][at] for c in XYZ], values["eps"][at[0]])
+            neighbours = np.bincount(a, minlength=len(at))
+            for m in wanted:
+                core = neighbours >= max(m, 1)
+                linked = core[a] & core[b]
+                rows[m].append(at[core])
+                labels[m].append(ids[first_of_component(len(at), a[linked], b[linked])][core])
+        given = table.select(columns).take(pa.array(np.concatenate([r for m in wanted for r in rows[m]])))
+        level = np.repeat(np.array(wanted, dtype=np.int32), [sum(map(len, rows[m])) for m in wanted])
+        given = given.append_column("min_samples", pa.array(level))
+        return given.append_column("cluster", pa.array(np.concatenate([v for m in wanted for v in labels[m]])))
+
+    # Rows without a key, an id or a place have no neighbours.
+    complete = small.dropna(subset=[*keys, "point_id", *XYZ])
+    read = {"id": F.col("point_id").cast("long"), "eps": eps.cast("double")} | {a: F.col(a).cast("double") for a in XYZ}
+    given = complete.select(*columns, *[c.alias(f"__{name}") for name, c in read.items()])
+    whole = given.groupBy(part_of(keys, total)).applyInArrow(run, schema)
+    return whole if large is None else whole.unionByName(core_clusters(large, keys, eps, wanted, carry))
+
+
 def class_dbscan(points: DataFrame, params: dict[str, Any]) -> DataFrame:
     """Clusters per frame and class with the radius and density of the class."""
     setting = lambda name: pick_by_class({c: v[name] for c, v in params["dbscan"].items()})
@@ -283,21 +337,44 @@ def height_prefilter(points: DataFrame, min_height: float = 0.5, min_cluster_siz
 
     Frames with fewer points than the smallest cluster, before or after, are left out.
     """
-    sizes = points.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_cluster_size)
-    low = pivot_percentiles(wide_percentiles(points.select(*FRAME, "z"), FRAME, ["z"], [0.05]), FRAME, {("z", 0.05): "__z"})
-    high = points.join(sizes, FRAME).join(low, FRAME)
-    high = high.filter(F.col("z") - F.col("__z") > F.lit(min_height)).drop("__z", "__n")
-    enough = high.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_cluster_size)
-    return high.join(enough.select(*FRAME), FRAME, "left_semi")
+    low = cut_lineage(_heights(points, min_height).filter((F.col("__n") >= min_cluster_size) & (F.col("__high") >= min_cluster_size)))
+    return points.join(low.select(*FRAME, "__z"), FRAME).filter(F.col("z") - F.col("__z") > F.lit(min_height)).drop("__z")
+
+
+def _heights(points: DataFrame, min_height: float) -> DataFrame:
+    """Frames with their number of points, 5th percentile of height, and points more than ``min_height`` above it.
+
+    Frames of at most WHOLE_FRAME points gather their heights in one row; larger ones are counted by steps.
+    """
+    heights = points.select(*FRAME, "z")
+    small, large, _ = split_groups(heights, FRAME, WHOLE_FRAME)
+    gathered = small.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("__n"), F.array_sort(F.collect_list("z")).alias("__s"))
+    rank = F.lit(LOW_SHARE) * (F.size("__s") - 1)
+    at = lambda place: F.get("__s", place.cast("int"))
+    low = at(F.floor(rank)) + (at(F.ceil(rank)) - at(F.floor(rank))) * (rank - F.floor(rank))
+    placed = gathered.filter(F.size("__s") > 0).withColumn("__z", low)
+    above = F.size(F.filter("__s", lambda z: z - F.col("__z") > F.lit(min_height))).cast("long")
+    found = placed.select(*FRAME, "__n", "__z", above.alias("__high"))
+    if large is None:
+        return found
+    stats = wide_percentiles(large, FRAME, ["z"], [LOW_SHARE])
+    met = large.join(pivot_percentiles(stats, FRAME, {("z", LOW_SHARE): "__z"}), FRAME)
+    high = F.count_if(F.col("z") - F.col("__z") > F.lit(min_height)).alias("__high")
+    return found.unionByName(met.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("__n"), F.first("__z").alias("__z"), high))
 
 
 def density_cut(points: DataFrame, epsilon: float = 0.5, min_samples: int = 5, min_cluster_size: int = 30) -> DataFrame:
     """Class-free clusters of core points at one distance; clusters under ``min_cluster_size`` are noise."""
-    cored = dbscan(points, FRAME, F.lit(float(epsilon)), F.lit(min_samples), borders=False)
+    eps, least = F.lit(float(epsilon)), F.lit(min_samples)
+    whole, large = _dbscan_of_small(points, FRAME, eps, least, False, min_cluster_size)
+    if large is None:
+        return whole
+    cored = _dbscan_by_cells(large, FRAME, eps, least, False)
     sizes = cored.groupBy(*FRAME, "cluster").agg(F.count(F.lit(1)).alias("__n"))
     sized = cored.join(sizes, [*FRAME, "cluster"])
     big = (F.col("cluster") != NOISE) & (F.col("__n") >= min_cluster_size)
-    return sized.withColumn("cluster", F.when(big, F.col("cluster")).otherwise(F.lit(NOISE).cast("long"))).drop("__n")
+    sized = sized.withColumn("cluster", F.when(big, F.col("cluster")).otherwise(F.lit(NOISE).cast("long"))).drop("__n")
+    return whole.unionByName(sized)
 
 
 def hierarchy_cut(points: DataFrame, reach: float, epsilon: float = 0.5, min_samples: int = 5, min_cluster_size: int = 30) -> DataFrame:

@@ -167,6 +167,42 @@ def first_linked(linked: np.ndarray) -> np.ndarray:
         label = lower
 
 
+def close_pairs(places: Sequence[np.ndarray], radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows within the radius of each other, as numbers ``a`` and ``b``, both ways, a row with itself too, and their squared distances.
+
+    Rows are met in the order of their first coordinate, so only those of a strip as wide as the radius are measured.
+    """
+    known = np.flatnonzero(~reduce(np.logical_or, [np.isnan(p) for p in places]))
+    order = known[np.argsort(places[0][known], kind="stable")]
+    first, limit = places[0][order], radius * radius
+    # A little wider than the radius, for the rounding of the squares.
+    last = np.searchsorted(first, first + abs(radius) * (1 + 1e-9), "right") if not np.isnan(radius) else np.arange(len(first))
+    met = last - np.arange(len(first))
+    a = np.repeat(np.arange(len(first)), met)
+    b = a + np.arange(len(a)) - np.repeat(np.cumsum(met) - met, met)
+    a, b = order[a], order[b]
+    gaps = [p[a] - p[b] for p in places]
+    squared = reduce(lambda s, g: s + g * g, gaps[1:], gaps[0] * gaps[0])
+    close = squared <= limit
+    a, b, squared = a[close], b[close], squared[close]
+    other = a != b
+    return np.r_[a, b[other]], np.r_[b, a[other]], np.r_[squared, squared[other]]
+
+
+def first_of_component(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest row of the component of every one of ``count`` rows, of which ``a`` and ``b`` are linked."""
+    label = np.arange(count)
+    while True:
+        lower = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(lower, label[a], least)
+        np.minimum.at(lower, label[b], least)
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
 def link_cells(df: DataFrame, keys: Sequence[str], id_column: str, spaces: Sequence[Space]) -> tuple[DataFrame, DataFrame]:
     """Rows with the number of their link cell (``node``) and its size (``cell_rows``), and the table of cells."""
     cell = {f"cell_{c}": cell_of(F.col(c), _side(s)) for s in spaces for c in s.columns}
