@@ -17,7 +17,7 @@ from skysweep.functions.ranks import pivot_percentiles, wide_percentiles
 from skysweep.operators import boxfit, cluster
 from skysweep.operators.graph import connected_components
 from skysweep.operators.grid import overlapping_pairs
-from skysweep.operators.near import WHOLE_GROUP, part_of
+from skysweep.operators.near import WHOLE_GROUP, first_of_component, part_of
 from skysweep.schema import CLASS_NAMES, FRAME
 from skysweep.session import cut_lineage
 
@@ -277,23 +277,9 @@ def _assign_many(gains: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np
     return owner
 
 
-def _components(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest node of the component of every node."""
-    label = np.arange(nodes)
-    while True:
-        lower = label.copy()
-        least = np.minimum(label[a], label[b])
-        np.minimum.at(lower, label[a], least)
-        np.minimum.at(lower, label[b], least)
-        lower = lower[lower]
-        if (lower == label).all():
-            return label
-        label = lower
-
-
 def _best_of(a: np.ndarray, b: np.ndarray, iou: np.ndarray, nodes: int) -> np.ndarray:
     """Numbers of the pairs of the best assignment of every component; ``a`` and ``b`` are nodes, in the order of groups, sides and ids."""
-    label = _components(nodes, a, b)
+    label = first_of_component(nodes, a, b)
     left, right = np.unique(a), np.unique(b)
     order_a, order_b = left[np.argsort(label[left], kind="stable")], right[np.argsort(label[right], kind="stable")]
     roots, first_a, n_a = np.unique(label[order_a], return_index=True, return_counts=True)
@@ -486,7 +472,7 @@ def param_sweep(points: DataFrame, truth: DataFrame, min_cluster_sizes: Sequence
     grid = [F.struct(F.lit(i).alias("param_id"), F.lit(float(e)).alias("epsilon"), F.lit(int(m)).alias("min_samples")) for i, e, m in numbered]
     multiplied = points.withColumn("epsilon", F.explode(F.array(*[F.lit(float(e)) for e in dict.fromkeys(epsilons)])))
     radius = F.greatest(F.col("epsilon"), F.lit(1e-6))
-    cored = cluster.core_clusters(multiplied, [*FRAME, "epsilon"], radius, [int(m) for m in min_samples], ["class_id"])
+    cored = cluster.core_clusters_of_groups(multiplied, [*FRAME, "epsilon"], radius, [int(m) for m in min_samples], ["class_id"])
     # Settings given twice are settings of their own.
     alike = F.filter(F.array(*grid), lambda g: (g["epsilon"] == F.col("epsilon")) & (g["min_samples"] == F.col("min_samples")))
     keys = [*FRAME, "param_id"]
