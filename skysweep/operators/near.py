@@ -6,7 +6,7 @@ when the cells are small and split in four per axis when they are large, until e
 therefore compares all rows of a group, however many rows share a cell. The nearest row is found under a bound that shrinks
 from split to split.
 
-Groups of at most ``WHOLE_GROUP`` rows need none of this: one table of distances holds them, and many such groups go to one call.
+Groups of at most ``WHOLE_GROUP`` rows need none of this: one table or list of distances holds them, and many such groups go to one call.
 """
 
 from __future__ import annotations
